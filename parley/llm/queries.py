@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, decontam, pii, simhash, tokenfile, toxicity
+from parley.llm import ann, bpe, chat, decontam, htmltext, pii, simhash, tokenfile, toxicity
 from parley.llm.store import table
 
 
@@ -38,23 +38,57 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = chat.format_chats(spark, table(spark, sf_dir, "conversations"))
+    return done.select("conv_id", "turn", "role", "rank", "json", "n_calls", "n_linked", "n_invalid")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digests(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = htmltext.main_text(spark, table(spark, sf_dir, "pages"))
+    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(spark, table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
+    "op5_chat": op5_chat,
     "op6_token_files": op6_token_files,
+    "op7_html": op7_html,
     "op8_simhash": op8_simhash,
+    "op10_ann": op10_ann,
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_decontaminate": """
+with iw as (select item_id::varchar as item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from benchmark),
+wins as (select item, least(len(w), 10) as n, array_to_string(list_slice(w, i::int, (i + least(len(w), 10) - 1)::int), ' ') as k from (select item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from iw where len(w) > 0)),
+docs as (select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
+pos as (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from docs, (select distinct n from wins)),
+hit as (select distinct p.r, p.i, p.n, s.item from pos p join wins s on s.n = p.n and s.k = array_to_string(list_slice(p.w, p.i::int, (p.i + p.n - 1)::int), ' ')),
+covered as (select r, count(distinct c) as n_hit from (select r, unnest(range(i, i + n)) as c from hit) group by r),
+items as (select r, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from hit group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join covered using (r) left join items using (r)""",
+    "op5_chat": """
+select conv_id, turn, coalesce(role, 'unknown') as role, 0::int as rank,
+  '{"content":' || to_json(coalesce(text, ''))::varchar || ',"role":' || to_json(coalesce(role, 'unknown'))::varchar || '}' as json,
+  0::bigint as n_calls, 0::bigint as n_linked, 0::bigint as n_invalid
+from conversations""",
+}
