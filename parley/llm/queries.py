@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import ann, bpe, chat, decontam, htmltext, pii, simhash, tokenfile, toxicity
+from parley.llm import ann, bpe, chat, decontam, htmltext, maxent, pii, simhash, tokenfile, toxicity
 from parley.llm.store import table
 
 
@@ -57,6 +57,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = maxent.scores(spark, table(spark, sf_dir, "documents"))
+    return done.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -70,6 +75,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_html": op7_html,
     "op8_simhash": op8_simhash,
+    "op9_maxent": op9_maxent,
     "op10_ann": op10_ann,
 }
 
