@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.store import Staged, ascii_lower, small
+from parley.llm.store import Staged, ascii_lower, drop_rows, small
 
 #: All ASCII but digits and lower-case letters; the rest makes words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -127,5 +127,5 @@ def clean_rows(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, doc_i
     Rows with the id of a contaminated row go with it; rows with a null id stay
     only if no row with a null id is contaminated.
     """
-    bad = contamination(spark, docs, benchmark, doc_id, text).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
+    bad = contamination(spark, docs, benchmark, doc_id, text).where("n_hit > 0").select("doc_id")
+    return drop_rows(docs, doc_id, bad)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.llm.components import components
-from parley.llm.store import Staged
+from parley.llm.store import Staged, drop_rows, fresh
 
 SEED = 42
 #: Shingles whose bits are counted at a time, to bound memory on very long texts.
@@ -95,6 +95,11 @@ def representatives(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id",
     Rows with a null doc_id stay only where no document of the component has one;
     of fully equal ids one row stays.
     """
-    found = groups(spark, df, doc_id, text)
-    keep = found.groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id").alias(doc_id)).distinct()
-    return df.join(keep, df[doc_id].eqNullSafe(keep[doc_id]), "left_semi").dropDuplicates([doc_id])
+    found = Staged(spark, groups(spark, df, doc_id, text).select("doc_id", "component_id"), "components").df
+    left = drop_rows(df, doc_id, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    twice = Staged(spark, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice").df
+    if twice.isEmpty():
+        return left
+    name = fresh(df, "_twice")
+    again = left.join(twice.toDF(name), F.col(doc_id).eqNullSafe(F.col(name)), "left_semi").dropDuplicates([doc_id])
+    return drop_rows(left, doc_id, twice).unionByName(again)

@@ -64,3 +64,27 @@ def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone; whole-ASCII texts take the fast path."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns that would clash with new ones of these names (letter case aside)."""
+    new = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in new])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` lacks."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
+def drop_rows(df: DataFrame, key: str, bad: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """``df`` less the rows whose key is in ``bad`` (one column); nulls match nulls.
+
+    ``bad`` is broadcast if its counted rows stay within ``limit``, else joined by key.
+    """
+    name = fresh(df, "_bad")
+    bad = bad.toDF(name).distinct()
+    return df.join(small(bad, bad.count(), limit), F.col(key).eqNullSafe(F.col(name)), "left_anti")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.store import Staged
+from parley.llm.store import Staged, fresh, without
 
 MAX_EXAMPLES = 4000
 MIN_G2 = 20.0
@@ -188,25 +188,35 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, doc_id: str =
     return index
 
 
-def score(df: DataFrame, index: Index, text: str = "text") -> DataFrame:
-    """``df`` with toxicity (0 to 1) and evidence: its nearest examples, most similar first."""
+def score(df: DataFrame, index: Index, text: str = "text", score_name: str = "toxicity") -> DataFrame:
+    """``df`` with toxicity (0 to 1) and evidence: its nearest examples, most similar first.
+
+    A column of ``df`` that has the name of a new one gives it up.
+    """
     from pyspark.sql import types as T
 
-    if clash := {"toxicity", "evidence"} & {c.lower() for c in df.columns}:
-        raise ValueError(f"output columns already exist: {sorted(clash)}")
+    kept = without(df, score_name, "evidence")
+    own = df.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(text).cast("string").alias(fresh(df, "_text")))
     item = T.StructType([T.StructField("example", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())])
-    schema = T.StructType([*df.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("evidence", T.ArrayType(item))])
+    schema = T.StructType([*kept.schema.fields, T.StructField(score_name, T.DoubleType()), T.StructField("evidence", T.ArrayType(item))])
     shared = df.sparkSession.sparkContext.broadcast(index)
     kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        learnt = shared.value
         for batch in batches:
-            got = [own.score(t) for t in batch.column(text).to_pylist()]
-            evidence = [[{"example": own.ids[e], "cosine": s, "label": own.labels[e]} for s, e in near] for _, near in got]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in got], pa.float64()), pa.array(evidence, kind)], names=[*batch.schema.names, "toxicity", "evidence"])
+            got = [learnt.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            evidence = [[{"example": learnt.ids[e], "cosine": s, "label": learnt.labels[e]} for s, e in near] for _, near in got]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([s for s, _ in got], pa.float64()), pa.array(evidence, kind)], names=[*batch.schema.names[:-1], score_name, "evidence"])
+
+    return own.mapInArrow(run, schema)
+
 
-    return df.mapInArrow(run, schema)
+def keep_civil(spark: SparkSession, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under 0.5, all columns kept; learns from ``labels``."""
+    index = train(spark, docs, labels, doc_id, text)
+    name, packed = "_toxicity", docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col(text).cast("string").alias("text"))
+    return score(packed, index, "text", name).where(F.col(name) < 0.5).select("own.*")
 
 
 def held_out(doc_id: Column) -> Column:
