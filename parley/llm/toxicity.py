@@ -204,7 +204,7 @@ def score(df: DataFrame, index: Index, text: str = "text", score_name: str = "to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learnt = shared.value
-        for batch in batches:
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             got = [learnt.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             evidence = [[{"example": learnt.ids[e], "cosine": s, "label": learnt.labels[e]} for s, e in near] for _, near in got]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([s for s, _ in got], pa.float64()), pa.array(evidence, kind)], names=[*batch.schema.names[:-1], score_name, "evidence"])
