@@ -5,9 +5,9 @@ token is the merge result of its own bytes and every two neighbours stay apart
 when merged together. That makes the encoding the only accepted path of a
 non-deterministic transducer whose states are *(last token, pending bytes)*: a
 byte either extends the pending bytes along the vocabulary's prefix tree or
-closes a token that is compatible with the last one. Subset states are built on
-first use and kept; output common to all live hypotheses is emitted at once, so
-a token leaves after a lookahead of at most the longest token.
+closes a token that is compatible with the last one. Subset states and arcs are
+built on first use and kept. A hypothesis lives no longer than the longest token,
+so tokens leave after a lookahead bounded by it.
 
 Decoding. A UTF-8 automaton whose state is the unfinished byte sequence; each
 (state, token) step is computed byte by byte once and kept. Malformed bytes
@@ -15,14 +15,15 @@ become U+FFFD, one per maximal malformed part, as the Unicode standard advises.
 
 Defined results: null text counts as empty; an empty text has no ids and decodes
 to the empty text; texts of any length stream through in time linear in their
-length; other columns, repeated rows and row order are left as they are.
+length; repeated rows give a row each; other columns are kept, but for one that has
+the name of a new column, which it gives up.
 """
 
 from __future__ import annotations
 
 import base64
 import gc
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -32,9 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.llm.store import fresh, without
+
 #: Bounds of each worker's memory: pieces remembered, and subset states kept before starting afresh.
-MAX_PIECES = 400_000
-MAX_STATES = 200_000
+MAX_PIECES = 300_000
+MAX_STATES = 300_000
+#: Bytes of a long piece between two emissions.
+PART = 1024
 #: Longer pieces are encoded each time they occur.
 MAX_PIECE_CHARS = 64
 
@@ -45,35 +50,44 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Token ids of one pre-split piece of bytes."""
+    """Token ids of one pre-split piece of bytes.
+
+    A hypothesis is one number, ``node << 17 | last + 1``: the tree node of the pending
+    bytes and the last closed token. A subset state is a sorted tuple of them. Exactly
+    one hypothesis closes a token at any byte (every prefix has one merge result), so an
+    arc carries the next state and the token that closes there, ``state << 17 | token``.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
+        if max(ranks.values(), default=0) >= (1 << 17) - 1:
+            raise ValueError("too many tokens")
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
-        #: The prefix tree: children by byte, and the token that ends at each node (-1: none).
-        self.children: list[dict[int, int]] = [{}]
-        self.ends = [-1]
+        self.size = {i: len(b) for b, i in ranks.items()}
+        #: The prefix tree: children by ``node << 8 | byte``, the token that ends at each node (-1: none), whether it is a leaf.
+        self.child: dict[int, int] = {}
+        self.ends, self.inner, self.depth = [-1], [True], [0]
         for raw, i in ranks.items():
             node = 0
             for byte in raw:
-                to = self.children[node].get(byte)
+                to = self.child.get(node << 8 | byte)
                 if to is None:
-                    to = self.children[node][byte] = len(self.children)
-                    self.children.append({})
+                    to = self.child[node << 8 | byte] = len(self.ends)
                     self.ends.append(-1)
+                    self.inner.append(False)
+                    self.depth.append(self.depth[node] + 1)
+                    self.inner[node] = True
                 node = to
             self.ends[node] = i
         self.made_of: dict[int, tuple[int, int] | None] = {}
         self.edges: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        #: A subset state is a sorted tuple of (tree node of the pending bytes, last id or -1, unsent ids).
-        start = ((0, -1, ()),)
-        self.number = {start: 0}
-        self.members = [start]
-        self.arcs: list[dict[int, tuple[tuple[int, ...], int]]] = [{}]
+        self.number = {(0,): 0}
+        self.members: list[tuple[int, ...]] = [(0,)]
+        self.arcs: dict[int, int] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one from its own bytes; None for a single byte or no merge."""
@@ -108,10 +122,10 @@ class Transducer:
             return False
         if last < 0:
             return True
-        pair = (last, token)
+        pair = last << 17 | token
         ok = self.apart.get(pair)
         if ok is None:
-            if len(self.apart) > 4 * MAX_STATES:
+            if len(self.apart) > 2 * MAX_STATES:
                 self.apart.clear()
             ok = self.apart[pair] = self.stay_apart(self.edge(last, 1), self.edge(token, 0))
         return ok
@@ -138,49 +152,81 @@ class Transducer:
             else:
                 j += 1
 
-    def step(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
+    def step(self, state: int, byte: int) -> int:
         """The arc of a subset state, determinised on first use."""
-        children, ends, nxt = self.children, self.ends, []
-        for node, last, unsent in self.members[state]:
-            to = children[node].get(byte)
+        child, ends, inner, closed, nxt = self.child, self.ends, self.inner, -1, []
+        for member in self.members[state]:
+            to = child.get(member >> 17 << 8 | byte)
             if to is not None:
-                if children[to]:
-                    nxt.append((to, last, unsent))
-                token = ends[to]
-                if token >= 0 and self.follows(last, token):
-                    nxt.append((0, token, (*unsent, token)))
-        first = shared = nxt[0][2]
-        for _, _, unsent in nxt:
-            if unsent[: len(shared)] != shared:
-                n = 0
-                while n < len(shared) and n < len(unsent) and unsent[n] == shared[n]:
-                    n += 1
-                shared = first[:n]
-        n = len(shared)
-        members = tuple(sorted([(node, last, u[n:]) for node, last, u in nxt] if n else nxt))
+                last = member & 0x1FFFF
+                if inner[to]:
+                    nxt.append(to << 17 | last)
+                if closed < 0:
+                    token = ends[to]
+                    if token >= 0 and self.follows(last - 1, token):
+                        closed = token
+                        nxt.append(token + 1)
+        nxt.sort()
+        members = tuple(nxt)
         to = self.number.get(members)
         if to is None:
             to = self.number[members] = len(self.members)
             self.members.append(members)
-            self.arcs.append({})
-        self.arcs[state][byte] = arc = (shared, to)
+        arc = self.arcs[state << 8 | byte] = to << 17 | closed
         return arc
 
+    def stream(self, pieces: Iterable[bytes]) -> Iterator[int]:
+        """Ids of a piece that arrives in parts; each leaves once no live hypothesis can change it.
+
+        Live hypotheses began at most one token's length ago; what lies before the last
+        border that all their pasts share is certain.
+        """
+        arcs, state, closes, base = self.arcs, 0, [], 0
+        for part in pieces:
+            for byte in part:
+                arc = arcs.get(state << 8 | byte)
+                if arc is None:
+                    arc = self.step(state, byte)
+                state = arc >> 17
+                closes.append(arc & 0x1FFFF)
+            at = {len(closes) - self.depth[m >> 17] for m in self.members[state]}
+            while len(at) > 1:
+                far = max(at)
+                at.remove(far)
+                at.add(far - self.size[closes[far - 1]])
+            yield from self._chain(closes, border := at.pop())
+            del closes[:border]
+        yield from self._chain(closes, len(closes))
+
+    def _chain(self, closes: list[int], end: int) -> list[int]:
+        out = []
+        while end > 0:
+            token = closes[end - 1]
+            out.append(token)
+            end -= self.size[token]
+        return out[::-1]
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
         if len(self.members) > MAX_STATES:
             self.reset()
-        out: list[int] = []
-        state, arcs = 0, self.arcs
+        if len(piece) > PART:
+            return tuple(self.stream(piece[i : i + PART] for i in range(0, len(piece), PART)))
+        arcs, state, closes = self.arcs, 0, []
         for byte in piece:
-            arc = arcs[state].get(byte) or self.step(state, byte)
-            if arc[0]:
-                out.extend(arc[0])
-            state = arc[1]
-        out.extend(next(unsent for node, _, unsent in self.members[state] if not node))
-        return tuple(out)
+            arc = arcs.get(state << 8 | byte)
+            if arc is None:
+                arc = self.step(state, byte)
+            state = arc >> 17
+            closes.append(arc & 0x1FFFF)
+        out, end, size = [], len(closes), self.size
+        while end:
+            token = closes[end - 1]
+            out.append(token)
+            end -= size[token]
+        return tuple(out[::-1])
 
 
 class Utf8Machine:
@@ -224,13 +270,27 @@ class Utf8Machine:
         return "".join(out), state
 
 
+class Pieces(dict):
+    """Ids of pieces, encoded on first use; only so many short ones are kept."""
+
+    def __init__(self, machine: Transducer):
+        super().__init__()
+        self.machine = machine
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.machine.encode(piece.encode("utf-8"))
+        if len(self) < MAX_PIECES and len(piece) <= MAX_PIECE_CHARS:
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     def __init__(self, path: str, pattern: str):
         import regex
 
         self.machine = Transducer(read_ranks(path))
         self.split = regex.compile(pattern).findall
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces = Pieces(self.machine)
         #: By decoder state: id -> (text, next state).
         self.steps: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
         token = self.machine.token
@@ -241,20 +301,7 @@ class Codec:
                 self.alone[i] = text
 
     def encode(self, text: str) -> list[int]:
-        pieces, known = self.split(text), self.pieces
-        try:
-            return list(chain.from_iterable([known[p] for p in pieces]))
-        except KeyError:
-            pass
-        out: list[int] = []
-        for p in pieces:
-            ids = known.get(p)
-            if ids is None:
-                ids = self.machine.encode(p.encode("utf-8"))
-                if len(known) < MAX_PIECES and len(p) <= MAX_PIECE_CHARS:
-                    known[p] = ids
-            out.extend(ids)
-        return out
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
     def decode(self, ids: list[int]) -> str:
         try:
@@ -284,12 +331,6 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def _fresh(df: DataFrame, *names: str) -> None:
-    clash = {c.lower() for c in df.columns} & {n.lower() for n in names}
-    if clash:
-        raise ValueError(f"output columns already exist: {sorted(clash)}; choose other names")
-
-
 def _chunks(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
@@ -301,44 +342,46 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     ``path`` is a rank file; ``pattern`` splits texts first (default: the public one).
     """
     extra = [x for x in (ids, decoded) if x]
-    _fresh(df, *extra)
     pattern = pattern or default_pattern()
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.StringType(), False)] if decoded else []))
+    kept = without(df, *extra)
+    own = df.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(text).cast("string").alias(fresh(df, "_text")))
+    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.StringType(), False)] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        codes = codec(path, pattern)
         for whole in batches:
             for batch in _chunks(whole):
                 flat, offsets, texts = [], [0], []
                 total = 0
-                for t in batch.column(text).to_pylist():
-                    got = own.encode(t or "")
+                for t in batch.column(batch.num_columns - 1).to_pylist():
+                    got = codes.encode(t or "")
                     flat.append(np.array(got, dtype=np.int32))
                     total += len(got)
                     offsets.append(total)
                     if decoded:
-                        texts.append(own.decode(got))
+                        texts.append(codes.decode(got))
                 values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32))
-                columns = [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(texts, pa.string())] if decoded else []), names=[*batch.schema.names, *extra])
+                columns = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(texts, pa.string())] if decoded else []), names=[*batch.schema.names[:-1], *extra])
 
-    return df.mapInArrow(run, schema)
+    return own.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", pattern: str | None = None) -> DataFrame:
     """``df`` with the text of an array of ids; a null array decodes to the empty text."""
-    _fresh(df, text)
     pattern = pattern or default_pattern()
-    schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType(), False)])
+    kept = without(df, text)
+    own = df.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(ids).alias(fresh(df, "_ids")))
+    schema = T.StructType([*kept.schema.fields, T.StructField(text, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        codes = codec(path, pattern)
         for whole in batches:
             for batch in _chunks(whole):
-                texts = [own.decode(x or []) for x in batch.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
+                texts = [codes.decode(x or []) for x in batch.column(batch.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], text])
 
-    return df.mapInArrow(run, schema)
+    return own.mapInArrow(run, schema)
 
 
 def digests(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
