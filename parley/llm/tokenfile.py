@@ -2,7 +2,7 @@
 
 Texts are encoded once, in chunks between blanks (this vocabulary drops white
 space, so chunks encode independently and repeat often), and kept as a table of
-raw ids. One pass over that table counts every id; ids become ranks, the most
+raw ids. Each task counts the ids it makes, and the counts are summed; ids become ranks, the most
 frequent first, so that most need one byte. Rows are range-partitioned by
 doc_id and sorted, and each partition writes files of bounded size. Offsets come
 from per-file counts, not from a global pass over rows.
@@ -23,6 +23,7 @@ gives no files and no rows; other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 from collections.abc import Iterator
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 
 from parley.llm.store import Staged, new_path
 
-#: Chunks each worker remembers; the rest are encoded each time they occur.
-MAX_CHUNKS = 400_000
+#: Chunks of each of the two generations a worker remembers; a full young one becomes the old one.
+MAX_CHUNKS = 300_000
 MAX_CHUNK_CHARS = 64
 #: Ids after which a file is closed (a longer document has a file of its own).
 SHARD_IDS = 4_000_000
@@ -69,26 +70,66 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-class Chunks:
-    """Ids of texts by one tokenizer file, remembered per chunk between blanks."""
+class Chunks(dict):
+    """Ids of chunks between blanks by one tokenizer file, found on first use.
+
+    A chunk of plain letters, perhaps with marks behind it, is one or two words to
+    this vocabulary's splitter whatever surrounds it: they go to the library's merge
+    model one by one. Any other chunk goes through the library's whole pipeline.
+    """
 
     def __init__(self, path: str, width: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.width = Tokenizer.from_file(path), width
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({c for chunks in split for c in chunks if c not in known})
-        got = dict(zip(new, (np.array(e.ids, dtype=self.width).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        room = MAX_CHUNKS - len(known)
-        if room > 0:
-            known.update((c, got[c]) for c in new[:room] if len(c) <= MAX_CHUNK_CHARS)
-        if not got:
-            return [b"".join([known[c] for c in chunks]) for chunks in split]
-        return [b"".join([known.get(c) if c in known else got[c] for c in chunks]) for chunks in split]
+        super().__init__({"": b""})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # this class remembers more, and only words it has not met come here
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.raw = [x.tobytes() for x in np.arange(size, dtype=width)]
+        self.older: dict[str, bytes] = {}
+        self.simple = self._splits_words()
+        self.plain = re.compile("([A-Za-zÀ-ÖØ-Ýà-öø-ÿ]+)([.,;:!?|#$%&*-]+)").fullmatch
+        #: How byte-level models write a byte: printable ones as themselves, the rest from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [x for x in range(256) if x not in shown]
+        letter = {x: chr(x) for x in shown} | {x: chr(256 + i) for i, x in enumerate(rest)}
+        self.spelt = {c: "".join(letter[x] for x in chr(c).encode("utf-8")) for c in range(128, 256)}
+
+    def _splits_words(self) -> bool:
+        """Whether this file lower-cases, composes and splits into words, runs of marks and single digits."""
+        import json
+
+        own = json.loads(self.tokenizer.to_str())
+        kinds = lambda x: sorted(y["type"] for y in ((own.get(x) or {}).get("normalizers") or (own.get(x) or {}).get("pretokenizers") or []))
+        return kinds("normalizer") == ["Lowercase", "NFC", "Replace"] and kinds("pre_tokenizer") == ["ByteLevel", "Split"]
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self.older.get(chunk)
+        if got is None:
+            raw, word = self.raw, self.simple and chunk.isalpha()
+            if word and not chunk.isascii():
+                word = max(chunk) <= "\xff"
+            if word:
+                if chunk.islower():
+                    got = b"".join([raw[t.id] for t in self.model.tokenize(chunk.translate(self.spelt))])
+                else:
+                    got = self[chunk.lower()]
+            elif self.simple and (m := self.plain(chunk)):
+                got = self[m[1]] + self[m[2]]
+            else:
+                got = b"".join([raw[i] for i in self.tokenizer.encode(chunk, add_special_tokens=False).ids])
+        if len(chunk) <= MAX_CHUNK_CHARS:
+            if len(self) >= MAX_CHUNKS:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = got
+        return got
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)
@@ -96,35 +137,43 @@ def _chunks(path: str, width: str) -> Chunks:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    gc.set_threshold(500_000, 50, 1000)  # remembered chunks are acyclic; frequent collections only cost
     return Chunks(path, width)
 
 
-def tokenize(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text", width: str = "<u4") -> DataFrame:
-    """Rows (doc_id, raw): ids of the whole text and the end id, as little-endian numbers."""
+def tokenize(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text", width: str = "<u4", size: int = 0) -> DataFrame:
+    """Rows (doc_id, raw, counts): ids of the whole text and the end id, as little-endian numbers.
+
+    Each task ends with a row that has the 64-bit ``counts`` of its first ``size`` ids and no text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = _chunks(path, width), np.array([end_id], dtype=width).tobytes()
+        own, end, total = _chunks(path, width), np.array([end_id], dtype=width).tobytes(), np.zeros(size, np.int64)
+        names = ["doc_id", "raw", "counts"]
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                raw = own.encode([t or "" for t in batch.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r + end for r in raw], pa.binary())], names=["doc_id", "raw"])
+                raw = [own.encode(t or "") + end for t in batch.column(1).to_pylist()]
+                total += np.bincount(np.frombuffer(b"".join(raw), dtype=width), minlength=size)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.nulls(len(raw), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=names)
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, raw binary")
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, raw binary, counts binary")
 
 
-def count_ids(raw: DataFrame, size: int, width: str) -> DataFrame:
-    """Rows (id, n) over every document."""
+def count_ids(tokens: DataFrame) -> DataFrame:
+    """Rows (id, n) over every document, from the tasks' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            raw = b"".join(batch.column(0).to_pylist())
-            total += np.bincount(np.frombuffer(raw, dtype=width), minlength=size)
+            for cell in batch.column(0).to_pylist():
+                one = np.frombuffer(cell, np.int64)
+                total = one + total if len(total) else one
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
-    return raw.select("raw").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.where(F.col("counts").isNotNull()).select("counts").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _fs(uri: str):
@@ -147,8 +196,8 @@ def write_files(spark: SparkSession, df: DataFrame, path: str, end_id: int, doc_
     size = max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), end_id + 1)
     width = "<u2" if size <= 1 << 16 else "<u4"
     folder = folder or new_path(spark, "tokens")
-    raw = Staged(spark, tokenize(df, path, end_id, doc_id, text, width), "raw")
-    counts = count_ids(raw.df, size, width).collect()  # at most one row per vocabulary entry
+    raw = Staged(spark, tokenize(df, path, end_id, doc_id, text, width, size), "raw")
+    counts = count_ids(raw.df).collect()  # at most one row per vocabulary entry
     order = [r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))]
     rank_of = np.zeros(size, np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
@@ -186,7 +235,7 @@ def write_files(spark: SparkSession, df: DataFrame, path: str, end_id: int, doc_
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["part", "shard", "n_docs", "n_ids"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = raw.df.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.crc32("raw")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("raw"), "raw")
+    ordered = raw.df.where(F.col("raw").isNotNull()).select("doc_id", "raw").repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.crc32("raw")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("raw"), "raw")
     files = Staged(spark, ordered.mapInArrow(run, "part int, shard int, n_docs long, n_ids long"), "manifest")
     raw.drop()
     return folder, files.df
@@ -194,7 +243,8 @@ def write_files(spark: SparkSession, df: DataFrame, path: str, end_id: int, doc_
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """Rows (part, shard, doc_id, at, n_tokens, ids): ``at`` counts from the file's start, ``ids`` are little-endian u32."""
-    order = np.frombuffer(spark.read.format("binaryFile").load(f"{folder}/ranks.bin").select("content").first()[0], "<u4")
+    ranks = spark.read.format("binaryFile").load(f"{folder}/ranks.bin").select("content").first()
+    order = np.frombuffer(ranks[0] if ranks else b"", "<u4")  # an empty file is no row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
