@@ -92,7 +92,7 @@ class Engine:
             narrowed = similarity.focus(held(ids.join(hits, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score")), "focus"), n)
             ids = narrowed.select("id") if narrowed is not None else ids
         own = postings.join(ids, "id", "left_semi")
-        found = held(cluster.graph_clusters(held(own, "own"), ids), "clusters")
+        found = held(cluster.graph_clusters(held(own, "own"), ids, vocab), "clusters")
         named = cluster.names(docs, found, own, vocab)
         rows = found.select("id", F.col("cluster").cast("string").alias("group_key"), F.lit(1.0).alias("value"))
         groups = aggregate.by_value(aggregate.fold_tail(aggregate.grouped(rows), spec.limit))

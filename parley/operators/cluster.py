@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,13 +16,33 @@ from parley.sources.tables import held
 
 #: Groups up to which linkage sums are brought to the driver; only the largest take part beyond.
 MAX_LINKED = 400
+#: Rows up to which all sparse pairs are compared.
+MAX_GRAPH = 4000
+
+
+def place(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """``df`` with each row's place from 0 in a total order, without gathering rows in one task.
+
+    Rows are range-partitioned and numbered inside their part; the parts' sizes, a row
+    each, give the offsets.
+    """
+    parts = held(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33)
+    sizes = sorted((r.part, r.n) for r in parts.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for number, n in sizes:
+        before.append((number, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    own = parts.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return own.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
 
 
 def number(assigned: DataFrame) -> DataFrame:
     """Rows (id, cluster): groups numbered from 0, the largest first, ties by key."""
     sizes = assigned.groupBy("group").agg(F.count("*").alias("n"))
-    place = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "group")) - 1)
-    return assigned.join(place.select("group", "cluster"), "group").select("id", "cluster")
+    ranked = place(sizes, F.desc("n"), F.asc("group"), name="cluster").select("group", F.col("cluster").cast("int").alias("cluster"))
+    return assigned.join(ranked, "group").select("id", "cluster")
 
 
 def link(postings: DataFrame, assigned: DataFrame, floor: float = 0.15, least: int = 2) -> DataFrame:
@@ -65,8 +85,19 @@ def link(postings: DataFrame, assigned: DataFrame, floor: float = 0.15, least: i
     return assigned.join(F.broadcast(table), "group", "left").select("id", F.coalesce("to", "group").alias("group"))
 
 
-def graph_clusters(postings: DataFrame, ids: DataFrame, k: int = 5, link_at: float = 0.45, floor: float = 0.15) -> DataFrame:
-    """Rows (id, cluster) of emergent groups: mutual neighbours, their components, then linkage."""
+def graph_clusters(postings: DataFrame, ids: DataFrame, vocab: DataFrame | None = None, k: int = 5, link_at: float = 0.45, floor: float = 0.15, max_rows: int = MAX_GRAPH) -> DataFrame:
+    """Rows (id, cluster) of emergent groups: mutual neighbours, their components, then linkage.
+
+    Sparse pairs grow with the square of the rows, so beyond ``max_rows`` the rows are put
+    on their leading singular directions and grouped by cosine k-means, its k chosen on a
+    sample. Rows without a token stay alone in the last group there.
+    """
+    n = ids.count()
+    if n > max_rows and vocab is not None:
+        dense = held(projection(postings, vocab), "dense")
+        x = np.array([r.v for r in similarity.unit(dense, "id", "v").orderBy(F.xxhash64("id"), "id").limit(2048).select("v").collect()])
+        found = kmeans_cosine(dense, "id", "v", choose_k(x))[0].select("id", "cluster")
+        return number(ids.join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(1 << 30)).alias("group")))
     near = held(similarity.posting_knn(postings, k), "near")
     groups = similarity.components(ids, similarity.mutual(near, link_at)).select("id", F.col("component").alias("group"))
     return number(link(postings, held(groups, "groups"), floor))
@@ -144,7 +175,7 @@ def names(docs: DataFrame, assigned: DataFrame, postings: DataFrame, vocab: Data
     return sizes.join(best, "group", "left").join(medoid, "group", "left").select(F.col("group").alias("cluster"), "n", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), F.coalesce("label", F.concat(F.lit("Group "), (F.col("group") + 1).cast("string"))).alias("label"))
 
 
-def projection(postings: DataFrame, vocab: DataFrame, dims: int = 64, seed: int = 7, top: int = 4000) -> DataFrame:
+def projection(postings: DataFrame, vocab: DataFrame, dims: int = 64, seed: int = 7, top: int = 2000) -> DataFrame:
     """Rows (id, v): documents on the leading singular directions of the most frequent ``top`` tokens.
 
     Token-by-token products are summed on the cluster and decomposed on the driver, whose

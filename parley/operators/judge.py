@@ -79,12 +79,18 @@ def expand(scores: DataFrame, postings: DataFrame, weights: dict[str, float], te
     n = scores.count()
     if n < 20:
         return weights
-    top = scores.where("score > 0").orderBy(F.desc("score"), "id").limit(max(6, n // 50)).collect()
-    kept = [r for r in top if r.score >= 0.4 * top[0].score] if top else []
-    if len(kept) < 3:
+    best = scores.agg(F.max("score")).first()[0] or 0.0
+    share = n // 50
+    if share <= 1000:
+        top = scores.where("score > 0").orderBy(F.desc("score"), "id").limit(max(6, share))
+    else:  # the same share by its score, so that no task sorts it
+        top = scores.where((F.col("score") > 0) & (F.col("score") >= scores.agg(F.percentile("score", 0.98)).scalar()))
+    kept = held(top.where(F.col("score") >= 0.4 * best).select("id"), "relevant")
+    size = kept.count()
+    if size < 3:
         return weights
-    quorum = max(2, len(kept) // 3)
-    shared = postings.where(F.col("id").isin([r.id for r in kept]) & ~F.col("token").isin(list(weights))).groupBy("token").agg(F.countDistinct("id").alias("docs"), F.round(F.avg("weight"), 9).alias("w")).where(F.col("docs") >= quorum)
+    quorum = max(2, size // 3)
+    shared = postings.join(kept, "id", "left_semi").where(~F.col("token").isin(list(weights))).groupBy("token").agg(F.countDistinct("id").alias("docs"), F.round(F.avg("weight"), 9).alias("w")).where(F.col("docs") >= quorum)
     rows = shared.orderBy(F.desc("w"), "token").limit(terms).collect()
     mass = sum(r.w for r in rows) or 1.0
     scale = budget * sum(weights.values()) / mass

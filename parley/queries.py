@@ -451,7 +451,7 @@ def vector_groups(spark, d):
 @query()
 def emergent_groups(spark, d):
     vocab, postings = _postings(spark, d)
-    return cluster.graph_clusters(tables.held(postings, "postings"), t(spark, d, "documents").select(F.col("doc_id").alias("id")))
+    return cluster.graph_clusters(tables.held(postings, "postings"), t(spark, d, "documents").select(F.col("doc_id").alias("id")), vocab)
 
 
 @query()
@@ -466,6 +466,106 @@ def judged_rows(spark, d):
     return judge.judge(docs, "does the user call someone a worthless idiot?")[0]
 
 
+@query(f"""with {_TF}, {_VOCAB}, w as (select id, token, (1 + ln(tf)) * idf as w from tf join vocab using (token)), u as (select id, token, w / sqrt(sum(w * w) over (partition by id)) as w from w),
+p as (select a.id as l, b.id as r, round(sum(a.w * b.w), 6) as sim from u a join u b using (token) where a.id <> b.id group by 1, 2), k as (select l, r, row_number() over (partition by l order by sim desc, r) as rank from p where sim > 0 qualify rank <= 5)
+select l as "left", r as "right", rank::int as rank from k""")
+def text_neighbours(spark, d):
+    return similarity.posting_knn(_postings(spark, d)[1], 5).select("left", "right", "rank")
+
+
+@query(f"""with {_UNIT}, e as (select id, i, v[i] as w from (select id, v, unnest(range(1, 65)) as i from u)), g as (select vec_id as id, label as g from embeddings),
+s as (select g, i, sum(w) as w from e join g using (id) group by 1, 2), c as (select g, i, w / sqrt(sum(w * w) over (partition by g)) as c from s),
+r as (select id, g, round(sum(e.w * c.c), 6) as sim from e join g using (id) join c using (g, i) group by 1, 2)
+select id, g as "group", sim, row_number() over (partition by g order by sim desc, id)::int as rank from r""")
+def centroid_ranks(spark, d):
+    vectors = similarity.unit(t(spark, d, "embeddings"), "vec_id", "embedding")
+    flat = vectors.select("id", F.posexplode("v").alias("i", "weight")).select("id", F.col("i").cast("string").alias("token"), "weight")
+    return similarity.centroid_rank(flat, t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("group")))
+
+
+@query("select o_custkey, arg_max(o_orderkey, o_orderkey) as o_orderkey, arg_max(o_orderstatus, o_orderkey) as o_orderstatus from orders group by 1")
+def latest_rows(spark, d):
+    return joins.latest(t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", F.col("o_orderkey").alias("v")), ["o_custkey"], "v").select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("""select case when quality = 1 then 'yes' else 'no' end as group_key, count(*)::bigint as count, sum(toxic)::double as total, count(*)::double as value, round(count(*) / (select count(*) from labels), 6) as share from labels group by 1""")
+def yes_before_no(spark, d):
+    rows = t(spark, d, "labels").select(scalar.aspect_key((F.col("quality") == 1).cast("string")).alias("group_key"), F.col("toxic").cast("double").alias("value"))
+    return aggregate.yes_first(aggregate.grouped(rows))
+
+
+@query("select c_custkey from customer where c_custkey in (select o_custkey from orders) intersect select c_custkey from customer where c_acctbal > 0 except select o_custkey from orders where o_orderstatus = 'P'")
+def set_operations(spark, d):
+    customers, orders = t(spark, d, "customer"), t(spark, d, "orders")
+    served = joins.members(customers, orders.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").select("c_custkey")
+    return served.intersect(customers.where("c_acctbal > 0").select("c_custkey")).subtract(orders.where("o_orderstatus = 'P'").select("o_custkey"))
+
+
+@query(r"""select doc_id, case when length(s) <= 78 then s else regexp_replace(substr(s, 1, 78), '\s+\S*$', '') || '…' end as label
+from (select doc_id, regexp_replace(coalesce(list_filter(list_transform(regexp_extract_all(text, '[^.?!\n]*[.?!]+|[^.?!\n]+'), lambda x: trim(x)), lambda x: x <> '')[1], ''), '[.?!]+$', '') as s from documents)""")
+def sentence_labels(spark, d):
+    return t(spark, d, "documents").select("doc_id", tx.first_sentence_label(F.col("text")).alias("label"))
+
+
+@query(r"""select conv_id, turn, q is not null and q <> '' and contains(text, q) and not regexp_matches(q, '[0-9@_-]') as literal
+from (select conv_id, turn, text, list_filter(list_transform(regexp_extract_all(text, '[^.?!\n]*[.?!]+|[^.?!\n]+'), lambda x: trim(x)), lambda x: x <> '')[1] as q from conversations)""")
+def literal_quotes(spark, d):
+    """Opening sentences; the conversations hold no digits or addresses, so none is personal data."""
+    quote = F.get(tx.sentences(F.col("text")), F.lit(0))
+    return t(spark, d, "conversations").select("conv_id", "turn", tx.literal_quote(quote, F.col("text")).alias("literal"))
+
+
+@query("""with r as (select source as g, doc_id, n_chars from documents), q as (select g, doc_id, n_chars, row_number() over (partition by g order by n_chars desc, doc_id) as i from r) select g, doc_id, i::int as place from q where i <= 3""")
+def evidence_ranks(spark, d):
+    from pyspark.sql.window import Window
+
+    place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n_chars"), "doc_id"))
+    return t(spark, d, "documents").select(F.col("source").alias("g"), "doc_id", "n_chars").withColumn("place", place).where("place <= 3").drop("n_chars")
+
+
+@query("""select o_orderpriority, o_custkey, n::bigint as n, i::int as rank from (select o_orderpriority, o_custkey, count(*) as n, row_number() over (partition by o_orderpriority order by count(*) desc, o_custkey) as i from orders group by 1, 2) where i <= 3""")
+def top_per_group(spark, d):
+    return aggregate.top_per_group(t(spark, d, "orders"), "o_orderpriority", "o_custkey", 3)
+
+
+@query("""select o_orderkey, (row_number() over (order by o_totalprice desc, o_orderkey) - 1)::bigint as place from orders""")
+def ranked_places(spark, d):
+    return cluster.place(t(spark, d, "orders"), F.desc("o_totalprice"), F.asc("o_orderkey")).select("o_orderkey", "place")
+
+
+@query("""select time_bucket(interval 6 hour, ts) as start, count(*)::bigint as n from events group by 1""")
+def bucketed_events(spark, d):
+    return ingest.sliding(t(spark, d, "events"), "6 hours", "6 hours").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""select conv_id, string_agg(text, ' ' order by turn) as said, count(*)::bigint as n from conversations where role = 'assistant' group by 1""")
+def scoped_texts(spark, d):
+    own = t(spark, d, "conversations").where("role = 'assistant'")
+    return spans.trace_shape(own, "conv_id", "turn", "role", "text", user="assistant").select("conv_id", F.col("user_text").alias("said"), F.col("turns").alias("n"))
+
+
+@query()
+def answer_quotes(spark, d):
+    from parley.plans import answer
+
+    rows = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("group_key"), F.col("n_chars").cast("double").alias("value"))
+    return answer.quotes(rows, t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query()
+def group_names(spark, d):
+    vocab, postings = _postings(spark, d)
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    assigned = docs.select("id", F.coalesce(F.array_position(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]), F.col("lang")), F.lit(0)).cast("int").alias("cluster"))
+    return cluster.names(docs.select("id", "text"), assigned, postings, vocab)
+
+
+@query()
+def dense_projection(spark, d):
+    vocab, postings = _postings(spark, d)
+    return cluster.projection(postings, vocab)
+
+
 # -- sources --------------------------------------------------------------------
 
 
