@@ -80,7 +80,7 @@ class Engine:
             docs = held(self.docs(), "docs")
             tf = held(tx.term_frequencies(docs, "id", tx.tokens(F.col("text"))), "tf")
             vocab = held(tx.vocabulary(tf, F.lit(docs.count())), "vocabulary")
-            self._text = docs, vocab, held(tx.tfidf(tf, vocab), "postings")
+            self._text = docs, vocab, held(tx.tfidf(tf, vocab, vocab.count()), "postings")
         return self._text
 
     def _clusters(self, spec: QuerySpec, dropped: list[str]) -> answers.Answer:

@@ -119,6 +119,9 @@ def verdicts(scores: DataFrame, at: float, spread: float, negated: bool = False)
 def evidence(docs: DataFrame, weights: dict[str, float], text: str = "text") -> DataFrame:
     """Rows (id, quote): the sentence of over 12 characters that overlaps most, else the first 200 characters."""
     each = docs.select("id", F.posexplode(F.filter(tx.sentences(F.col(text)), lambda s: F.length(s) > 12)).alias("pos", "sentence"))
+    asked = sorted({w for t in weights for w in t.split("_")})
+    if asked:  # most sentences share no word with the question and need no tokens
+        each = each.where(F.lower("sentence").rlike("(?:^|[^a-z0-9])(?:" + "|".join(asked) + ")"))
     tokens = each.select("id", "pos", "sentence", F.explode(F.array_distinct(tx.tokens(F.col("sentence")))).alias("token")).where(F.col("token").isin(list(weights) or [""]))
     best = tokens.groupBy("id", "pos", "sentence").agg(F.round(F.sum(_weight(weights)), 9).alias("w")).groupBy("id").agg(F.max_by("sentence", F.struct("w", -F.col("pos"))).alias("quote"))
     return docs.join(best, "id", "left").select("id", F.coalesce("quote", F.substring(text, 1, 200)).alias("quote"))
@@ -134,7 +137,7 @@ def judge(docs: DataFrame, question: str, scoped: DataFrame | None = None) -> tu
     n = F.lit(docs.count())
     tf = held(tx.term_frequencies(docs, "id", tx.tokens(F.col("text"))), "tf")
     vocab = held(tx.vocabulary(tf, n), "vocabulary")
-    postings = held(tx.tfidf(tf, vocab), "postings")
+    postings = held(tx.tfidf(tf, vocab, vocab.count()), "postings")
     asked = analyse(question, vocab)
     ids = docs.select("id")
 

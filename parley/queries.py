@@ -370,7 +370,7 @@ def _tf(spark, d):
 def _postings(spark, d):
     tf = tables.held(_tf(spark, d), "tf")
     vocab = tables.held(tx.vocabulary(tf, F.lit(t(spark, d, "documents").count())), "vocabulary")
-    return vocab, tx.tfidf(tf, vocab)
+    return vocab, tx.tfidf(tf, vocab, vocab.count())
 
 
 @query(f"with {_TF} select id as doc_id, token, tf::bigint as tf from tf")
@@ -380,7 +380,8 @@ def term_frequencies(spark, d):
 
 @query(f"with {_TF}, {_VOCAB} select token, df::bigint as df, round(idf, 6) as idf from vocab")
 def vocabulary(spark, d):
-    return tx.vocabulary(_tf(spark, d), F.lit(t(spark, d, "documents").count())).select("token", "df", F.round("idf", 6).alias("idf"))
+    docs = t(spark, d, "documents")
+    return tx.vocabulary(tx.document_frequencies(docs, tx.tokens(F.col("text"))), F.lit(docs.count())).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {_TF}, {_VOCAB}, w as (select id, token, (1 + ln(tf)) * idf as w from tf join vocab using (token)) select id, token, round(w / sqrt(sum(w * w) over (partition by id)), 6) as weight from w")
@@ -410,7 +411,8 @@ def redaction(spark, d):
 
 @query()
 def stems_and_aliases(spark, d):
-    vocab = tx.vocabulary(tx.term_frequencies(t(spark, d, "documents"), "doc_id", tx.tokens(F.col("text"), stems=True, bigrams=False)), F.lit(t(spark, d, "documents").count()))
+    docs = t(spark, d, "documents")
+    vocab = tx.vocabulary(tx.document_frequencies(docs, tx.tokens(F.col("text"), stems=True, bigrams=False)), F.lit(docs.count()))
     return tx.aliases(tables.held(vocab, "vocabulary"))
 
 
