@@ -88,7 +88,8 @@ class Engine:
         ids = lower.eligible(spec, self.binding).select(self.binding.get("id").alias("id"))
         if spec.focus:
             n = ids.count()
-            hits = similarity.search(postings, vocab, {w: 1.0 for w in spec.focus}, floor=0.0)
+            idf = {r.token: r.idf for r in vocab.where(F.col("token").isin(spec.focus)).collect()}  # a question's words
+            hits = similarity.search(postings, vocab, dict.fromkeys(cluster.topical(spec.focus, idf), 1.0), floor=0.0)
             narrowed = similarity.focus(held(ids.join(hits, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score")), "focus"), n)
             ids = narrowed.select("id") if narrowed is not None else ids
         own = postings.join(ids, "id", "left_semi")
@@ -112,6 +113,7 @@ class Engine:
         for g in got:
             if labels and g["group_key"] in labels:
                 g["label"], g["terms"] = labels[g["group_key"]]
+                g["subtitle"] = cluster.subtitle(g["terms"])
         denominator = sum(g["count"] for g in got)
         every = self.binding.traces.count()
         said = []

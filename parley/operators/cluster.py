@@ -175,6 +175,39 @@ def names(docs: DataFrame, assigned: DataFrame, postings: DataFrame, vocab: Data
     return sizes.join(best, "group", "left").join(medoid, "group", "left").select(F.col("group").alias("cluster"), "n", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), F.coalesce("label", F.concat(F.lit("Group "), (F.col("group") + 1).cast("string"))).alias("label"))
 
 
+def distinct_terms(terms: list[str], limit: int = 4) -> list[str]:
+    """Terms that add a word: one whose words are all in those before it is left out."""
+    seen: set[str] = set()
+    out = []
+    for term in terms:
+        words = set(term.replace("_", " ").split())
+        if words - seen:
+            out.append(term.replace("_", " "))
+            seen |= words
+        if len(out) == limit:
+            break
+    return out
+
+
+def subtitle(terms: list[str]) -> str:
+    """The two leading terms as a phrase."""
+    best = distinct_terms(terms, 2)
+    return " and ".join(best).capitalize() if best else ""
+
+
+def subject(terms: list[str], idf: dict[str, float], floor: float = 3.5) -> str | None:
+    """The term that holds the rarest word, if that word is rare at all; ties to the first."""
+    rare = [(max(idf.get(w, 0.0) for w in t.replace("_", " ").split()), -i, t) for i, t in enumerate(terms)]
+    best = max(rare, default=(0.0, 0, None))
+    return best[2].replace("_", " ") if best[0] >= floor else None
+
+
+def topical(words: list[str], idf: dict[str, float], known: int = 8, unseen: int = 8) -> list[str]:
+    """A topic's query: its known words, the rarest first, and some the vocabulary lacks."""
+    have = sorted({w for w in words if w in idf}, key=lambda w: (-idf[w], w))[:known]
+    return have + sorted({w for w in words if w not in idf})[:unseen]
+
+
 def projection(postings: DataFrame, vocab: DataFrame, dims: int = 64, seed: int = 7, top: int = 2000) -> DataFrame:
     """Rows (id, v): documents on the leading singular directions of the most frequent ``top`` tokens.
 
