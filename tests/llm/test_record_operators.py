@@ -81,6 +81,15 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert chat.format_chats(spark, messages.limit(0)).count() == 0
 
 
+def test_a_repeated_identifier_links_to_its_nearest_call(spark):
+    rows = [(1, i, "assistant" if i % 2 == 0 else "tool", call(("a", "f", {"i": i})) if i % 2 == 0 else result("a", str(i))) for i in range(40)]
+    rows += [(1, 40, "tool", result("a", "late")), (2, 0, "tool", result("a", "early")), (2, 0, "assistant", call(("a", "f", {}))), (2, 1, "tool", result("a", "mine"))]
+    got = chat.format_chats(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sum(r.n_linked for r in got if r.role == "assistant") == 21
+    assert [r.n_linked for r in sorted(got, key=lambda r: (r.conv_id, r.turn)) if r.role == "tool"][:20] == [1] * 20
+    assert {r.json: r.n_linked for r in got if r.conv_id == 2 and r.role == "tool"} == {'{"content":"early","role":"tool","tool_call_id":"a"}': 0, '{"content":"mine","role":"tool","tool_call_id":"a"}': 1}
+
+
 # -- vectors --------------------------------------------------------------------
 
 
