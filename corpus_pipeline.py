@@ -55,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = Staged(spark, stage(spark, docs, sf_dir), name).df
+        new = Staged(spark, stage(spark, docs, sf_dir), name)
+        if last:
+            last.drop()  # the new table is complete and no longer reads it
+        docs, last = new.df, new
     return STAGES[-1][1](spark, docs, sf_dir)
