@@ -24,7 +24,6 @@ from __future__ import annotations
 import base64
 import gc
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.store import fresh, without
+from parley.llm.store import fresh, large, without
 
 #: Bounds of each worker's memory: pieces remembered, and subset states kept before starting afresh.
 MAX_PIECES = 300_000
@@ -319,10 +318,9 @@ class Codec:
         return "".join(out) + "�" * bool(state)
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     gc.set_threshold(500_000, 50, 1000)  # the automata are large, acyclic and kept: frequent collections only cost
-    return Codec(path, pattern)
+    return large((Codec, path, pattern), lambda: Codec(path, pattern))
 
 
 def default_pattern() -> str:

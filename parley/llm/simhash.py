@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.llm.components import components
-from parley.llm.store import Staged, drop_rows, fresh
+from parley.llm.store import Staged, drop_rows, fresh, release
 
 SEED = 42
 #: Shingles whose bits are counted at a time, to bound memory on very long texts.
@@ -61,6 +61,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     """Rows (doc_id, fp): one per row of ``df``; fp is the signed reading of the 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])

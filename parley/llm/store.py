@@ -6,6 +6,7 @@ executor costs a re-read and nothing else.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,24 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/parley/{tag}-{uuid.uuid4().hex}"
 
 
+_LARGE: dict = {}
+
+
+def large(key, build):
+    """A large structure of a Python worker, built once; only the last one asked for is kept."""
+    if key not in _LARGE:
+        release()
+        _LARGE[key] = build()
+    return _LARGE[key]
+
+
+def release() -> None:
+    """Frees a reused worker of what another operator left in it."""
+    if _LARGE:
+        _LARGE.clear()
+        gc.collect()
+
+
 class Staged:
     """A DataFrame written once to the shared folder and read back."""
 

@@ -27,14 +27,13 @@ import gc
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.store import Staged, new_path
+from parley.llm.store import Staged, large, new_path
 
 #: Chunks of each of the two generations a worker remembers; a full young one becomes the old one.
 MAX_CHUNKS = 300_000
@@ -132,13 +131,12 @@ class Chunks(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-@lru_cache(maxsize=2)
 def _chunks(path: str, width: str) -> Chunks:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     gc.set_threshold(500_000, 50, 1000)  # remembered chunks are acyclic; frequent collections only cost
-    return Chunks(path, width)
+    return large((Chunks, path, width), lambda: Chunks(path, width))
 
 
 def tokenize(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text", width: str = "<u4", size: int = 0) -> DataFrame:

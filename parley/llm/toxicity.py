@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.store import Staged, fresh, without
+from parley.llm.store import Staged, fresh, release, without
 
 MAX_EXAMPLES = 4000
 MIN_G2 = 20.0
@@ -203,6 +203,7 @@ def score(df: DataFrame, index: Index, text: str = "text", score_name: str = "to
     kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         learnt = shared.value
         for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             got = [learnt.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
