@@ -72,7 +72,7 @@ def matches(docs: DataFrame, keys: DataFrame, n_keys: int, sizes: list[int], doc
     ws = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("ws"))
     n = F.size("ws")
     blank = (F.get("ws", F.lit(0)) == "").cast("int") + ((n > 1) & (F.get("ws", n - 1) == "")).cast("int")
-    ws = ws.select("row", "doc_id", "ws", (n - blank).cast("long").alias("n_words"), F.explode(F.sequence(F.lit(-1), n - min(sizes, default=1))).alias("at")) if sizes else ws.select("row", "doc_id", "ws", (n - blank).cast("long").alias("n_words"), F.lit(-1).alias("at"))
+    ws = ws.select("row", "doc_id", "ws", (n - blank).cast("long").alias("n_words"), F.explode(F.sequence(F.lit(-1), F.greatest(n - min(sizes, default=1), F.lit(-1)))).alias("at")) if sizes else ws.select("row", "doc_id", "ws", (n - blank).cast("long").alias("n_words"), F.lit(-1).alias("at"))
     each = [F.when(F.col("at") < 0, F.lit(0).cast("long")).otherwise(shingle_key(F.col("ws"), F.col("at"), size)) for size in sizes or [SHINGLE]]
     if len(each) == 1:
         ws = ws.withColumn("key", each[0])

@@ -210,6 +210,14 @@ def test_contamination_equals_brute_force(spark):
     assert decontam.contamination(spark, frame(spark, docs).limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_short_documents_come_once_beside_long_items(spark):
+    docs = [None, "", "word", " ", "two words", "one of three words here"]
+    items = spark.createDataFrame([(1, "one of three words"), (2, "a b c d e f g h i j k l")], "item_id long, text string")
+    got = decontam.contamination(spark, frame(spark, docs), items).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(docs)))
+    assert {r.doc_id: (r.n_words, r.n_hit) for r in got} == {0: (0, 0), 1: (0, 0), 2: (1, 0), 3: (0, 0), 4: (2, 0), 5: (5, 4)}
+
+
 # -- near-duplicates ------------------------------------------------------------
 
 
