@@ -90,6 +90,18 @@ def test_a_repeated_identifier_links_to_its_nearest_call(spark):
     assert {r.json: r.n_linked for r in got if r.conv_id == 2 and r.role == "tool"} == {'{"content":"early","role":"tool","tool_call_id":"a"}': 0, '{"content":"mine","role":"tool","tool_call_id":"a"}': 1}
 
 
+def test_long_chains_and_cycles_are_told_apart(spark):
+    cite = lambda i, *to: call((i, "f", {"v": " ".join("${%s}" % t for t in to)}))
+    rows = [(1, 60 - i, "assistant", cite(f"c{i}", *[f"c{i - 1}"] * (i > 0))) for i in range(54)] + [(1, 61, "tool", result("c53", "last"))]
+    graph = {"a": "", "x": "ay", "y": "x", "between": "y", "p": ["between", "q"], "q": "p", "after": "pa", "self": ["self"]}
+    rows += [(2, t, "assistant", cite(i, *to)) for t, (i, to) in enumerate(graph.items())]
+    got = chat.format_chats(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: r["rank"] for r in got if r.conv_id == 1} == {60 - i: i for i in range(54)} | {61: 53}
+    assert not any(r.cycle for r in got if r.conv_id == 1)
+    own = {list(graph)[r.turn]: (r["rank"], r.cycle) for r in got if r.conv_id == 2}
+    assert own == {"a": (0, False), "x": (1, True), "y": (1, True), "between": (2, False), "p": (3, True), "q": (3, True), "after": (4, False), "self": (0, True)}
+
+
 # -- vectors --------------------------------------------------------------------
 
 
