@@ -7,9 +7,11 @@ gaps and matches are summed up. The patterns are equivalent to the plain ones bu
 start only where a match can start and never backtrack, so that long texts stay
 linear.
 
-Bootstrapping. Candidates are blank-separated tokens that hold ``@`` or six or more
-digits. Those inside base spans are seed instances; the two words before a candidate
-are its lexical pattern. Patterns and instances form a bipartite graph of distinct
+Bootstrapping. Base spans are the seed instances. Candidates are tokens and runs of
+blank-separated digit groups, of any length, that hold ``@`` or six or more digits and
+overlap no base span. The two words of the text before an instance are its lexical
+pattern; a first word with a digit or ``@`` is left out, as it is seldom twice the same,
+and a match before is a word of its own. Patterns and instances form a bipartite graph of distinct
 edges, which Spark scores in rounds: a pattern by the lower Wilson bound of its
 instances' mean confidence, an instance by the noisy-or of its accepted patterns.
 Candidates outside base spans whose final confidence reaches ``ACCEPT`` become spans
@@ -35,7 +37,10 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+GROUPS = r"[+(]*+[0-9][0-9().+-]*+(?:\x20\(*+[0-9]{2}[0-9().+-]*+(?![^\s\"',;:!?\]}>]))++"
+CANDIDATE = rf"(?<!\S)(?:{GROUPS}|[^\s0-9@]*+[0-9@]\S*+)"
+#: Opening marks before an identifier; a bracket around its first digits is its own.
+OPENING = r"^(?:[\"'\[{<]|\((?![0-9]+\)))*+"
 
 ROUNDS = 3
 #: A pattern counts once its lower bound reaches this; an instance is an identifier from this confidence.
@@ -51,16 +56,18 @@ def _pieces(text: Column, pattern: str) -> Column:
 
 
 def _placed(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value, gap): every match with its code points and the text since the last one."""
-    none = F.array().cast("array<struct<start:int,end:int,value:string,gap:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    """Array of (start, end, value, left): every match with its code points and the two words before it, as they are."""
+    none = F.array().cast("array<struct<start:int,end:int,value:string,left:string>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), none.alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
         gap, value = piece["0"], piece["1"]
         begin = acc["at"] + F.char_length(gap)
         end = begin + F.coalesce(F.char_length(value), F.lit(0))
-        new = F.when(value.isNull(), none).otherwise(F.array(F.struct(begin.alias("start"), end.alias("end"), value.alias("value"), gap.alias("gap"))))
-        return F.struct(end.alias("at"), F.concat(acc["out"], new).alias("out"))
+        left = F.regexp_extract(F.regexp_replace(F.concat(acc["before"], gap), r"(?<![\"'(\[{<])[\"'(\[{<]++$", ""), r"(?<!\S)(?:\S++\s++)?\S++\s*+$", 0)
+        new = F.when(value.isNull(), none).otherwise(F.array(F.struct(begin.alias("start"), end.alias("end"), value.alias("value"), left.alias("left"))))
+        before = F.when(value.isNull(), F.lit("")).otherwise(F.concat(left, F.lit(" "), value, F.lit(" ")))
+        return F.struct(end.alias("at"), before.alias("before"), F.concat(acc["out"], new).alias("out"))
 
     return F.aggregate(_pieces(text, pattern), start, step, lambda acc: acc["out"])
 
@@ -88,12 +95,12 @@ def _phone_ok(value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """Array of (start, kind, end) of the four base kinds, by start and then kind (an index of KINDS)."""
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    """Array of (start, kind, end, value, left) of the four base kinds, by start and then kind (an index of KINDS)."""
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,left:string>>")
 
     def of(kind: int, pattern: str, may: Column, ok) -> Column:
         found = F.filter(_placed(text, pattern), lambda m: ok(m["value"]))
-        return F.when(may, F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))).otherwise(none)
+        return F.when(may, F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["value"].alias("value"), m["left"].alias("left")))).otherwise(none)
 
     return F.array_sort(
         F.concat(
@@ -109,31 +116,39 @@ def _word(raw: Column) -> Column:
     return F.lower(F.regexp_replace(raw, r"^\W+|(?<![:=])\W+$", ""))
 
 
+def _pattern(left: Column) -> Column:
+    """The lexical pattern of the words before an instance."""
+    two = F.split(F.trim(F.regexp_replace(left, r"\s+", " ")), " ")
+    two = F.when(F.get(two, F.lit(0)).rlike("[0-9@]"), F.slice(two, -1, 1)).otherwise(two)
+    return F.array_join(F.transform(two, _word), " ")
+
+
 def candidates(text: Column) -> Column:
-    """Array of (start, end, value, left) of tokens that may be identifiers and the two words before them."""
+    """Array of (start, end, value, left) of tokens and runs of digit groups that may be identifiers, with their patterns."""
     none = F.array().cast("array<struct<start:int,end:int,value:string,left:string>>")
 
     def shaped(m: Column) -> Column:
-        core = F.regexp_extract(m["value"], r"^[\"'(\[{<]*+(.*?)[\"'.,;:!?)\]}>]*$", 1)
-        lead = F.char_length(F.regexp_extract(m["value"], r"^[\"'(\[{<]*+", 0))
-        before = F.regexp_extract(m["gap"], r"(\S+\s+)?(\S+)\s+$", 0)
-        two = F.split(F.trim(before), r"\s+")
-        left = F.array_join(F.transform(two, _word), " ")
-        return F.struct((m["start"] + lead).alias("start"), (m["start"] + lead + F.char_length(core)).alias("end"), core.alias("value"), left.alias("left"))
+        opening = F.regexp_extract(m["value"], OPENING, 0)
+        core = F.regexp_extract(F.substring(m["value"], F.char_length(opening) + 1, F.char_length(m["value"])), r"^(.*?)[\"'.,;:!?)\]}>]*$", 1)
+        lead = F.char_length(opening)
+        return F.struct((m["start"] + lead).alias("start"), (m["start"] + lead + F.char_length(core)).alias("end"), core.alias("value"), _pattern(m["left"]).alias("left"))
 
     def may(c: Column) -> Column:
         digits = F.length(F.regexp_replace(c["value"], r"[^0-9]", ""))
-        return (F.contains(c["value"], F.lit("@")) | (digits >= 6)) & (F.char_length(c["value"]) <= 64) & (F.char_length(c["left"]) > 0)
+        return (F.contains(c["value"], F.lit("@")) | (digits >= 6)) & (F.trim(c["left"]) != "")
 
     return F.when(text.rlike(r"[0-9@]"), F.filter(F.transform(_placed(text, CANDIDATE), shaped), may)).otherwise(none)
 
 
 def _table(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, base_spans(whole).alias("_base"), candidates(whole).alias("_cand"))
-    inside = lambda c: F.exists("_base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"]))
-    seeded = F.transform("_cand", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["left"].alias("left"), inside(c).alias("seed")))
-    return out.withColumn("_cand", seeded)
+    out = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, base_spans(whole).alias("_found"), candidates(whole).alias("_cand"))
+    use = lambda c, left, seed: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), left.alias("left"), F.lit(seed).alias("seed"))
+    seeds = F.filter(F.transform("_found", lambda b: use(b, _pattern(b["left"]), True)), lambda c: F.trim(c["left"]) != "")
+    free = F.filter("_cand", lambda c: ~F.exists("_found", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
+    base = F.transform("_found", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
+    kept = [c for c in out.columns if c not in ("_found", "_cand")]
+    return out.select(*kept, base.alias("_base"), F.concat(seeds, F.transform(free, lambda c: use(c, c["left"], False))).alias("_cand"))
 
 
 def bootstrap(spark: SparkSession, uses: DataFrame, rounds: int = ROUNDS, trust: float = TRUST) -> tuple[DataFrame, DataFrame]:

@@ -151,6 +151,24 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(not [s for s in got[i].spans if s.kind == 4] for i in range(60))
 
 
+def test_every_base_kind_seeds_contexts(spark):
+    def card(i):
+        body = f"411122{i:09d}"
+        digits = [int(c) for c in reversed(body)]
+        body += str(-sum(d if n % 2 else 2 * d - 9 * (d > 4) for n, d in enumerate(digits)) % 10)
+        return " ".join(body[k : k + 4] for k in range(0, 16, 4))
+
+    known = [f"reach me under +1 ({100 + i}) 555-{1000 + i} today" for i in range(40)] + [f"paid by card {card(i)} then" for i in range(40)] + [f"on host address 1.2.3.{i + 10} now" for i in range(40)]
+    known += [f"x 7 mail: <u{i}@site.org>" for i in range(40)]
+    long_id = "7" * 90
+    unseen = [("reach me under (132) 555 1352, today", "(132) 555 1352"), ("paid by card 9999 8888 7777 then", "9999 8888 7777"), ("on host address 20250101 now", "20250101"), ("x 8 mail: " + long_id, long_id), ("some plain words 20250101 now", None)]
+    texts = known + [t for t, _ in unseen]
+    got = {r.doc_id: r for r in pii.detect(spark, frame(spark, texts)).collect()}
+    found = {i: [texts[i][s.start : s.end] for s in r.spans if s.kind == 4] for i, r in got.items()}
+    assert all(got[i].base and not found[i] for i in range(len(known)))
+    assert [found[len(known) + n] for n in range(len(unseen))] == [[v] * (v is not None) for _, v in unseen]
+
+
 def plain_redaction(text):
     """Spans left to right; one that begins inside the last mark's text is covered by it."""
     out, at = "", 0
