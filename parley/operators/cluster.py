@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -89,28 +90,29 @@ def graph_clusters(postings: DataFrame, ids: DataFrame, vocab: DataFrame | None
     """Rows (id, cluster) of emergent groups: mutual neighbours, their components, then linkage.
 
     Sparse pairs grow with the square of the rows, so beyond ``max_rows`` the rows are put
-    on their leading singular directions and grouped by cosine k-means, its k chosen on a
-    sample. Rows without a token stay alone in the last group there.
+    on their leading singular directions and grouped by cosine k-means, its k chosen on
+    all rows. Rows without a token stay together in the last group there.
     """
     n = ids.count()
     if n > max_rows and vocab is not None:
         dense = held(projection(postings, vocab), "dense")
-        x = np.array([r.v for r in similarity.unit(dense, "id", "v").orderBy(F.xxhash64("id"), "id").limit(2048).select("v").collect()])
-        found = kmeans_cosine(dense, "id", "v", choose_k(x))[0].select("id", "cluster")
+        own = held(similarity.unit(dense, "id", "v"), "unit")
+        found = to_nearest(own, best_fit(own)[1]).select("id", "cluster")
         return number(ids.join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(1 << 30)).alias("group")))
     near = held(similarity.posting_knn(postings, k), "near")
     groups = similarity.components(ids, similarity.mutual(near, link_at)).select("id", F.col("component").alias("group"))
     return number(link(postings, held(groups, "groups"), floor))
 
 
-def kmeans_cosine(vectors: DataFrame, id_col: str, vector: str, k: int, rounds: int = 40, sample: int = 4096) -> tuple[DataFrame, np.ndarray]:
-    """Rows (id, cluster, sim) and the centers: spherical k-means, seeded farthest first.
+def kmeans_cosine(vectors: DataFrame, id_col: str, vector: str, k: int, rounds: int = 40) -> tuple[DataFrame, np.ndarray]:
+    """Rows (id, cluster, sim) and the centers: spherical k-means over all rows, seeded farthest first."""
+    own = held(similarity.unit(vectors, id_col, vector), "unit")
+    centers = fit(own, [k], rounds)[k]
+    return to_nearest(own, centers), centers
 
-    Centers are fitted on at most ``sample`` rows, the first by a hash of the id; every row is assigned.
-    """
-    own = similarity.unit(vectors, id_col, vector)
-    x = np.array([r.v for r in own.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()])
-    centers = fit_centers(x, k, rounds)
+
+def to_nearest(own: DataFrame, centers: np.ndarray) -> DataFrame:
+    """Rows (id, cluster, sim): the nearest center of each row of ``own`` (id, v)."""
 
     def assign(batches):
         for batch in batches:
@@ -119,35 +121,100 @@ def kmeans_cosine(vectors: DataFrame, id_col: str, vector: str, k: int, rounds:
             best = sims.argmax(1) if len(v) else np.empty(0, int)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.int32()), pa.array(np.round(sims[np.arange(len(v)), best], 6))], names=["id", "cluster", "sim"])
 
-    return own.mapInArrow(assign, f"id {own.schema['id'].dataType.simpleString()}, cluster int, sim double"), centers
+    return own.mapInArrow(assign, f"id {own.schema['id'].dataType.simpleString()}, cluster int, sim double")
+
+
+def fold(rows: DataFrame | np.ndarray, part, merge=np.add) -> np.ndarray:
+    """``part`` (a block of vectors to a flat array) over all vectors of ``rows`` (column v), merged; empty without rows.
+
+    Each task hands on one array, whatever its rows.
+    """
+    if isinstance(rows, np.ndarray):
+        return part(rows)
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                own = part(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                total = own if total is None else merge(total, own)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(float).tobytes()], pa.binary())], names=["m"])
+
+    parts = [np.frombuffer(r.m) for r in rows.select("v").mapInArrow(run, "m binary").collect()]
+    return functools.reduce(merge, parts) if parts else np.empty(0)
+
+
+def _higher(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The one of two (score, vector) of the higher score, ties by vector."""
+    return max(a, b, key=lambda m: (round(m[0], 12), *m[1:]))
 
 
-def fit_centers(x: np.ndarray, k: int, rounds: int = 40) -> np.ndarray:
-    k = min(k, len(x))
-    chosen = [int((x @ x.mean(0)).argmax())]
-    while len(chosen) < k:
-        chosen.append(int((x @ x[chosen].T).max(1).argmin()))
-    centers = x[chosen].copy()
+def seeds(rows: DataFrame | np.ndarray, k: int) -> np.ndarray:
+    """The row nearest to the mean, then row by row the one farthest from those before; at most as many as there are rows."""
+    total = fold(rows, lambda x: np.append(x.sum(0), len(x)))
+    if not len(total):
+        return np.empty((0, 0))
+    mean, n = total[:-1] / total[-1], int(total[-1])
+
+    def leading(score):
+        def part(x):
+            s = np.round(score(x), 12)
+            return functools.reduce(_higher, [np.append(s[i], x[i]) for i in np.flatnonzero(s == s.max())])
+
+        return fold(rows, part, _higher)[1:]
+
+    chosen = leading(lambda x: x @ mean)[None]
+    while len(chosen) < min(k, n):
+        chosen = np.vstack([chosen, leading(lambda x, c=chosen: -(x @ c.T).max(1))])
+    return chosen
+
+
+def fit(rows: DataFrame | np.ndarray, ks: list[int], rounds: int = 40) -> dict[int, np.ndarray]:
+    """Centers for each k: all of them in one pass over the rows a round, whose sums alone come to the driver."""
+    start = seeds(rows, max(ks))
+    centers, left = {k: start[:k].copy() for k in ks}, list(ks) if len(start) else []
+
+    def sums(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        own = np.zeros((len(x), len(c)))
+        own[np.arange(len(x)), (x @ c.T).argmax(1)] = 1
+        return np.hstack([own.T @ x, own.sum(0)[:, None]]).ravel()
+
     for _ in range(rounds):
-        near = (x @ centers.T).argmax(1)
-        new = np.array([x[near == c].mean(0) if (near == c).any() else centers[c] for c in range(k)])
-        new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-8)
-        if np.allclose(new, centers):
+        if not left:
             break
-        centers = new
+        got = fold(rows, lambda x, at=[centers[k] for k in left]: np.concatenate([sums(x, c) for c in at]))
+        for k in list(left):
+            old = centers[k]
+            size = len(old) * (old.shape[1] + 1)
+            own, got = got[:size].reshape(len(old), -1), got[size:]
+            new = np.where(own[:, -1:] > 0, own[:, :-1] / np.maximum(own[:, -1:], 1), old)
+            new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-8)
+            if np.allclose(new, old):
+                left.remove(k)
+            else:
+                centers[k] = new
     return centers
 
 
-def choose_k(x: np.ndarray) -> int:
-    """The k from 3 to min(14, sqrt(n / 1.6)) with the best margin between own and next center, less a price per group."""
-    top = min(14, max(3, round(math.sqrt(len(x) / 1.6))))
-    best, best_k = -math.inf, 3
-    for k in range(3, top + 1):
-        sims = np.sort(x @ fit_centers(x, k).T, axis=1)
-        margin = float((sims[:, -1] - sims[:, -2]).mean()) - 0.006 * k if sims.shape[1] > 1 else -math.inf
-        if margin > best:
-            best, best_k = margin, k
-    return best_k
+def best_fit(rows: DataFrame | np.ndarray) -> tuple[int, np.ndarray]:
+    """The k from 3 to min(14, sqrt(n / 1.6)) with the best margin between own and next center, less a price per group, and its centers."""
+    n = fold(rows, lambda x: np.array([len(x)]))
+    n = int(n[0]) if len(n) else 0
+    ks = list(range(3, min(14, max(3, round(math.sqrt(n / 1.6)))) + 1))
+    centers = fit(rows, ks)
+
+    def margin(x: np.ndarray, c: np.ndarray) -> float:
+        sims = np.sort(x @ c.T, axis=1)
+        return float((sims[:, -1] - sims[:, -2]).sum()) if len(c) > 1 else -math.inf
+
+    got = fold(rows, lambda x: np.array([margin(x, centers[k]) for k in ks]))
+    best = max(zip(ks, got, strict=False), key=lambda m: m[1] / n - 0.006 * m[0], default=(3, 0))[0]
+    return best, centers[best]
+
+
+def choose_k(x: DataFrame | np.ndarray) -> int:
+    return best_fit(x)[0]
 
 
 def merge_close(centers: np.ndarray, at: float = 0.72) -> list[int]:

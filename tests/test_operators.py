@@ -119,6 +119,18 @@ def test_kmeans_finds_blobs(spark):
     assert cluster.choose_k(x / np.linalg.norm(x, axis=1, keepdims=True)) == 3
 
 
+def test_kmeans_seeds_a_group_of_one_in_a_larger_table(spark):
+    n = 5000
+    last = spark.range(n).orderBy(F.xxhash64("id").desc()).first().id
+    rng = np.random.default_rng(4)
+    x = np.eye(6)[np.arange(n) % 2] + rng.normal(size=(n, 6)) * 0.02
+    x[last] = np.eye(6)[4]
+    found, _ = cluster.kmeans_cosine(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "id", "v", 3)
+    sizes = {r.cluster: r.ids for r in found.groupBy("cluster").agg(F.collect_list("id").alias("ids")).collect()}
+    assert sorted(map(len, sizes.values()))[0] == 1 and [last] in sizes.values()
+    assert cluster.choose_k(similarity.unit(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:60])], "id long, v array<double>"), "id", "v")) == cluster.choose_k(x[:60] / np.linalg.norm(x[:60], axis=1, keepdims=True))
+
+
 def test_judge_finds_what_is_asked(spark):
     said = [(i, f"My parcel number {i} arrived damaged by water and I want a refund." if i % 10 == 0 else f"Please move my flight number {i} to another day, thank you.") for i in range(60)]
     got, asked = judge.judge(spark.createDataFrame(said, "id long, text string"), "does the user report a damaged parcel?")
