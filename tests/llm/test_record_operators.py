@@ -139,6 +139,35 @@ def test_recall_and_scores(spark, vectors):
         assert all(abs(s - float(np.dot(np.array(x[q]), np.array(x[i])))) < 1e-12 for _, i, s in found)
 
 
+def test_recall_on_the_given_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got: dict = {}
+    for r in ann.search(spark, table, F.col("vec_id") % 20 == 0, k=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in table.collect()]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    found = []
+    for i, v in rows:
+        if i % 20 == 0:
+            s, m = x @ v, ids != i
+            found.append(len(got[i] & set(ids[m][np.lexsort((ids[m], -s[m]))[:20]].tolist())) / 20)
+    assert np.mean(found) >= 0.9
+
+
+def test_many_equal_vectors(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 8))
+    x = [[float(a) for a in v] for v in (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)]
+    rows = [(i, x[0] if i % 3 == 0 else x[i % 300]) for i in range(3000)] + [(0, x[0])] * 40
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(spark, df, F.col("vec_id") % 300 == 0, k=10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for i in range(0, 3000, 300):  # 1,040 rows have the best vector
+        want = ([0] * 10) if i else [3 * j for j in range(1, 11)]
+        assert [v for _, v in sorted(got[i])] == want
+
+
 def test_few_and_repeated_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (20, [0.5, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
