@@ -10,14 +10,24 @@
    on that path. A page that lacks the path, or has under half of its prose there,
    keeps its own container.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are known by tag, role or class and never give text; headings in an
-article's own header do. Character references are decoded, white space inside a
-block becomes one space, and blocks are joined by one space in page order.
+What is no article. Elements that are so by tag (menus, footers, sidebars, buttons,
+scripts, styles, ``noscript``), role or a hiding attribute never give text. Words of
+a class or id are evidence, weighed against the prose: a name made up of such words
+alone (``cookie-notice``, ``comment-list``) drops its element unless that holds an
+``article`` or ``main`` with half of the page's prose; a name with another word in
+it (``social-science``), or beside a name such as ``content``, and ``form`` and
+``header`` drop theirs only if it holds under half of the prose. Negated names
+(``no-sidebar``, ``has-share``) say nothing. Headings in an article's own header are
+kept. Character references are decoded, white space inside a block becomes one
+space, and blocks are joined by one space in page order.
+
+The scanner takes time in proportion to the page, whatever its markup: every open
+element is passed once when it is closed, and quotes hide ``>`` only behind ``=``.
 
 Defined results: null, empty or text-free html gives the empty text; a page without
-a host votes for and uses its own container alone; broken or cut markup is read as
-far as it goes; repeated rows give a row each; extra columns are not read.
+a host votes for and uses its own container alone; a tag that never ends stops at the
+next ``<``; scripts, styles and comments that never end reach to the end of the page;
+repeated rows give a row each; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,11 +35,13 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from parley.llm.store import Staged, small
 
@@ -37,18 +49,29 @@ from parley.llm.store import Staged, small
 BROADCAST_ROWS = 300_000
 #: Share of a container's prose that a child must hold for the descent to go on.
 MOST = 0.7
+#: Share of a page's prose from which evidence by class no longer counts.
+HALF = 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^<>]*(?:>|\Z)", re.S)
-_CLASSES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/<>]*+)((?:[^=<>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/<>]*+)([^<>]*+)>?")
+_OTHER = re.compile(r"<[!?/][^>]*+>?")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+_PART = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"[0-9]+")
+_CAPITAL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe textarea select title object math canvas audio video head".split())
+#: Elements read over whole; of these, the second set reaches to the end of the page if it is never closed.
+RAW = frozenset("script style noscript template svg iframe textarea select title object canvas audio video head".split())
+ENDLESS = frozenset("script style noscript iframe textarea title".split())
 BLOCKS = frozenset("html body div main article section header footer nav aside form fieldset table thead tbody tfoot tr td th caption ul ol li dl dt dd p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address hr details summary dialog menu center".split())
 CONTAINERS = frozenset("html body div main article section table tbody tr td center".split())
-NEVER = frozenset("nav footer aside form button dialog menu".split())
+NEVER = frozenset("nav footer aside button dialog menu".split())
+PERHAPS = frozenset("form header".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: A start tag of the key closes an open element of the values.
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: A start tag of the key closes open elements of the values inside their scope.
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th")}
+CLOSABLE = frozenset("p li dt dd tr td th".split())
 SCOPES = frozenset("ul ol dl table body html div article section td".split())
 #: Words of class, id or role that mark what is no article.
 BOILER = frozenset(
@@ -56,168 +79,267 @@ BOILER = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall "
     "share sharing social related recommended recommendations comment comments respond replies reply disqus discussion feedback form login search searchbox pagination pager toolbar copyright legal disclaimer skip hidden".split()
 )
-_PART = re.compile(r"[a-z]+")
-_DIGITS = re.compile(r"[0-9]+")
+#: Words that say nothing beside those.
+PLAIN = frozenset("list item items box wrap wrapper container area section block site page top bottom left right inner outer bar link links icon icons button buttons text body content global main primary secondary group module region panel column col row title post posts article articles the of to".split())
+#: Words of a name that mark the article.
+GOOD = frozenset("content article post entry main story text body".split())
+#: Words that turn a name around.
+NEGATED = frozenset("no not non without has have with hide".split())
+#: Roles that are decisive alone.
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "off", "prose", "children", "heads")
-
-    def __init__(self, tag: str, path: str, parent: Node | None, off: bool, heads: bool):
-        self.tag, self.path, self.parent, self.off, self.heads = tag, path, parent, off, heads
-        self.prose, self.children = 0, []
-
-
-def _attributes(raw: str) -> tuple[list[str], bool]:
-    """Class names, and whether the element is marked as no article."""
-    names, off = [], False
-    for m in _CLASSES.finditer(raw):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "class":
-            names = value.split()
-        if key in ("class", "id", "role"):
-            off = off or any(part in BOILER for name in value.split() for part in _PART.findall(name))
-        elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
+    """A container, or an element whose name is evidence against it."""
+
+    __slots__ = ("tag", "label", "key", "parent", "up", "mark", "off", "prose", "total", "core", "children", "chosen")
+
+    def __init__(self, tag: str, label: str, parent: Node | None, up: Node | None, mark: int):
+        self.tag, self.label, self.parent, self.up, self.mark = tag, label, parent, up, mark
+        self.key = xxh64_intdigest(label, parent.key if parent else 0) if label else (parent.key if parent else 0)
+        self.off = self.chosen = False
+        self.prose = self.total = self.core = 0
+        self.children: list[Node] = []
+
+    def path(self) -> str:
+        out, at = [], self
+        while at is not None and at.label:
+            out.append(at.label)
+            at = at.parent
+        return ">".join(reversed(out))
+
+
+class Open:
+    """An open element: where its text goes, and whether it has any."""
+
+    __slots__ = ("tag", "node", "home", "off", "heads", "inside", "scope", "counts")
+
+    def __init__(self, tag: str, node: Node, home: Node, off: bool, heads: bool, inside: bool, scope: Open | None):
+        self.tag, self.node, self.home, self.off, self.heads, self.inside = tag, node, home, off, heads, inside
+        self.scope = scope or self
+        self.counts: dict[str, int] | None = {} if scope is None else None
+
+
+def key_of(path: str) -> int:
+    key = 0
+    for label in path.split(">"):
+        key = xxh64_intdigest(label, key)
+    return key
+
+
+def _weigh(name: str) -> int:
+    """2 for a name of boiler-plate words alone, 1 for one with other words, 0 for none."""
+    parts = _PART.findall(_CAPITAL.sub("-", name).lower())
+    if not any(p in BOILER for p in parts) or any(p in NEGATED for p in parts):
+        return 0
+    return 2 if all(p in BOILER or p in PLAIN for p in parts) else 1
+
+
+def _attributes(raw: str) -> tuple[list[str], int, bool]:
+    """Class names, the evidence against the element (0 to 2), and whether it is hidden or of such a role."""
+    names, mark, good, off = [], 0, False, False
+    for m in _ATTRIBUTE.finditer(raw):
+        key = m[1].lower()
+        if key not in ("class", "id", "role", "hidden", "aria-hidden", "style"):
+            continue
+        value = m[2] or m[3] or m[4] or ""
+        if key in ("class", "id"):
+            for name in value.split():
+                seen = _weigh(name)
+                mark = max(mark, seen)
+                good = good or (not seen and any(p in GOOD for p in _PART.findall(name.lower())))
+            names = value.lower().split() if key == "class" else names
+        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.lower().replace(" ", "")):
             off = True
-    return names, off
+        elif key == "role":
+            off = off or any(r in ROLES for r in value.lower().split())
+    return names, (1 if mark and good else mark), off
 
 
 def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
-    """Text blocks in page order as (innermost container, text), and all containers."""
-    top = Node("", "", None, False, False)
-    nodes, stack, blocks = [top], [top], []
+    """Text blocks in page order as (innermost node, text), and all nodes, parents first; nodes that are no article are off."""
+    root = Node("", "", None, None, 0)
+    top = Open("", root, root, False, False, False, None)
+    nodes, stack, blocks = [root], [top], []
+    open_tags: Counter = Counter()
+    absent: set[str] = set()
     pieces: list[str] = []
-    linked: list[int] = [0, 0]  # characters inside links, open links
+    linked, links = 0, 0  # characters inside links, open links
 
     def flush() -> None:
+        nonlocal linked
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             pieces.clear()
             if text and not stack[-1].off:
-                home = _home(stack)
-                blocks.append((home, text))
-                prose = len(text) - linked[0]
-                if prose > 0:
-                    home.prose += prose
-        linked[0] = 0
+                node = stack[-1].node
+                blocks.append((node, text))
+                node.prose += max(0, len(text) - linked)
+        linked = 0
+
+    def close(down_to: int) -> None:
+        """Closes the open elements from this place of the stack on."""
+        if any(stack[i].tag in BLOCKS for i in range(down_to, len(stack))):
+            flush()
+        for gone in stack[down_to:]:
+            open_tags[gone.tag] -= 1
+        for i in range(len(stack) - 1, down_to - 1, -1):
+            gone = stack[i]
+            if gone.tag in CLOSABLE:
+                stack[i - 1].scope.counts[gone.tag] -= 1
+        del stack[down_to:]
 
     at, size = 0, len(page)
-    lower = None
     while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            pieces.append(page[at:])
+        start = page.find("<", at)
+        if start < 0:
+            start = size
+        if start > at and not stack[-1].off:
+            pieces.append(page[at:start])
+            if links:
+                linked += start - at
+        if start == size:
             break
-        if m.start() > at:
-            chunk = page[at : m.start()]
-            pieces.append(chunk)
-            if linked[1]:
-                linked[0] += len(chunk)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else size
             continue
-        tag = tag.lower()
+        m = _TAG.match(page, start) or _LOOSE.match(page, start)
+        if m is None:
+            m = _OTHER.match(page, start)
+            if m is None:
+                if not stack[-1].off:
+                    pieces.append("<")
+                at = start + 1
+            else:
+                at = m.end()
+            continue
+        at, tag, raw = m.end(), m[2].lower(), m[3]
         if m[1]:
             if tag == "a":
-                linked[1] = max(0, linked[1] - 1)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if tag in BLOCKS or any(n.tag in BLOCKS for n in stack[i:]):
-                        flush()
-                    del stack[i:]
-                    break
-            else:
-                if tag in BLOCKS:
-                    flush()
+                links = max(0, links - 1)
+            if open_tags[tag] > 0:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                close(i)
+            elif tag in BLOCKS:
+                flush()
             continue
-        if tag in RAW and not m[3].endswith("/"):
-            if lower is None:
-                lower = page.lower()
-            end = lower.find("</" + tag, at)
+        if tag in RAW and not raw.endswith("/"):
+            found = None
+            if tag not in absent:
+                found = re.compile(f"</{re.escape(tag)}" + ("|<body" if tag == "head" else ""), re.I | re.A).search(page, at)
+            if found is None:
+                absent.add(tag)
+                if tag in ENDLESS:
+                    break
+                continue
             if tag == "head":
-                body = lower.find("<body", at)
-                end = body if body >= 0 and (end < 0 or body < end) else end
-                if end < 0:
-                    continue  # cut inside the head: what follows is read as it comes
-                at = end
+                at = found.start()
                 continue
-            if end < 0:
-                break
-            close = page.find(">", end)
-            at = close + 1 if close >= 0 else size
+            end = page.find(">", found.end())
+            at = end + 1 if end >= 0 else size
             continue
         if tag == "br":
             pieces.append(" ")
             continue
+        up = stack[-1]
         if tag in BLOCKS:
             flush()
-            linked[1] = 0
+            links = 0
             for closed in (("p",), CLOSES.get(tag, ())):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in closed:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in SCOPES:
-                        break
-        if tag in VOID or m[3].endswith("/"):
+                for one in closed:
+                    scope = stack[-1].scope
+                    if scope.tag == one and scope is not stack[0] or scope.counts.get(one, 0) > 0:
+                        i = len(stack) - 1
+                        while stack[i].tag != one and stack[i] is not scope:
+                            i -= 1
+                        if stack[i].tag == one:
+                            close(i)
+            up = stack[-1]
+        if tag in VOID or raw.endswith("/"):
             continue
         if tag == "a":
-            linked[1] += 1
-        up = stack[-1]
-        names, off = _attributes(m[3]) if m[3] else ((), False)
-        if tag in ("html", "body", "article", "main"):
-            off = False
-        inside = any(n.tag in ("article", "main") for n in stack)
+            links += 1
+        names, mark, off = _attributes(raw) if raw else ((), 0, False)
+        if tag in ("html", "body"):
+            mark, off = 0, False
+        elif tag in ("article", "main"):
+            mark = 2 if mark == 2 else 0
         heads = up.heads and tag not in HEADINGS
-        if tag == "header":
-            off, heads = not inside, inside
+        if tag == "header" and up.inside:
+            heads = True
+        elif tag in PERHAPS:
+            mark = max(mark, 1)
         hidden = up.off and not (up.heads and tag in HEADINGS)
-        node = Node(tag, up.path, _home(stack), hidden or off or tag in NEVER or heads, heads)
-        if tag in CONTAINERS:
-            label = tag + "".join(sorted({"." + _DIGITS.sub("", n) for n in names}))
-            node.path = f"{up.path}>{label}" if up.path else label
-            node.parent.children.append(node)
+        off = hidden or off or tag in NEVER or heads
+        node, home = up.node, up.home
+        if tag in CONTAINERS or (mark and tag in BLOCKS):
+            label = (tag + "".join(sorted({"." + _DIGITS.sub("", n).replace(">", "") for n in names}))) if tag in CONTAINERS else ""
+            node = Node(tag, label, home, up.node, mark)
             nodes.append(node)
-        stack.append(node)
+            if label:
+                home.children.append(node)
+                home = node
+        elif mark == 2:
+            off = True
+        new = Open(tag, node, home, off, heads, up.inside or tag in ("article", "main"), None if tag in SCOPES else up.scope)
+        if tag in CLOSABLE:
+            up.scope.counts[tag] = up.scope.counts.get(tag, 0) + 1
+        open_tags[tag] += 1
+        stack.append(new)
     flush()
-    return blocks, nodes
+    _judge(nodes)
+    return [(n, t) for n, t in blocks if not n.off], nodes
 
 
-def _home(stack: list[Node]) -> Node:
-    for n in reversed(stack):
-        if n.tag in CONTAINERS or not n.tag:
-            return n
-    return stack[0]
+def _roll_up(nodes: list[Node]) -> None:
+    for n in nodes:
+        n.total = 0 if n.off else n.prose
+    for n in reversed(nodes[1:]):  # children come after their parents
+        n.up.total += n.total
+
+
+def _judge(nodes: list[Node]) -> None:
+    """Switches nodes off by their evidence and the share of the prose that they hold."""
+    _roll_up(nodes)
+    for n in reversed(nodes[1:]):
+        if n.tag in ("article", "main") and not n.mark:
+            n.core = max(n.core, n.total)
+        n.up.core = max(n.up.core, n.core)
+    for n in nodes[1:]:
+        n.off = n.up.off or (n.mark == 2 and not n.core)
+    _roll_up(nodes)  # what is surely none no longer counts
+    half = HALF * nodes[0].total
+    for n in nodes[1:]:
+        n.off = n.off or n.up.off or (n.mark == 1 and n.total < half) or (n.mark == 2 and n.core < half)
+    _roll_up(nodes)
 
 
 def main_container(nodes: list[Node]) -> tuple[Node, int]:
     """The container to take, and the prose below it."""
-    total = {id(n): n.prose for n in nodes}
-    for n in reversed(nodes[1:]):  # children come after their parents
-        total[id(n.parent)] += total[id(n)]
     at = nodes[0]
     while at.children and at.tag not in ("article", "main"):
-        best = max(at.children, key=lambda n: (total[id(n)], n.tag in ("article", "main")))
-        if total[id(best)] == 0 or total[id(best)] < MOST * total[id(at)]:
+        best = max(at.children, key=lambda n: (n.total, n.tag in ("article", "main")))
+        if best.total == 0 or best.total < MOST * at.total:
             break
         at = best
-    return at, total[id(at)]
+    return at, at.total
 
 
 def vote(page: str | None) -> tuple[str, float] | None:
     """The path a page votes for and the vote's weight."""
     _, nodes = parse(page or "")
     best, prose = main_container(nodes)
-    return (best.path, math.log1p(prose)) if prose else None
+    return (best.path(), math.log1p(prose)) if prose else None
 
 
-def _within(node: Node | None, chosen: set[int]) -> bool:
-    while node is not None:
-        if id(node) in chosen:
-            return True
-        node = node.parent
-    return False
+def _below(blocks: list[tuple[Node, str]], nodes: list[Node], chosen) -> list[str]:
+    """The texts of the blocks inside any node that ``chosen`` accepts."""
+    for n in nodes:
+        n.chosen = chosen(n) or (n.up is not None and n.up.chosen)
+    return [t for n, t in blocks if n.chosen]
 
 
 def extract(page: str | None, path: str | None = None) -> str:
@@ -226,10 +348,10 @@ def extract(page: str | None, path: str | None = None) -> str:
     own, prose = main_container(nodes)
     if not prose:
         return ""
-    chosen = {id(n) for n in nodes if n.path == path and n.tag} if path else set()
-    text = [t for home, t in blocks if _within(home, chosen)] if chosen else []
-    if not chosen or 2 * sum(map(len, text)) < prose:
-        text = [t for home, t in blocks if _within(home, {id(own)})]
+    key = key_of(path) if path else None
+    text = _below(blocks, nodes, lambda n: n.key == key and bool(n.label)) if path else []
+    if not text or 2 * sum(map(len, text)) < prose:
+        text = _below(blocks, nodes, lambda n: n is own)
     return " ".join(text)
 
 

@@ -46,6 +46,78 @@ def test_a_page_without_its_hosts_path_keeps_its_own():
     assert htmltext.extract("<body><main><p>%s</p></main></body>" % PROSE, "html>body>div.other") == PROSE.strip()
 
 
+@pytest.mark.parametrize("name", ["content no-sidebar", "post has-share", "social-science", "sidebar content", "notice-of-motion", "entry", "home with-menu"])
+def test_a_class_word_alone_drops_no_article(name):
+    page = f'<body class="has-sidebar menu"><nav>Home</nav><div class="{name}"><h1>T</h1><p>{PROSE * 3}</p><math><mi>x</mi></math></div><div class="comment-list"><article class="comment-body"><p>{PROSE * 9}</p></article></div></body>'
+    assert htmltext.extract(page) == f"T {PROSE * 3}x"
+
+
+def test_forms_and_marked_boxes_are_weighed():
+    assert htmltext.extract(f'<form id="main"><p>{PROSE * 2}</p></form>') == (PROSE * 2).strip()
+    assert htmltext.extract(f"<p>{PROSE * 2}</p><form><p>Your name</p></form>") == (PROSE * 2).strip()
+    assert htmltext.extract(f'<div class="sidebar"><main><p>{PROSE}</p></main></div>') == PROSE.strip()
+    assert htmltext.extract('<div class="comments"><p>first!</p></div>') == ""
+    assert htmltext.extract('<article><p title="class=ad" data-id="ad">a<span class="ad">b</span> c <button>d</button></p></article>') == "a c"
+
+
+@pytest.mark.parametrize("piece", ["<b>", "<div>", "<p>", "<td>", "<a b=\"", "<a ", "<head>", "</x>", "<", "<p><b><h2>", "<a b=\"<a c='", "<li><ul>"])
+def test_time_is_in_proportion_to_broken_markup(piece):
+    import time
+
+    took = []
+    for n in (20_000, 100_000):
+        began = time.process_time()
+        htmltext.extract(piece * n + "text")
+        took.append(time.process_time() - began)
+    assert took[1] < 15 * took[0] + 0.5
+
+
+class PlainReader:
+    """Text of the first article by the standard library's parser, without the parts that are none."""
+
+    SKIP = ("nav", "footer", "aside", "form", "script", "style", "button", "title")
+    INLINE = ("a", "b", "i", "em", "strong", "span", "code", "sub", "sup")
+
+    def read(self, page):
+        from html.parser import HTMLParser
+
+        out, depth, skip = [], [0], [0]
+
+        class Reader(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                kinds = (dict(attrs).get("class") or "").split()
+                if skip[0] or tag in PlainReader.SKIP or {"ad", "comments", "related"} & set(kinds):
+                    skip[0] += tag not in htmltext.VOID and tag not in ("p", "li")
+                elif tag == "article":
+                    depth[0] += 1
+                if tag not in PlainReader.INLINE:
+                    out.append(" ")
+
+            def handle_endtag(self, tag):
+                if skip[0]:
+                    skip[0] -= tag not in ("p", "li")
+                elif tag == "article":
+                    depth[0] -= 1
+                if tag not in PlainReader.INLINE:
+                    out.append(" ")
+
+            def handle_data(self, data):
+                if depth[0] > 0 and not skip[0]:
+                    out.append(data)
+
+        Reader(convert_charrefs=True).feed(page or "")
+        return " ".join("".join(out).split())
+
+
+def test_equals_a_plain_reader_on_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    got = {r.page_id: r.text for r in htmltext.main_text(spark, pages).collect()}
+    plain = PlainReader()
+    assert len(got) == len(html) and sum(map(len, got.values())) > 100_000
+    assert [i for i in html if "<article" in (html[i] or "") and got[i] != plain.read(html[i])] == []
+
+
 # -- chats ----------------------------------------------------------------------
 
 
