@@ -40,7 +40,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = chat.format_chats(spark, table(spark, sf_dir, "conversations"))
-    return done.select("conv_id", "turn", "role", "rank", "json", "n_calls", "n_linked", "n_invalid")
+    return done.select("conv_id", "turn", "role", "place", "rank", "json", "n_calls", "n_linked", "n_invalid")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from docs left join covered using (r) left join items using (r)""",
     "op5_chat": """
-select conv_id, turn, coalesce(role, 'unknown') as role, 0::int as rank,
+select conv_id, turn, coalesce(role, 'unknown') as role, turn as place, 0::int as rank,
   '{"content":' || to_json(coalesce(text, ''))::varchar || ',"role":' || to_json(coalesce(role, 'unknown'))::varchar || '}' as json,
   0::bigint as n_calls, 0::bigint as n_linked, 0::bigint as n_invalid
 from conversations""",

@@ -142,7 +142,7 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert got[1, 0].json == '{"content":"say \\"hi\\"","role":"user"}'
     assert got[1, 1].json == '{"content":"","role":"assistant","tool_calls":[{"arguments":{"n":2,"q":"x"},"id":"a","name":"find"},{"arguments":{"a":"${a}","z":1},"id":"b","name":"book"}]}'
     assert (got[1, 1].n_calls, got[1, 1].n_linked, got[1, 1].n_invalid) == (2, 2, 0)
-    assert got[1, 2].json == '{"content":"found","role":"tool","tool_call_id":"a"}' and got[1, 2].n_linked == 1 and got[1, 3]["rank"] == 1
+    assert got[1, 2].json == '{"content":"found","role":"tool","tool_call_id":"a"}' and got[1, 2].n_linked == 1 and [(got[1, t].place, got[1, t]["rank"]) for t in range(6)] == [(t, 0) for t in range(6)]
     assert (got[1, 4].n_calls, got[1, 4].n_linked, got[1, 4].n_invalid) == (1, 0, 1)
     assert got[1, 5].n_linked == 0 and got[2, 0].n_linked == 0
     assert got[2, 1].json == '{"content":"","role":"unknown"}' and got[2, 2].json == '{"content":"{broken","role":"assistant"}'
@@ -162,16 +162,115 @@ def test_a_repeated_identifier_links_to_its_nearest_call(spark):
     assert {r.json: r.n_linked for r in got if r.conv_id == 2 and r.role == "tool"} == {'{"content":"early","role":"tool","tool_call_id":"a"}': 0, '{"content":"mine","role":"tool","tool_call_id":"a"}': 1}
 
 
+def cite(i, *to):
+    return call((i, "f", {"v": " ".join("${%s}" % t for t in to)}))
+
+
 def test_long_chains_and_cycles_are_told_apart(spark):
-    cite = lambda i, *to: call((i, "f", {"v": " ".join("${%s}" % t for t in to)}))
-    rows = [(1, 60 - i, "assistant", cite(f"c{i}", *[f"c{i - 1}"] * (i > 0))) for i in range(54)] + [(1, 61, "tool", result("c53", "last"))]
+    rows = [(1, 16 - i, "assistant", cite(f"c{i}", *[f"c{i - 1}"] * (i > 0))) for i in range(16)] + [(1, 61, "tool", result("c15", "last"))]
     graph = {"a": "", "x": "ay", "y": "x", "between": "y", "p": ["between", "q"], "q": "p", "after": "pa", "self": ["self"]}
     rows += [(2, t, "assistant", cite(i, *to)) for t, (i, to) in enumerate(graph.items())]
+    rows += [(3, 2 * i, "assistant", cite(f"c{i}", *[f"c{i - 1}"] * (i > 0))) for i in range(200)] + [(3, 2 * i + 1, "tool", result(f"c{i}", "x")) for i in range(200)]
+    rows += [(4, 0, "assistant", call(*[(f"c{i}", "f", {"v": "${c%d}" % (i + 1)}) for i in range(60)])), (5, 0, "assistant", call(*[(i, "f", {"v": ["${%s}" % j for j in to]}) for i, to in graph.items()]))]
     got = chat.format_chats(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert {r.turn: r["rank"] for r in got if r.conv_id == 1} == {60 - i: i for i in range(54)} | {61: 53}
+    # each of a chain told backwards may stand only from the turn of its first call on
+    assert {r.turn: (r.place, r["rank"]) for r in got if r.conv_id == 1} == {16 - i: (16, i) for i in range(16)} | {61: (61, 0)}
     assert not any(r.cycle for r in got if r.conv_id == 1)
-    own = {list(graph)[r.turn]: (r["rank"], r.cycle) for r in got if r.conv_id == 2}
-    assert own == {"a": (0, False), "x": (1, True), "y": (1, True), "between": (2, False), "p": (3, True), "q": (3, True), "after": (4, False), "self": (0, True)}
+    own = {list(graph)[r.turn]: (r.place, r["rank"], r.cycle) for r in got if r.conv_id == 2}
+    assert own == {"a": (0, 0, False), "x": (2, 0, True), "y": (2, 0, True), "between": (3, 0, False), "p": (5, 0, True), "q": (5, 0, True), "after": (6, 0, False), "self": (7, 0, True)}
+    assert all((r.place, r["rank"], r.cycle) == (r.turn, 0, False) for r in got if r.conv_id == 3)
+    inside = {r.conv_id: [c["id"] for c in json.loads(r.json)["tool_calls"]] for r in got if r.conv_id in (4, 5)}
+    assert inside[4] == [f"c{i}" for i in reversed(range(60))]
+    assert inside[5] == ["a", "self", "x", "y", "between", "p", "q", "after"]
+    assert {r.conv_id: r.cycle for r in got if r.conv_id in (4, 5)} == {4: False, 5: True}
+
+
+def plain_order(keys, after):
+    """Place and rank of each node (key: its turn) behind those in ``after``, and the nodes on a cycle."""
+    reach = {n: set(after.get(n, ())) for n in keys}
+    for _ in keys:
+        for n in reach:
+            reach[n] |= {x for m in list(reach[n]) for x in reach[m]}
+    home = {n: max([m for m in reach[n] if n in reach[m]] + [n]) for n in keys}
+    state = {h: (max(keys[n] for n in keys if home[n] == h), 0) for h in home.values()}
+    for _ in range(len(keys) + 1):
+        for n in keys:
+            for m in after.get(n, ()):
+                if home[m] != home[n] and (keys[m] > keys[n] or state[home[m]] != (keys[m], 0)):
+                    place, rank = state[home[m]]
+                    state[home[n]] = max(state[home[n]], (place, rank + 1))
+    return {n: state[home[n]] for n in keys}, {n for n in keys if n in reach[n]}
+
+
+def plain_chat(messages):
+    """Linked counts, places, ranks, cycles and call orders of one conversation of (turn, role, calls or result id)."""
+    last, first, answer, linked = {}, {}, {}, {}
+    for turn, role, what in messages:
+        linked[turn] = 0
+        if role == "assistant":
+            for part, (i, _) in enumerate(what):
+                first.setdefault(i, (turn, part))
+                last[i] = (turn, part)
+        elif what in last:
+            linked[turn] = 1
+            if last[what] not in answer:
+                answer[last[what]] = turn
+                linked[last[what][0]] += 1
+            else:
+                linked[turn] = 0
+    after, order, inner = {}, {}, set()
+    for turn, role, what in messages:
+        if role != "assistant":
+            continue
+        names = [i for i, _ in what]
+        own = {}
+        for part, (_, to) in enumerate(what):
+            for t in to:
+                if t in names:
+                    own.setdefault(part, set()).add(names.index(t))
+                elif t in first:
+                    after.setdefault(turn, set()).add(answer.get(first[t], first[t][0]))
+        after.get(turn, set()).discard(turn)
+        reach = {n: set(own.get(n, ())) for n in range(len(names))}
+        for _ in names:
+            for n in reach:
+                reach[n] |= {x for m in list(reach[n]) for x in reach[m]}
+        home = {n: min([m for m in reach[n] if n in reach[m]] + [n]) for n in reach}
+        depth = dict.fromkeys(home.values(), 0)
+        for _ in names:
+            for n in reach:
+                for m in own.get(n, ()):
+                    if home[m] != home[n]:
+                        depth[home[n]] = max(depth[home[n]], depth[home[m]] + 1)
+        order[turn] = [names[n] for n in sorted(reach, key=lambda n: (depth[home[n]], n))]
+        if any(n in reach[n] for n in reach):
+            inner.add(turn)
+    keys = {m[0]: m[0] for m in messages}
+    if not any(p > m for m, ps in after.items() for p in ps):
+        after = {}
+    placed, cyclic = plain_order(keys, after)
+    return {t: (linked[t], *placed[t], t in cyclic or t in inner, order.get(t)) for t in keys}
+
+
+def test_random_conversations_equal_a_plain_linker(spark):
+    import random
+
+    rng, rows, want = random.Random(3), [], {}
+    for conv in range(40):
+        ids, messages = [f"i{j}" for j in range(rng.randint(2, 9))], []
+        for turn in range(rng.randint(1, 14)):
+            if rng.random() < 0.6:
+                what = [(rng.choice(ids), rng.sample(ids, rng.choice([0, 0, 1, 2]))) for _ in range(rng.randint(1, 4))]
+                rows.append((conv, turn, "assistant", call(*[(i, "f", {"v": ["${%s}" % t for t in to]}) for i, to in what])))
+            else:
+                what = rng.choice(ids)
+                rows.append((conv, turn, "tool", result(what, "r")))
+            messages.append((turn, rows[-1][2], what))
+        want.update({(conv, t): v for t, v in plain_chat(messages).items()})
+    rng.shuffle(rows)
+    got = chat.format_chats(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    calls = lambda r: [c["id"] for c in json.loads(r.json)["tool_calls"]] if r.role == "assistant" else None
+    assert {(r.conv_id, r.turn): (r.n_linked, r.place, r["rank"], r.cycle, calls(r)) for r in got} == want
 
 
 # -- vectors --------------------------------------------------------------------
