@@ -12,7 +12,7 @@ blank-separated digit groups, of any length, that hold ``@`` or six or more digi
 overlap no base span. The two words of the text before an instance are its lexical
 pattern; a first word with a digit or ``@`` is left out, as it is seldom twice the same,
 and a match before is a word of its own. Patterns and instances form a bipartite graph of distinct
-edges, which Spark scores in rounds: a pattern by the lower Wilson bound of its
+edges, which Spark scores in rounds until nothing grows any more (scores only rise): a pattern by the lower Wilson bound of its
 instances' mean confidence, an instance by the noisy-or of its accepted patterns.
 Candidates outside base spans whose final confidence reaches ``ACCEPT`` become spans
 of kind ``id`` in the places where an accepted pattern stands before them. A pattern
@@ -42,7 +42,8 @@ CANDIDATE = rf"(?<!\S)(?:{GROUPS}|[^\s0-9@]*+[0-9@]\S*+)"
 #: Opening marks before an identifier; a bracket around its first digits is its own.
 OPENING = r"^(?:[\"'\[{<]|\((?![0-9]+\)))*+"
 
-ROUNDS = 3
+#: Rounds end when all confidences together grow by no more than this.
+SETTLED = 1e-6
 #: A pattern counts once its lower bound reaches this; an instance is an identifier from this confidence.
 TRUST = 0.8
 ACCEPT = 0.9
@@ -151,22 +152,29 @@ def _table(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
     return out.select(*kept, base.alias("_base"), F.concat(seeds, F.transform(free, lambda c: use(c, c["left"], False))).alias("_cand"))
 
 
-def bootstrap(spark: SparkSession, uses: DataFrame, rounds: int = ROUNDS, trust: float = TRUST) -> tuple[DataFrame, DataFrame]:
+def bootstrap(spark: SparkSession, uses: DataFrame, trust: float = TRUST) -> tuple[DataFrame, DataFrame]:
     """Scores the graph of ``uses`` (left, value, seed). Returns accepted (left, trust) and all (value, confidence)."""
     edges = Staged(spark, uses.groupBy("left", "value").agg(F.max("seed").alias("seed")), "edges").df
-    instances = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("confidence"))
-    patterns = None
-    for _ in range(rounds):
+    known = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("seed"))
+    held = Staged(spark, known.select("value", F.col("seed").alias("confidence")), "instances")
+    total = held.df.agg(F.coalesce(F.sum("confidence"), F.lit(0.0))).first()[0]
+    while True:
         p, n, z2 = F.avg("confidence"), F.count("*"), 1.96**2
         bound = (p + z2 / (2 * n) - 1.96 * F.sqrt((p * (1 - p) + z2 / (4 * n)) / n)) / (1 + z2 / n)
-        scored = edges.select("left", "value").join(instances, "value").groupBy("left").agg(bound.alias("trust"))
-        patterns = Staged(spark, scored.where(F.col("trust") >= trust), "patterns").df
-        few = small(patterns, patterns.count(), BROADCAST_ROWS)
-        voted = edges.join(few, "left").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least("trust", F.lit(0.999999)))))).alias("vote"))
-        known = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("seed"))
+        scored = edges.select("left", "value").join(held.df, "value").groupBy("left").agg(bound.alias("trust"))
+        patterns = Staged(spark, scored.where(F.col("trust") >= trust), "patterns")
+        n_patterns = patterns.df.count()
+        if not n_patterns:
+            return patterns.df, held.df
+        voted = edges.join(small(patterns.df, n_patterns, BROADCAST_ROWS), "left").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least("trust", F.lit(0.999999)))))).alias("vote"))
         instances = known.join(voted, "value", "left").select("value", F.greatest("seed", F.coalesce("vote", F.lit(0.0))).alias("confidence"))
-        instances = Staged(spark, instances, "instances").df
-    return patterns, instances
+        new = Staged(spark, instances, "instances")
+        held.drop()
+        held, before = new, total
+        total = held.df.agg(F.sum("confidence")).first()[0]
+        if total - before <= SETTLED:
+            return patterns.df, held.df
+        patterns.drop()
 
 
 def _spans(spark: SparkSession, held: DataFrame, keep: list[str]) -> DataFrame:
@@ -214,7 +222,7 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; the other columns as they are."""
-    held = Staged(spark, _table(docs, text, [F.struct(*docs.columns).alias("_own")]), "pii").df
+    held = Staged(spark, _table(docs, text, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own")]), "pii").df
     done = _spans(spark, held, ["_own"])
     own = F.col("_own")
     return done.select(*[redacted(own[c], F.col("_all")).alias(c) if c == text else own[c].alias(c) for c in docs.columns])
