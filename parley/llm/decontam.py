@@ -67,24 +67,40 @@ def window_shingles(wins: DataFrame) -> DataFrame:
     return out
 
 
-def matches(docs: DataFrame, keys: DataFrame, n_keys: int, sizes: list[int], doc_id: str, text: str, window: int) -> DataFrame:
-    """A row per document (at = -1) and a row per position whose shingle is a key, with the words around it."""
+def matches(spark: SparkSession, docs: DataFrame, keys: DataFrame, n_keys: int, sizes: list[int], doc_id: str, text: str, window: int) -> DataFrame:
+    """A row per document (at = -1) and a row per position whose shingle is a key, with the words around it.
+
+    A small key table is broadcast, and one pass over the texts does it all. Beyond the
+    bound the documents' words are written once; (row, at, key) alone are shuffled to the
+    keys, and the positions that match meet their document's words by its row.
+    """
     ws = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("ws"))
     n = F.size("ws")
     blank = (F.get("ws", F.lit(0)) == "").cast("int") + ((n > 1) & (F.get("ws", n - 1) == "")).cast("int")
-    ws = ws.select("row", "doc_id", "ws", (n - blank).cast("long").alias("n_words"), F.explode(F.sequence(F.lit(-1), F.greatest(n - min(sizes, default=1), F.lit(-1)))).alias("at")) if sizes else ws.select("row", "doc_id", "ws", (n - blank).cast("long").alias("n_words"), F.lit(-1).alias("at"))
-    each = [F.when(F.col("at") < 0, F.lit(0).cast("long")).otherwise(shingle_key(F.col("ws"), F.col("at"), size)) for size in sizes or [SHINGLE]]
+    ws = ws.select("row", "doc_id", "ws", (n - blank).cast("long").alias("n_words"))
+    own = ws.select("row", "doc_id", "n_words", F.lit(None).cast("long").alias("key"), F.lit(-1).alias("at"), F.lit(None).cast("int").alias("low"), F.lit(None).cast("array<string>").alias("around"))
+    if not sizes:
+        return own
+    last, each = n - min(sizes), [shingle_key(F.col("ws"), F.col("at"), size) for size in sizes]
+    low = F.greatest(F.col("at") - (window - 1), F.lit(0))
+    around = F.slice("ws", low + 1, F.lit(2 * window))
+    if n_keys > BROADCAST_ROWS:
+        held = Staged(spark, ws, "words").df
+        at = held.where(F.size("ws") >= min(sizes)).select("row", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - min(sizes))).alias("at"))
+        at = at.select("row", "at", F.explode(F.array(*each)).alias("key")) if len(each) > 1 else at.select("row", "at", each[0].alias("key"))
+        met = at.join(keys, "key", "left_semi").join(held, "row").select("row", "doc_id", "n_words", "key", "at", low.alias("low"), around.alias("around"))
+        return held.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name in ("key", "low", "around") else (F.lit(-1).alias("at") if f.name == "at" else F.col(f.name)) for f in own.schema.fields]).unionByName(met)
+    # the documents' own rows pass the join, which shuffles nothing, under a key of their own
+    keys = keys.withColumn("own", F.lit(False)).unionByName(spark.createDataFrame([(0, True)], "key long, own boolean"))
+    ws = ws.select("*", F.explode(F.sequence(F.lit(-1), F.greatest(last, F.lit(-1)))).alias("at"))
+    each = [F.when(F.col("at") < 0, F.lit(0).cast("long")).otherwise(key) for key in each]
     if len(each) == 1:
         ws = ws.withColumn("key", each[0])
     else:  # several shingle sizes: the row of the document itself once, the positions once per size
         ws = ws.withColumn("key", F.explode(F.when(F.col("at") < 0, F.array(F.lit(0).cast("long"))).otherwise(F.array(*each))))
-    low = F.greatest(F.col("at") - (window - 1), F.lit(0))
-    found = ws.join(small(keys, n_keys, BROADCAST_ROWS), "key")
-    return found.where((F.col("at") < 0) == F.col("own")).select(
-        "row", "doc_id", "n_words", "key", "at",
-        F.when(F.col("at") >= 0, low).alias("low"),
-        F.when(F.col("at") >= 0, F.slice("ws", low + 1, F.lit(2 * window))).alias("around"),
-    )
+    found = ws.join(F.broadcast(keys), "key").where((F.col("at") < 0) == F.col("own"))
+    there = F.col("at") >= 0
+    return found.select("row", "doc_id", "n_words", "key", "at", F.when(there, low).alias("low"), F.when(there, around).alias("around"))
 
 
 def occurrences(found: DataFrame, wins: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -105,9 +121,8 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, do
     wins = Staged(spark, windows(benchmark, item_id, item_text, window).withColumn("win", F.monotonically_increasing_id()), "windows").df
     shingles = Staged(spark, window_shingles(wins), "shingles").df
     sizes = sorted(r[0] for r in wins.select("size").distinct().collect())  # at most three numbers
-    keys = shingles.select("key").distinct().withColumn("own", F.lit(False))
-    keys = keys.unionByName(spark.createDataFrame([(0, True)], "key long, own boolean"))
-    found = Staged(spark, matches(docs, keys, shingles.count(), sizes, doc_id, text, window), "matches").df
+    keys = shingles.select("key").distinct()
+    found = Staged(spark, matches(spark, docs, keys, shingles.count(), sizes, doc_id, text, window), "matches").df
     hits = Staged(spark, occurrences(found, wins, shingles), "hits").df
     order = Window.partitionBy("row").orderBy("start", "length")
     end = F.col("start") + F.col("length")
