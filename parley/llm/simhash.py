@@ -3,14 +3,19 @@
 Fingerprints: 64 majority bits of the XXH64 values of word shingles. Copies share
 one, so all later work is on distinct fingerprints, each with its least doc_id.
 
-Search for distance 2 or less: a fingerprint has two 32-bit segments. Around each
-segment's value the Hamming ball of radius 1 is enumerated with the other segment
-kept: 65 table keys in all. Two fingerprints differ in at most two bits exactly if
-they share a key (the point halfway between them), and a key can hold at most the
-65 fingerprints within one bit of it, so no bucket is ever large, whatever the
-data, and the table grows in proportion to the distinct fingerprints. Neighbours
-in a bucket's order are linked after their complete distance is verified; as all
-members of a bucket are within 2 of each other, such chains lose no connection.
+Search for distance 2 or less: a fingerprint has two 32-bit segments, and two
+fingerprints within two bits differ in at most one bit of one of them. A table keyed
+by (segment, value) holds every fingerprint twice; each looks up the Hamming ball of
+radius 1 around its own values (a flip only from 0 to 1, as of two values that differ
+in a bit one has the 0), and the complete distance of what it meets is verified.
+
+A table key with more than ``CROWDED`` fingerprints is not joined. Every fingerprint
+that has or looks up such a key goes a second way instead, by keys that no data can
+crowd: the whole fingerprint and its 64 neighbours at one bit. Two fingerprints differ
+in at most two bits exactly if they share such a key (the point halfway between
+them), and none can hold more than the 65 within one bit of it. Neighbours in a key's
+order are linked after their distance is verified; as all members of a key are within
+2 of each other, such chains lose no connection. So no link is lost on either way.
 
 Defined results: null and empty texts have fingerprint zero and are linked like
 any other; equal fingerprints form one component; repeated rows each give a row;
@@ -23,13 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.llm.components import components
-from parley.llm.store import Staged, drop_rows, fresh, release
+from parley.llm.store import Staged, drop_rows, fresh, release, small
 
 SEED = 42
+#: Fingerprints of a table key up to which it is joined.
+CROWDED = 64
+#: Crowded keys up to which they are broadcast.
+BROADCAST_ROWS = 500_000
 #: Shingles whose bits are counted at a time, to bound memory on very long texts.
 BLOCK = 1 << 14
 
@@ -69,21 +78,52 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Rows (a, b): verified links that join up all of ``fps`` (column fp, distinct) within two bits."""
-    high = [F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")) for b in range(32, 64)]
-    low = [F.col("fp").bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(32)]
-    keys = fps.select("fp", F.explode(F.array(F.col("fp"), *high, *low)).alias("key"))
+def _bit(b: int) -> Column:
+    return F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")
+
+
+def _value(fp: Column, segment: int) -> Column:
+    return F.shiftrightunsigned(fp, 32) if segment else fp.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+
+
+def _close(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b").distinct()
+
+
+def halfway_links(fps: DataFrame) -> DataFrame:
+    """Rows (a, b): verified links that join up all of ``fps`` within two bits, by keys of at most 65 members."""
+    keys = fps.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(_bit(b)) for b in range(64)])).alias("key"))
     before = F.lag("fp").over(Window.partitionBy("key").orderBy("fp"))
-    pairs = keys.select("fp", before.alias("a")).where(F.col("a").isNotNull())
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= 2).select("a", F.col("fp").alias("b")).distinct()
+    return _close(keys.select(before.alias("a"), F.col("fp").alias("b")).where(F.col("a").isNotNull()))
+
+
+def links(spark: SparkSession, fps: DataFrame) -> DataFrame:
+    """Rows (a, b): verified links that join up all of ``fps`` (column fp, distinct) within two bits."""
+    fp = F.col("fp")
+    own = [F.struct(F.lit(s).alias("segment"), _value(fp, s).alias("value")) for s in (0, 1)]
+    probes = None
+    for s in (0, 1):
+        v = _value(fp, s)
+        ball = F.array(v, *[F.when(v.bitwiseAND(_bit(b)) == 0, v.bitwiseOR(_bit(b))) for b in range(32)])
+        one = fps.select(fp.alias("a"), F.explode(ball).alias("value")).where(F.col("value").isNotNull()).select("a", F.lit(s).alias("segment"), "value")
+        probes = one if probes is None else probes.unionByName(one)
+    table = fps.select("fp", F.explode(F.array(*own)).alias("k")).select("k.*", F.col("fp").alias("b"))
+    full = Staged(spark, table.groupBy("segment", "value").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("segment", "value"), "crowded").df
+    if full.isEmpty():
+        return _close(probes.join(table, ["segment", "value"]).where("a <> b"))
+    n_full = full.count()
+    full = small(full, n_full, BROADCAST_ROWS)
+    free = table.join(full, ["segment", "value"], "left_anti")
+    met = _close(probes.join(free, ["segment", "value"]).where("a <> b"))
+    rest = probes.join(full, ["segment", "value"], "left_semi").select(F.col("a").alias("fp")).distinct()
+    return met.unionByName(halfway_links(Staged(spark, rest, "rest").df)).distinct()
 
 
 def groups(spark: SparkSession, df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """Rows (doc_id, fp, component_id), one per row of ``df``; component_id is the least doc_id reachable."""
     docs = Staged(spark, fingerprints(df, doc_id, text, words), "fingerprints").df
     nodes = Staged(spark, docs.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    linked = components(spark, links(nodes.df.select("fp")))
+    linked = components(spark, links(spark, nodes.df.select("fp")))
     rooted = nodes.df.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     label = rooted.join(least, "root").select("fp", "component_id")
