@@ -272,6 +272,43 @@ def test_near_duplicates_equal_brute_force(spark, sample):
     assert kept == set(plain_components(fps))
 
 
+@pytest.mark.parametrize("crowded", [1, 8, 10_000])
+def test_segment_tables_lose_no_link(spark, monkeypatch, crowded):
+    """Fingerprints that share whole segments, with and without crowded keys, against all pairs."""
+    import random
+
+    rng = random.Random(5)
+    fps = {rng.getrandbits(64) for _ in range(60)} | {0, (1 << 64) - 1}
+    for base in list(fps)[:12]:
+        for _ in range(12):
+            fps.add(base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    half = rng.getrandbits(32)
+    fps |= {half << 32 | rng.getrandbits(6) for _ in range(40)} | {rng.getrandbits(5) << 32 | half for _ in range(30)}
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    got = {frozenset((r.a, r.b)) for r in simhash.links(spark, spark.createDataFrame([(signed(x),) for x in fps], "fp long")).collect()}
+    want = {frozenset((signed(x), signed(y))) for x in fps for y in fps if x < y and (x ^ y).bit_count() <= 2}
+    assert got <= want
+    join = lambda pairs: plain_join([signed(x) for x in fps], pairs)
+    assert join(got) == join(want)
+    if crowded == 10_000:
+        assert got == want
+
+
+def plain_join(nodes, pairs):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for pair in pairs:
+        a, b = sorted(map(find, pair))
+        root[b] = a
+    return {n: find(n) for n in nodes}
+
+
 def test_links_join_chains_and_crowds(spark):
     base = 0x0123456789ABCDEF
     crowd = [base ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(20) if a < b] + [base]
@@ -280,7 +317,7 @@ def test_links_join_chains_and_crowds(spark):
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
     from parley.llm.components import components
 
-    root = {r.node: r.root for r in components(spark, simhash.links(spark.createDataFrame(signed, "fp long"))).collect()}
+    root = {r.node: r.root for r in components(spark, simhash.links(spark, spark.createDataFrame(signed, "fp long"))).collect()}
     mine = [root.get(s[0], s[0]) for s in signed]
     want = plain_components(fps)
     assert len({(a, b) for a, b in zip(mine, want)}) == len(set(mine)) == len(set(want))
@@ -379,3 +416,36 @@ def test_model_is_a_distribution():
     for context in (0, 5 << 9 | 7, maxent.START << 9 | maxent.START):
         logs = model.log10(context << 8 | np.arange(256))
         assert abs((10.0**logs).sum() - 1) < 1e-5
+
+
+def test_shuffled_keys_find_the_same(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(12)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(f"b{i}", text(rng.choice([1, 2, 3, 10, 14]))) for i in range(12)]
+    docs = [(i, rng.choice(["", None, "w1", text(5), text(40) + " " + items[i % 12][1], items[i % 12][1] + " " + text(30)])) for i in range(60)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    whole = sorted(map(str, decontam.contamination(spark, *frames).collect()))
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, decontam.contamination(spark, *frames).collect())) == whole and len(whole) == 60
+
+
+def test_patterns_spread_until_nothing_grows(spark):
+    """A chain of contexts, each reached only through the instances of the one before."""
+    own = lambda left, step, n, seed=False: [(left, f"n{step}-{i}", seed) for i in range(n)]
+    rows = own("a", 0, 2000, True) + own("b", 0, 2000) + own("b", 1, 250) + own("c", 1, 250) + own("c", 2, 30) + own("d", 2, 30) + own("e", 3, 30)
+    uses = spark.createDataFrame(rows, "left string, value string, seed boolean")
+    patterns, instances = pii.bootstrap(spark, uses)
+    assert {r.left for r in patterns.collect()} == set("abcd")
+    assert {r.value[:2] for r in instances.where("confidence >= 0.9").collect()} == {"n0", "n1", "n2"}
+    again, _ = pii.bootstrap(spark, uses)
+    assert sorted(map(tuple, patterns.collect())) == sorted(map(tuple, again.collect()))
+    assert pii.bootstrap(spark, uses.limit(0))[0].count() == 0
+
+
+def test_redaction_keeps_odd_column_names(spark):
+    df = spark.createDataFrame([(1, "mail a@b.org now", 2)], "doc_id long, text string, `x.y` int")
+    got = pii.redact(spark, df).collect()[0]
+    assert got["text"] == "mail [EMAIL] now" and got["x.y"] == 2
