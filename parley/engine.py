@@ -17,15 +17,16 @@ from parley.plans import answer as answers
 from parley.plans import lower, registry
 from parley.plans.binding import Binding
 from parley.plans.compiler import Compiler, QuerySpec, inherit
-from parley.sources.tables import Store, held
+from parley.sources.tables import Store, held, spread
 
-# What a provider's error codes mean.
+# The error codes that traces record, and what to do about each.
 ERRORS = {
-    "rate_limit": ("Too many requests", "The provider turned the request away for its rate; wait and send fewer at once."),
-    "timeout": ("Timed out", "No answer came in time; try again or shorten the request."),
-    "context_length_exceeded": ("Context exceeded", "The conversation is longer than the model reads; drop or summarise early turns."),
-    "upstream_503": ("Provider unavailable", "The provider was overloaded or down; try again later."),
-    "auth_error": ("Not authorised", "The key is missing, wrong or lacks a right."),
+    "provider_model_overloaded_529": ("Model overloaded", "The provider took the request but had no capacity for its model. It passes: try again at growing intervals, or fall back on a second model."),
+    "provider_rate_limit_429": ("Rate limited", "The provider limits this key or workspace. If it goes on, send fewer requests at once or spend fewer tokens."),
+    "gateway_upstream_timeout_504": ("Gateway timeout", "The gateway stopped waiting for the provider. The request is mostly too large: shorten it, stream it or cut the work into steps."),
+    "upstream_context_length_exceeded": ("Context exceeded", "The request is longer than the model reads. Cut the input into pieces or take a model of longer context."),
+    "provider_content_filter_451": ("Content filter", "The provider's own filter refused the content. Read the redacted input before taking it for a mistake."),
+    "tool_upstream_error": ("Tool error", "The application's own tool failed, not the model. Mend the tool or what it depends on, and give the agent another way."),
 }
 STATUSES = ("awaiting_confirmation", "queued", "evaluating", "aggregating", "synthesizing", "complete", "paused_budget", "paused_provider", "failed")
 
@@ -77,10 +78,10 @@ class Engine:
     def semantic(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(docs, vocabulary, postings) of the binding's text, built once."""
         if self._text is None:
-            docs = held(self.docs(), "docs")
-            tf = held(tx.term_frequencies(docs, "id", tx.tokens(F.col("text"))), "tf")
-            vocab = held(tx.vocabulary(tf, F.lit(docs.count())), "vocabulary")
-            self._text = docs, vocab, held(tx.tfidf(tf, vocab, vocab.count()), "postings")
+            docs = held(spread(self.docs()), "docs")
+            counts = held(tx.term_counts(docs, "id", "text", stems=True), "counts")
+            vocab = held(tx.vocabulary(tx.counted_frequencies(counts), F.lit(docs.count())), "vocabulary")
+            self._text = docs, vocab, held(tx.weights(counts, vocab, vocab.count()), "postings")
         return self._text
 
     def _clusters(self, spec: QuerySpec, dropped: list[str]) -> answers.Answer:
@@ -88,8 +89,9 @@ class Engine:
         ids = lower.eligible(spec, self.binding).select(self.binding.get("id").alias("id"))
         if spec.focus:
             n = ids.count()
-            idf = {r.token: r.idf for r in vocab.where(F.col("token").isin(spec.focus)).collect()}  # a question's words
-            hits = similarity.search(postings, vocab, dict.fromkeys(cluster.topical(spec.focus, idf), 1.0), floor=0.0)
+            focus = [tx.plain_stem(w) for w in spec.focus]
+            idf = {r.token: r.idf for r in vocab.where(F.col("token").isin(focus)).collect()}  # a question's words
+            hits = similarity.search(postings, vocab, dict.fromkeys(cluster.topical(focus, idf), 1.0), floor=0.0)
             narrowed = similarity.focus(held(ids.join(hits, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score")), "focus"), n)
             ids = narrowed.select("id") if narrowed is not None else ids
         own = postings.join(ids, "id", "left_semi")
@@ -103,7 +105,7 @@ class Engine:
     def _judged(self, spec: QuerySpec, dropped: list[str]) -> answers.Answer:
         kept = lower.eligible(spec, self.binding)
         aspect = self.aspects.ensure(spec.aspect_question)
-        self.aspects.evaluate(aspect, self.docs())
+        self.aspects.evaluate(aspect, self.docs(), scoped=self.binding.said)
         rows = self.aspects.of(aspect).select("id", scalar.aspect_key(F.col("value_json")).alias("group_key"), F.col("confidence").alias("value"))
         return self._assemble(spec, self.aspects.groups(aspect, kept.select(self.binding.get("id").alias("id"))), rows, "count", dropped)
 
@@ -153,12 +155,18 @@ class Engine:
         return rows.withColumn("_at", at).orderBy(*order).offset(page * size).limit(size).drop("_at", "_id")
 
     def search(self, question: str, page: int = 0, size: int = 25) -> DataFrame:
-        """Rows (id, score, rank) of one page of a semantic ranking."""
+        """Rows (id, score) of one page of a semantic ranking."""
         _, vocab, postings = self.semantic()
-        words = [w for w in tx_words(question)]
+        words = tx_words(question)
         hits = similarity.search(postings, vocab, {w: float(words.count(w)) for w in words}).limit((page + 1) * size)
         return hits.offset(page * size)
 
+    def search_traces(self, question: str, page: int = 0, size: int = 25) -> DataFrame:
+        """The conversations of one page of a semantic ranking, with their score, best first."""
+        hits = self.search(question, page, size).select(F.col("id").alias("_id"), F.col("score").alias("relevance"))
+        rows = self.binding.traces.withColumn("_id", self.binding.get("id"))
+        return rows.join(F.broadcast(hits), "_id").orderBy(F.desc("relevance"), "_id").drop("_id")  # a page of rows
+
     def facets(self, fields: tuple[str, ...] = ("outcome", "failure_mode", "app")) -> DataFrame:
         """Rows (field, key, n) of all facets, from one scan."""
         have = [f for f in fields if self.binding.has(lambda get, f=f: get(f))]
@@ -219,4 +227,4 @@ class Engine:
 def tx_words(question: str) -> list[str]:
     import re
 
-    return [w for w in re.findall(tx.TOKEN, question.casefold()) if w not in tx.STOP_WORDS]
+    return [tx.plain_stem(w) for w in re.findall(tx.TOKEN, question.casefold()) if w not in tx.STOP_WORDS]

@@ -144,3 +144,26 @@ def purity(rows: DataFrame, cluster: str, label: str) -> DataFrame:
     counted = rows.groupBy(cluster, label).agg(F.count("*").alias("n"))
     best = counted.groupBy(cluster).agg(F.max("n").alias("best"), F.sum("n").alias("n"))
     return best.agg(F.sum("n").alias("rows"), F.count("*").alias("clusters"), F.round(F.sum("best") / F.sum("n"), 6).alias("purity"))
+
+
+def counts(df: DataFrame, keys: dict[str, Column], also: dict[str, Column] | None = None) -> DataFrame:
+    """Rows (keys..., n, also...): one row for each combination of several columns."""
+    return df.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in (also or {}).items()])
+
+
+def having(df: DataFrame, keys: list[str], condition: Column) -> DataFrame:
+    """The groups that meet a condition over an aggregate."""
+    return df.groupBy(*keys).agg(condition.alias("_met")).where("_met").drop("_met")
+
+
+def place_in_group(df: DataFrame, group: str, *order: Column) -> DataFrame:
+    """``df`` with each row's ``rank`` from 1 in its group, in a total order.
+
+    Rows are numbered over the whole table in sorted ranges, and a group's first number is
+    taken off, so a group of any size is many tasks.
+    """
+    from parley.operators.cluster import place
+
+    placed = place(df, F.asc(group), *order, name="_place")
+    first = placed.groupBy(F.col(group).alias("_group")).agg(F.min("_place").alias("_first"))
+    return placed.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn("rank", (F.col("_place") - F.col("_first") + 1).cast("int")).drop("_place", "_group", "_first")

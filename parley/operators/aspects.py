@@ -17,8 +17,8 @@ VALUE = "id string, aspect_id string, value_json string, confidence double, scor
 Judge = Callable[[DataFrame, str], DataFrame]
 
 
-def local_judge(docs: DataFrame, question: str) -> DataFrame:
-    return judge.judge(docs, question)[0]
+def local_judge(docs: DataFrame, question: str, scoped: Callable[[str], DataFrame | None] | None = None) -> DataFrame:
+    return judge.judge(docs, question, scoped)[0]
 
 
 class Aspects:
@@ -43,14 +43,18 @@ class Aspects:
         self.store.append("aspects", self.spark.createDataFrame([row], ASPECT))
         return row[0]
 
-    def evaluate(self, aspect_id: str, docs: DataFrame, by: Judge = local_judge) -> DataFrame:
-        """Judges what has no value yet; a repeated call finds nothing to do."""
+    def evaluate(self, aspect_id: str, docs: DataFrame, by: Judge | None = None, scoped: Callable[[str], DataFrame | None] | None = None) -> DataFrame:
+        """Judges ``docs`` as soon as one of them has no value yet; a repeated call finds nothing to do.
+
+        The local judge cuts the scores of a whole corpus, so it judges all of ``docs`` anew,
+        and values never come from two cuts. A judge of single rows (``by``) gets only the
+        rows that have no value.
+        """
         question = self.catalogue().where(F.col("id") == aspect_id).first().question
         text = docs.select(F.col("id").cast("string").alias("id"), "text")
         left = joins.pending(text, self.of(aspect_id), "id")
         if not left.isEmpty():
-            # scored among all rows, so that the cut does not depend on which part is new
-            judged = by(text, question).join(left.select("id"), "id", "left_semi")
+            judged = by(left, question) if by else local_judge(text, question, scoped)
             new = judged.select("id", F.lit(aspect_id).alias("aspect_id"), F.to_json(F.struct("value")).alias("j"), "confidence", "score", F.col("quote").alias("evidence_quote"), F.lit("complete").alias("status"))
             new = new.withColumn("value_json", F.get_json_object("j", "$.value")).drop("j")
             self.store.upsert("aspect_values", new.select("id", "aspect_id", "value_json", "confidence", "score", "evidence_quote", "status"), ["id", "aspect_id"])

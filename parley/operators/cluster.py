@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 
 import numpy as np
@@ -90,12 +91,12 @@ def graph_clusters(postings: DataFrame, ids: DataFrame, vocab: DataFrame | None
     """Rows (id, cluster) of emergent groups: mutual neighbours, their components, then linkage.
 
     Sparse pairs grow with the square of the rows, so beyond ``max_rows`` the rows are put
-    on their leading singular directions and grouped by cosine k-means, its k chosen on
+    on the leading directions of all their terms and grouped by cosine k-means, its k chosen on
     all rows. Rows without a token stay together in the last group there.
     """
     n = ids.count()
     if n > max_rows and vocab is not None:
-        dense = held(projection(postings, vocab), "dense")
+        dense = held(projection(postings), "dense")
         own = held(similarity.unit(dense, "id", "v"), "unit")
         found = to_nearest(own, best_fit(own)[1]).select("id", "cluster")
         return number(ids.join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(1 << 30)).alias("group")))
@@ -232,7 +233,7 @@ def names(docs: DataFrame, assigned: DataFrame, postings: DataFrame, vocab: Data
     """Rows (cluster, n, terms, label): class-weighted terms of the core rows and the medoid's first sentence."""
     ranked = held(similarity.centroid_rank(postings, assigned.select("id", F.col("cluster").alias("group"))), "ranked")
     inner = similarity.core(ranked)
-    tf = tx.term_frequencies(docs.join(inner.select("id"), "id", "left_semi"), "id", tx.tokens(F.col(text)))
+    tf = tx.term_rows(tx.term_counts(docs.join(inner.select("id"), "id", "left_semi"), "id", text))
     counted = tf.join(vocab.where(F.col("idf") >= min_idf).select("token"), "token", "left_semi").join(inner.select("id", "group"), "id").groupBy("group", "token").agg(F.sum("tf").alias("n"))
     weighted = tx.class_tfidf(counted)
     place = F.row_number().over(Window.partitionBy("group").orderBy(F.desc(F.round("weight", 9)), "token"))
@@ -275,36 +276,55 @@ def topical(words: list[str], idf: dict[str, float], known: int = 8, unseen: int
     return have + sorted({w for w in words if w not in idf})[:unseen]
 
 
-def projection(postings: DataFrame, vocab: DataFrame, dims: int = 64, seed: int = 7, top: int = 2000) -> DataFrame:
-    """Rows (id, v): documents on the leading singular directions of the most frequent ``top`` tokens.
+#: Random directions a text's terms are summed on before the leading ones are found.
+SKETCH, HASHES = 256, 8
 
-    Token-by-token products are summed on the cluster and decomposed on the driver, whose
-    matrix is ``top`` squared whatever the number of documents. Signs are arbitrary.
-    """
-    kept = [r.token for r in vocab.orderBy(F.desc("df"), "token").limit(top).select("token").collect()]
-    index = postings.sparkSession.createDataFrame([(t, i) for i, t in enumerate(kept)], "token string, i int")
-    own = postings.join(F.broadcast(index), "token").select("id", "i", "weight")
 
-    def gram(batches):
-        m = np.zeros((len(kept), len(kept)))
-        for batch in batches:
-            for i, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                m[np.ix_(i, i)] += np.outer(w, w)
-        yield pa.RecordBatch.from_arrays([pa.array([m.astype(np.float32).tobytes()], pa.binary())], names=["m"])
-
-    rows = held(own.groupBy("id").agg(F.collect_list("i").alias("i"), F.collect_list("weight").alias("w")), "sparse")
-    total = np.zeros((len(kept), len(kept)))
-    for r in rows.select("i", "w").coalesce(16).mapInArrow(gram, "m binary").toLocalIterator():
-        total += np.frombuffer(r.m, np.float32).reshape(total.shape)
-    rng = np.random.default_rng(seed)
-    dims = min(dims, max(1, len(kept)))
-    q = rng.standard_normal((len(kept), dims))
-    for _ in range(4):
-        q, _ = np.linalg.qr(total @ q)
+def _directions(token: str, seed: int) -> tuple[list[int], list[float]]:
+    """The random coordinates of a token, and their signs: a function of the token alone."""
+    raw = hashlib.blake2b(token.encode(), digest_size=4 * HASHES, salt=seed.to_bytes(8, "little")).digest()
+    codes = [int.from_bytes(raw[4 * i : 4 * i + 4], "little") for i in range(HASHES)]
+    return [c % SKETCH for c in codes], [1.0 if c >> 31 else -1.0 for c in codes]
+
+
+def projection(postings: DataFrame, dims: int = 64, seed: int = 7) -> DataFrame:
+    """Rows (id, v): documents on the leading directions of all their terms.
+
+    A randomised range finder: every token of the vocabulary is laid on a few hashed
+    coordinates, whatever its frequency, so each document is one short vector after one
+    pass. The vectors' products, ``SKETCH`` squared whatever the table, are summed on the
+    cluster, and their leading eigenvectors turn the vectors. Signs are arbitrary.
+    """
+    rows = postings.groupBy("id").agg(F.collect_list(F.struct("token", "weight")).alias("t"))  # a document's terms were one row
+    kind = postings.schema["id"].dataType.simpleString()
+
+    def sketch(batches):
+        known: dict = {}
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
+            out = np.zeros((batch.num_rows, SKETCH))
+            flat = batch.column(1).flatten()
+            tokens, weights = flat.field(0).to_pylist(), flat.field(1).to_numpy()
+            if len(known) > 500_000:
+                known.clear()
+            for t in set(tokens) - known.keys():
+                known[t] = _directions(t, seed)
+            of = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+            at = np.array([known[t][0] for t in tokens], np.int64).reshape(-1, HASHES)
+            signs = np.array([known[t][1] for t in tokens]).reshape(-1, HASHES) * (weights / math.sqrt(HASHES))[:, None]
+            np.add.at(out, (np.repeat(of, HASHES), at.ravel()), signs.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), SKETCH).cast(pa.list_(pa.float64()))], names=["id", "v"])
+
+    short = held(rows.mapInArrow(sketch, f"id {kind}, v array<double>"), "sketch")
+    gram = fold(short, lambda x: (x.T @ x).ravel())
+    if not len(gram):
+        return short
+    dims = min(dims, SKETCH)
+    _, vectors = np.linalg.eigh(gram.reshape(SKETCH, SKETCH))
+    turn = vectors[:, ::-1][:, :dims]
 
     def project(batches):
         for batch in batches:
-            got = [(np.array(w) @ q[i]).tolist() for i, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.float64()))], names=["id", "v"])
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH) @ turn
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dims).cast(pa.list_(pa.float64()))], names=["id", "v"])
 
-    return rows.mapInArrow(project, f"id {postings.schema['id'].dataType.simpleString()}, v array<double>")
+    return short.mapInArrow(project, f"id {kind}, v array<double>")

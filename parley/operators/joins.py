@@ -47,3 +47,8 @@ def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
     rest = [c for c in rows.columns if c not in keys]
     picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_row"))
     return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def beside(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """Every row with its stored value, or none."""
+    return rows.join(values, key, "left")

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.functions import text as tx
-from parley.sources.tables import held
+from parley.sources.tables import held, spread
 
 # Words of the question's frame that say nothing about a row.
 FRAMING = frozenset("user users customer customers agent assistant bot person people ask asks asked asking want wants wanted need needs mention mentions mentioned talk talks about conversation something anything say says said".split())
@@ -36,7 +38,7 @@ def analyse(question: str, vocab: DataFrame, power: float = 2.4, tolerance: floa
     """Terms of the question with sharpened weights, and the rare ones a row must hold at least one of."""
     low = question.casefold()
     found = [(m.start(), who) for who, p in PARTIES if (m := p.search(low))]
-    words = [w for w in re.findall(tx.TOKEN, low) if w not in tx.STOP_WORDS and w not in FRAMING and w not in tx.KEPT_WORDS]
+    words = [tx.plain_stem(w) for w in re.findall(tx.TOKEN, low) if w not in tx.STOP_WORDS and w not in FRAMING and w not in tx.KEPT_WORDS]
     pairs = [f"{a}_{b}" for a, b in zip(words, words[1:])]
     initials = {"".join(w[0] for w in words[i : i + n]): 0.75 for n in (2, 3, 4) for i in range(len(words) - n + 1)}
     asked = {t: 1.0 + math.log(words.count(t) or 1) for t in [*words, *pairs]}
@@ -80,11 +82,11 @@ def expand(scores: DataFrame, postings: DataFrame, weights: dict[str, float], te
     if n < 20:
         return weights
     best = scores.agg(F.max("score")).first()[0] or 0.0
-    share = n // 50
-    if share <= 1000:
-        top = scores.where("score > 0").orderBy(F.desc("score"), "id").limit(max(6, share))
-    else:  # the same share by its score, so that no task sorts it
-        top = scores.where((F.col("score") > 0) & (F.col("score") >= scores.agg(F.percentile("score", 0.98)).scalar()))
+    # the best fiftieth, six rows at least, and all that tie with its last: one rule at every size
+    share = max(6, n // 50)
+    some = scores.where("score > 0")
+    least = some.agg(F.percentile("score", F.lit(max(0.0, 1 - share / max(some.count(), 1))))).first()[0]
+    top = some.where(F.col("score") >= (least or 0.0))
     kept = held(top.where(F.col("score") >= 0.4 * best).select("id"), "relevant")
     size = kept.count()
     if size < 3:
@@ -116,43 +118,72 @@ def verdicts(scores: DataFrame, at: float, spread: float, negated: bool = False)
     return scores.select("id", "score", (~yes if negated else yes).alias("value"), F.round(F.least(F.lit(0.97), 0.5 + 0.47 * F.least(F.lit(1.0), 2.6 * far)), 6).alias("confidence"))
 
 
+_PART = re.compile(r"[^.?!\n]*[.?!]+|[^.?!\n]+")
+
+
+def plain_evidence(text: str, weights: dict[str, float], asked: re.Pattern | None, known: dict[str, str]) -> str:
+    """The sentence of over 12 characters that overlaps most with the question, the first of equals, else the first 200 characters."""
+    best, quote = -1.0, None
+    if asked is not None:
+        for one in _PART.findall(text):
+            one = one.strip(" ")
+            if len(one) <= 12 or not asked.search(one.lower()):  # most sentences share no word with the question
+                continue
+            grams: set[str] = set()
+            for clause in tx._SENTENCE.split(one):
+                own = tx.folded([w for w in tx._TOKEN.findall(clause.lower()) if w not in _STOPPED], True, {}, known)
+                grams.update(own, (f"{a}_{b}" for a, b in zip(own, own[1:])))
+            hit = [weights[g] for g in sorted(grams & weights.keys())]
+            if hit and round(sum(hit), 9) > best:
+                best, quote = round(sum(hit), 9), one
+    return text[:200] if quote is None else quote
+
+
+_STOPPED = frozenset(tx.STOP_WORDS)
+
+
 def evidence(docs: DataFrame, weights: dict[str, float], text: str = "text") -> DataFrame:
-    """Rows (id, quote): the sentence of over 12 characters that overlaps most, else the first 200 characters."""
-    each = docs.select("id", F.posexplode(F.filter(tx.sentences(F.col(text)), lambda s: F.length(s) > 12)).alias("pos", "sentence"))
-    asked = sorted({w for t in weights for w in t.split("_")})
-    if asked:  # most sentences share no word with the question and need no tokens
-        each = each.where(F.lower("sentence").rlike("(?:^|[^a-z0-9])(?:" + "|".join(asked) + ")"))
-    tokens = each.select("id", "pos", "sentence", F.explode(F.array_distinct(tx.tokens(F.col("sentence")))).alias("token")).where(F.col("token").isin(list(weights) or [""]))
-    best = tokens.groupBy("id", "pos", "sentence").agg(F.round(F.sum(_weight(weights)), 9).alias("w")).groupBy("id").agg(F.max_by("sentence", F.struct("w", -F.col("pos"))).alias("quote"))
-    return docs.join(best, "id", "left").select("id", F.coalesce("quote", F.substring(text, 1, 200)).alias("quote"))
+    """Rows (id, quote), one per row of ``docs``: its best sentence."""
+    words = sorted({w[:-1] if w.endswith("y") else w for t in weights for w in t.split("_")})  # a stem's y may stand for i
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, known = (re.compile("(?:^|[^a-z0-9])(?:" + "|".join(words) + ")") if words else None), {}
+        for batch in batches:
+            got = [plain_evidence(t or "", weights, asked, known) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string())], names=["id", "quote"])
+
+    return docs.select("id", F.col(text).alias("text")).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, quote string")
 
 
-def judge(docs: DataFrame, question: str, scoped: DataFrame | None = None) -> tuple[DataFrame, Analysis]:
-    """Rows (id, score, value, confidence, quote) for every row of docs (id, text).
+def judge(docs: DataFrame, question: str, scoped: Callable[[str], DataFrame | None] | DataFrame | None = None) -> tuple[DataFrame, Analysis]:
+    """Rows (id, score, value, confidence, quote) for every row of docs (id, text), ids once each.
 
-    ``scoped`` (id, text) holds the words of the party the question names; without it the
-    whole text is scored.
+    ``scoped`` (id, text), or a function of the party that the question names, gives that
+    party's words; without it the whole text is scored. Texts and question meet on stems.
     """
-    docs = held(docs.select("id", F.coalesce("text", F.lit("")).alias("text")), "docs")
-    n = F.lit(docs.count())
-    tf = held(tx.term_frequencies(docs, "id", tx.tokens(F.col("text"))), "tf")
-    vocab = held(tx.vocabulary(tf, n), "vocabulary")
-    postings = held(tx.tfidf(tf, vocab, vocab.count()), "postings")
+    docs = held(spread(docs.select("id", F.coalesce("text", F.lit("")).alias("text"))), "docs")
+    counts = held(tx.term_counts(docs, "id", "text", stems=True), "counts")
+    vocab = held(tx.vocabulary(tx.counted_frequencies(counts), F.lit(docs.count())), "vocabulary")
+    n_tokens = vocab.count()
+    postings = held(tx.weights(counts, vocab, n_tokens), "postings")
     asked = analyse(question, vocab)
     ids = docs.select("id")
+    party = (scoped(asked.scope) if asked.scope != "all" else None) if callable(scoped) else scoped
+    own = None
+    if party is not None:
+        own = held(tx.weights(tx.term_counts(spread(party.select("id", "text")), "id", "text", stems=True), vocab, n_tokens), "party")
 
     def run(weights: dict[str, float], gate: list[str]) -> DataFrame:
         whole = score(postings, ids, weights, gate)
-        if scoped is None:
-            return held(whole, "scores")
-        own = tx.tfidf(tx.term_frequencies(scoped, "id", tx.tokens(F.col("text"))), vocab)
-        return held(mix(score(own, ids, weights, gate), whole), "scores")
-
-    first = run(asked.weights, asked.gate)
-    wider = expand(first, postings, asked.weights)
-    scores = first if wider is asked.weights else run(wider, sorted({*asked.gate, *[t for t in wider if t not in asked.weights]}))
-    at, spread = cut(scores)
-    return verdicts(scores, at, spread, asked.negated).join(evidence(docs, wider), "id"), asked
+        return held(whole if own is None else mix(score(own, ids, weights, gate), whole), "scores")
+
+    near = nearest_terms(postings, asked.weights)
+    gate = sorted({*asked.gate, *[t for t in near if t not in asked.weights]})
+    first = run(near, gate)
+    wider = expand(first, postings, near)
+    scores = first if wider is near else run(wider, sorted({*gate, *[t for t in wider if t not in near]}))
+    at, spread_of = cut(scores)
+    return verdicts(scores, at, spread_of, asked.negated).join(evidence(docs, wider), "id"), asked
 
 
 def sample(values: DataFrame, per: int = 5) -> DataFrame:

@@ -25,6 +25,8 @@ class Binding:
     bridge: DataFrame | None = None
     span_table: DataFrame | None = None
     text: str | None = None
+    #: Words of one party of each conversation (id, text), by ``user`` or ``assistant``.
+    said: Callable[[str], DataFrame | None] | None = None
 
     def get(self, name: str) -> Column:
         if name in self.columns:
@@ -63,10 +65,41 @@ def orders(spark: SparkSession, folder: str) -> Binding:
     return Binding(rows, {k: F.col(v) for k, v in names.items()}, bridge, line)
 
 
+#: Recorded facts that ``facts`` derives from an order's number: column, divisor of the number, values in turn.
+RECORDED = (
+    ("outcome", 1, ("resolved", "abandoned", "hallucination", "unmet request", "contradiction", "resolved", None)),
+    ("failure_mode", 3, ("none", "none", "tool_loop", "wrong_answer", "hallucinated_tool", "refusal", "timeout", "context_overflow", "provider_error", "tool_error", None)),
+    ("sentiment_end", 2, ("positive", "neutral", "frustrated", "angry", None)),
+    ("intent_satisfied", 5, ("yes", "no", "unclear", None)),
+    ("gave_up", 7, ("yes", "no", "no")),
+    ("capture_completeness", 11, ("complete", "complete", "partial")),
+    ("guardrail_status", 13, ("passed", "blocked", "passed", None)),
+    ("model", 17, ("model-a", "model-b", "model-c")),
+    ("provider", 19, ("north", "south")),
+    ("error_code", 23, (None, "rate_limit_429", "timeout_504")),
+    ("turn_word", 29, ("1", "2", "3", "4", "5", "6")),
+)
+
+
+def facts(spark: SparkSession, folder: str) -> Binding:
+    """Orders as fully recorded conversations: every logical column, from the order's own number."""
+    base = orders(spark, folder)
+    turn = lambda div, values: F.get(F.array(*[F.lit(v) for v in values]), F.pmod(F.floor(F.col("o_orderkey") / (4 * div)), F.lit(len(values))).cast("int"))
+    rows = base.traces.withColumns({name: turn(div, values) for name, div, values in RECORDED})
+    names = {"id": "o_orderkey", "app": "c_mktsegment", "cost_usd": "o_totalprice", "started_at": "o_orderdate", **{n: n for n, _, _ in RECORDED}}
+    columns = {k: F.col(v) for k, v in names.items()} | {"user_gave_up": F.col("gave_up") == "yes", "turns": F.col("turn_word").cast("int"), "intent_key": F.col("o_orderpriority"), "status": F.when(F.col("error_code").isNull(), "ok").otherwise("error")}
+    return Binding(rows, columns, base.bridge, base.span_table)
+
+
+def _said(messages: DataFrame, trace: str, order: str, kind: str, text: str, who: str) -> DataFrame:
+    own = messages.where(F.col(kind) == who).groupBy(F.col(trace).alias("id")).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("m"))
+    return own.select(F.col("id").cast("string").alias("id"), F.array_join(F.transform("m", lambda m: m[text]), " ").alias("text"))
+
+
 def conversations(spark: SparkSession, folder: str) -> Binding:
     messages = tables.read(spark, folder, "conversations")
     shape = spans.trace_shape(messages, "conv_id", "turn", "role", "text").withColumnRenamed("spans", "n_spans")
-    return Binding(shape, {"id": F.col("conv_id"), "ended_by": F.col("last_role"), "cost_usd": F.length("user_text").cast("double"), "tool_calls": F.col("n_spans")}, None, messages, "user_text")
+    return Binding(shape, {"id": F.col("conv_id"), "ended_by": F.col("last_role"), "cost_usd": F.length("user_text").cast("double"), "tool_calls": F.col("n_spans")}, None, messages, "user_text", lambda who: _said(messages, "conv_id", "turn", "role", "text", who))
 
 
 def events(spark: SparkSession, folder: str) -> Binding:
@@ -83,4 +116,4 @@ def generated(traces: DataFrame, span_rows: DataFrame) -> Binding:
     """Generated traces with the columns their spans give them."""
     facts = traces.join(spans.derived_columns(span_rows), "trace_id")
     bridge = spans.tool_bridge(span_rows).withColumnRenamed("trace_id", "id")
-    return Binding(facts, {"id": F.col("trace_id"), "user_gave_up": F.col("kind") == "loop", "rephrase_count": F.greatest(F.col("turns") - 1, F.lit(0))}, bridge, span_rows, "ask")
+    return Binding(facts, {"id": F.col("trace_id"), "user_gave_up": F.col("kind") == "loop", "rephrase_count": F.greatest(F.col("turns") - 1, F.lit(0))}, bridge, span_rows, "ask", lambda who: _said(span_rows, "trace_id", "idx", "type", "content_redacted", f"{who}_message"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -127,11 +128,6 @@ def l1_average_of_known(spark, d):
     return aggregate.grouped(kept, "avg").withColumns({"total": F.coalesce(F.round("total", 2), F.lit(0.0)), "value": F.round("value", 2)})
 
 
-@query("select o_orderkey from orders where o_orderpriority in ('1-URGENT', '2-HIGH') or o_orderstatus = 'P'")
-def filter_disjunction(spark, d):
-    return t(spark, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") | (F.col("o_orderstatus") == "P")).select("o_orderkey")
-
-
 @query("""select p_partkey from part where p_name ilike '%e\\_%' escape '\\' or p_type ilike '%br%' or p_brand ilike '%br%'""")
 def filter_search(spark, d):
     parts = t(spark, d, "part")
@@ -160,11 +156,6 @@ def left_join_counts(spark, d):
     return joins.child_counts(t(spark, d, "customer").select("c_custkey"), orders, "c_custkey", F.col("o_orderstatus") == "F")
 
 
-@query("select count(*)::bigint as customers from (select o_custkey from orders group by 1 having count(*) > 10)")
-def having_count(spark, d):
-    return t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 10").agg(F.count("*").alias("customers"))
-
-
 @query("""with n as (select doc_id, quality, toxic from labels where toxic = 1), u as (select * from labels where doc_id not in (select doc_id from n) union all select doc_id, 9, toxic from n) select doc_id::bigint as doc_id, quality::int as quality, toxic::int as toxic from u""")
 def upsert_values(spark, d):
     old = t(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
@@ -257,11 +248,6 @@ def catalogue(spark, d):
     return spark.createDataFrame([(v,) for v in values], "v string")
 
 
-@query("""select quality, toxic, count(*)::bigint as n from labels group by 1, 2 order by n desc limit 5""")
-def two_column_groups(spark, d):
-    return t(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "quality", "toxic").limit(5)
-
-
 @query("select l_suppkey, count(distinct l_partkey)::bigint as parts from lineitem group by 1")
 def distinct_counts(spark, d):
     return t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_partkey").alias("parts"))
@@ -363,14 +349,18 @@ _TF = f"tf as (select doc_id as id, token, count(*) as tf from ({_GRAMS}) group
 _VOCAB = "vocab as (select token, count(*) as df, ln((1 + any_value(n)) / (1 + count(*))) + 1 as idf from tf cross join nd group by token having count(*) >= case when any_value(n) > 20 then 2 else 1 end and count(*) <= greatest(2.0, any_value(n) * 0.55))"
 
 
+def _counts(spark, d):
+    return tx.term_counts(tables.spread(t(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
 def _tf(spark, d):
-    return tx.term_frequencies(t(spark, d, "documents"), "doc_id", tx.tokens(F.col("text")))
+    return tx.term_rows(_counts(spark, d))
 
 
 def _postings(spark, d):
-    tf = tables.held(_tf(spark, d), "tf")
-    vocab = tables.held(tx.vocabulary(tf, F.lit(t(spark, d, "documents").count())), "vocabulary")
-    return vocab, tx.tfidf(tf, vocab, vocab.count())
+    counts = tables.held(_counts(spark, d), "counts")
+    vocab = tables.held(tx.vocabulary(tx.counted_frequencies(counts), F.lit(counts.count())), "vocabulary")
+    return vocab, tx.weights(counts, vocab, vocab.count())
 
 
 @query(f"with {_TF} select id as doc_id, token, tf::bigint as tf from tf")
@@ -381,7 +371,7 @@ def term_frequencies(spark, d):
 @query(f"with {_TF}, {_VOCAB} select token, df::bigint as df, round(idf, 6) as idf from vocab")
 def vocabulary(spark, d):
     docs = t(spark, d, "documents")
-    return tx.vocabulary(tx.document_frequencies(docs, tx.tokens(F.col("text"))), F.lit(docs.count())).select("token", "df", F.round("idf", 6).alias("idf"))
+    return tx.vocabulary(tx.counted_frequencies(_counts(spark, d)), F.lit(docs.count())).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {_TF}, {_VOCAB}, w as (select id, token, (1 + ln(tf)) * idf as w from tf join vocab using (token)) select id, token, round(w / sqrt(sum(w * w) over (partition by id)), 6) as weight from w")
@@ -397,12 +387,6 @@ def class_weights(spark, d):
     return tx.class_tfidf(counted).select("group", "token", "n", F.round("weight", 8).alias("weight"))
 
 
-@query("""select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'))::int as emails from documents where regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')""")
-def email_counts(spark, d):
-    pattern = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-    return t(spark, d, "documents").where(F.col("text").rlike(pattern)).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("emails"))
-
-
 @query()
 def redaction(spark, d):
     out = tx.redact(t(spark, d, "documents").select("doc_id", "text"), "text")
@@ -416,11 +400,6 @@ def stems_and_aliases(spark, d):
     return tx.aliases(tables.held(vocab, "vocabulary"))
 
 
-@query()
-def surface_forms(spark, d):
-    return tx.surface_forms(t(spark, d, "documents"), "text")
-
-
 # -- similarity, groups, judgments ----------------------------------------------
 
 _UNIT = "u as (select vec_id as id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as v from embeddings)"
@@ -517,14 +496,6 @@ def literal_quotes(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", tx.literal_quote(quote, F.col("text")).alias("literal"))
 
 
-@query("""with r as (select source as g, doc_id, n_chars from documents), q as (select g, doc_id, n_chars, row_number() over (partition by g order by n_chars desc, doc_id) as i from r) select g, doc_id, i::int as place from q where i <= 3""")
-def evidence_ranks(spark, d):
-    from pyspark.sql.window import Window
-
-    place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n_chars"), "doc_id"))
-    return t(spark, d, "documents").select(F.col("source").alias("g"), "doc_id", "n_chars").withColumn("place", place).where("place <= 3").drop("n_chars")
-
-
 @query("""select o_orderpriority, o_custkey, n::bigint as n, i::int as rank from (select o_orderpriority, o_custkey, count(*) as n, row_number() over (partition by o_orderpriority order by count(*) desc, o_custkey) as i from orders group by 1, 2) where i <= 3""")
 def top_per_group(spark, d):
     return aggregate.top_per_group(t(spark, d, "orders"), "o_orderpriority", "o_custkey", 3)
@@ -565,7 +536,7 @@ def group_names(spark, d):
 @query()
 def dense_projection(spark, d):
     vocab, postings = _postings(spark, d)
-    return cluster.projection(postings, vocab)
+    return cluster.projection(postings)
 
 
 # -- sources --------------------------------------------------------------------
@@ -578,11 +549,15 @@ def row_count(spark, d):
 
 @query("select n_nationkey, n_name, n_regionkey, 'none' as note from nation")
 def migrated_columns(spark, d):
-    nations = t(spark, d, "nation")
-    return nations.unionByName(nations.limit(0).withColumn("note", F.lit("x")), allowMissingColumns=True).withColumn("note", F.coalesce("note", F.lit("none")))
+    store = tables.Store(spark, f"{tables.shared_dir(spark)}/parley/store-{uuid.uuid4().hex}")
+    store.append("places", t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    return store.migrate("places", {"note": "none"})
 
 
 @query()
 def generated_traces(spark, d):
     rows = generator.traces(spark, 200)
     return rows.join(spans.derived_columns(generator.spans(rows)), "trace_id")
+
+
+import parley.recorded_queries  # noqa: E402,F401  registers more

@@ -87,5 +87,5 @@ def spans(of: DataFrame, seed: int = 42) -> DataFrame:
         F.concat_ws("-", "trace_id", F.col("idx").cast("string")).alias("id"), "trace_id", "idx", F.col("s.type").alias("type"), F.col("s.name").alias("name"),
         F.when(F.col("s.type").isin("user_message", "assistant_message"), (200 + F.floor(u("ms") * 2000)).cast("long")).alias("duration_ms"), F.when(spoken, F.length(text)).otherwise(0).cast("long").alias("tokens_in"),
         F.when(F.col("s.type") == "assistant_message", F.length(text)).otherwise(0).cast("long").alias("tokens_out"), F.when(spoken, F.round(0.0001 + u("cost") * 0.01, 6)).otherwise(0.0).alias("cost_usd"),
-        F.when(F.col("s.type") == "error", "error").otherwise("ok").alias("status"), text.alias("content_redacted"), F.when(F.col("s.type") == "error", F.lit("upstream_503")).alias("error_code"),
+        F.when(F.col("s.type") == "error", "error").otherwise("ok").alias("status"), text.alias("content_redacted"), F.when(F.col("s.type") == "error", F.lit("provider_model_overloaded_529")).alias("error_code"),
     )

@@ -35,10 +35,21 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over twice the cores where its scan has fewer parts than cores (one small file, say); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row that changes with any row: count, and an order-free hash of contents."""
-    h = F.xxhash64(*[F.col(c).cast("string") if not c.startswith("_") else F.col(c) for c in df.columns])
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("content"))
+    """One row that changes with any row: count, and an order-free sum of hashes of contents.
+
+    A sum, so that equal rows do not cancel out; each column goes with whether it is
+    null, so that nulls keep their place.
+    """
+    names = [F.col(f"`{c}`") for c in df.columns]
+    h = F.xxhash64(*[x for c in names for x in (c.isNull(), F.coalesce(c.cast("string"), F.lit("")))])
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("content"))
 
 
 class Store:

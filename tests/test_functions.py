@@ -64,3 +64,37 @@ def test_labels_and_quotes(spark):
     assert one(spark, tx.first_sentence_label(F.lit("Where is it? I paid."))) == "Where is it"
     assert one(spark, tx.first_sentence_label(F.lit("word " * 40))).endswith("…")
     assert one(spark, tx.select_quote(F.lit("Hi. Where is my order?"), F.lit("No."), F.lit(1))) == "Where is my order?"
+
+
+def test_secrets_and_repeats_are_redacted(spark):
+    import re
+
+    from parley.functions import text as tx
+
+    rows = ["sk-live-9f2b71c4ad55e0 and SK-LIVE-9F2B71C4AD55E0", "password-abcdef123456 bearer_Zz9Zz9Zz9Zz9 access_token-0123456789ab rk-aaaaaaaaaaaa", "api_key-v2_0123456789 secret-short call +1 (555) 123-4567 or 555 123 4567 89, mail A@b.co a@B.CO", "", "plain"]
+
+    def plain(text):
+        for kind, pattern in tx.REDACTIONS:
+            seen = {}
+            text = re.sub(pattern, lambda m, kind=kind, seen=seen: seen.setdefault(m[0].lower(), f"[{kind}_{len(seen) + 1}]"), text)
+        return text
+
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, text string")
+    got = {r.i: (r.redacted, r.personal) for r in tx.redact(df, "text").withColumn("personal", tx.has_personal_data(F.col("text"))).collect()}
+    assert {i: r for i, (r, _) in got.items()} == {i: plain(t) for i, t in enumerate(rows)}
+    assert "password" not in got[1][0] and [p for _, p in (got[i] for i in range(5))] == [True, True, True, False, False]
+    data = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").where("text is not null")
+    assert [r.redacted for r in tx.redact(data, "text").collect()] == [plain(r.text) for r in data.collect()]
+
+
+def test_counted_terms_equal_the_tokens_of_columns(spark):
+    from parley.functions import text as tx
+
+    docs = spark.createDataFrame([(0, "Refunded twice! The refunds, classes; stopping trying cities a b."), (1, None), (2, ""), (3, "running running run.run ÀÉ x2 boxes buzzes")], "id long, text string")
+    for stems in (False, True):
+        want = sorted(map(tuple, tx.term_frequencies(docs, "id", tx.tokens(F.col("text"), stems=stems)).collect()))
+        assert sorted(map(tuple, tx.term_rows(tx.term_counts(docs, "id", "text", stems=stems)).collect())) == want
+    counts = tx.term_counts(docs, "id", "text")
+    vocab = tx.vocabulary(tx.counted_frequencies(counts), F.lit(4))
+    shown = lambda df: sorted((r.id, r.token, round(r.weight, 9)) for r in df.collect())
+    assert shown(tx.weights(counts, vocab, vocab.count())) == shown(tx.weights(counts, vocab))

@@ -6,7 +6,8 @@ from parley.operators import aggregate, cluster, joins, judge, similarity, spans
 from parley.plans import answer, lower
 from parley.plans.binding import Binding, generated
 from parley.plans.compiler import Compiler
-from parley.sources import generator
+from parley.operators.aspects import Aspects
+from parley.sources import generator, tables
 from parley.sources.tables import Store, fingerprint
 
 
@@ -146,7 +147,7 @@ def test_relaxation_drops_the_last_conditions(spark):
     bound = Binding(rows)
     spec = Compiler({"app": ["aaaa"]}).compile("conversations that timed out and refused")
     relaxed, dropped = lower.relax(spec, bound)
-    assert [p.id for p in relaxed.predicates] == ["timed_out"] and [p.id for p in dropped] == ["refused"]
+    assert [p.id for p in relaxed.predicates] == ["the_request_timed_out"] and [p.id for p in dropped] == ["the_agent_refused"]
 
 
 def test_engine_end_to_end(spark, tmp_path):
@@ -170,7 +171,8 @@ def test_engine_end_to_end(spark, tmp_path):
     assert engine.list_traces(page=1, size=10).count() == 10
     assert engine.trace_detail("tr-00000003").count() > 0
     assert engine.search("charged twice invoice").count() > 0
-    assert engine.lookup_error("timeout")["title"] == "Timed out"
+    assert [r.relevance for r in engine.search_traces("charged twice invoice", size=5).collect()] == sorted([r.score for r in engine.search("charged twice invoice", size=5).collect()], reverse=True)
+    assert engine.lookup_error("tool_upstream_error")["title"] == "Tool error" and engine.lookup_error("nosuch")["title"] == "Unknown code"
     assert engine.representative_traces(3).count() == 3
     assert {"app", "cost"} <= {f["key"] for f in engine.list_shape_fields()}
 
@@ -184,3 +186,55 @@ def test_ties_are_named():
     spec = Compiler().compile("conversations by app")
     tied = [{"group_key": k, "label": k, "value": 2.0, "count": 2, "share": 0.5} for k in "ab"]
     assert answer.interpretation(spec, tied) == "a and b are tied."
+
+
+def test_fingerprints_see_every_change(spark):
+    kind = "a int, b string"
+    of = lambda rows: tuple(tables.fingerprint(spark.createDataFrame(rows, kind)).first())
+    assert of([(1, "a"), (1, "a")]) != of([(2, "b"), (2, "b")])
+    assert of([(None, "1")]) != of([(1, None)]) and of([(1, "")]) != of([(1, None)])
+    assert of([(1, "a"), (2, "b")]) == of([(2, "b"), (1, "a")])
+    assert of([])[0] == 0
+
+
+def test_the_named_party_is_scored(spark):
+    docs = spark.createDataFrame([(i, f"filler words number{i} talk plain") for i in range(40)] + [(100, "hello there refund please thanks"), (101, "hello there please refund thanks")], "id long, text string")
+    said = {"user": spark.createDataFrame([(100, "refund please"), (101, "hello")], "id long, text string")}
+    got = {r.id: r.score for r in judge.judge(docs, "does the user mention refunds?", lambda who: said.get(who))[0].collect()}
+    assert got[100] > got[101] > 0 and len(got) == 42
+
+
+def test_a_judge_of_rows_sees_pending_rows_only(spark, tmp_path):
+    store = tables.Store(spark, str(tmp_path / "s"))
+    own, seen = Aspects(store), []
+
+    def by(docs, question):
+        seen.append(docs.count())
+        return docs.select("id", F.lit(1.0).alias("score"), F.lit(True).alias("value"), F.lit(0.9).alias("confidence"), F.col("text").alias("quote"))
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "id long, text string")
+    aspect = own.ensure("is it so?")
+    own.evaluate(aspect, docs.where("id < 4"), by)
+    own.evaluate(aspect, docs, by)
+    assert seen == [4, 2] and own.of(aspect).count() == 6
+
+
+def test_local_judgments_in_parts_equal_those_at_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"refund wanted now {i}" if i % 9 == 0 else f"plain talk about thing{i} and more") for i in range(60)], "id long, text string")
+    found = []
+    for name, parts in (("once", [docs]), ("parts", [docs.where("id < 30"), docs])):
+        own = Aspects(tables.Store(spark, str(tmp_path / name)))
+        aspect = own.ensure("does the user want a refund?")
+        for part in parts:
+            own.evaluate(aspect, part)
+        found.append(sorted((r.id, r.value_json, r.score) for r in own.of(aspect).collect()))
+    assert found[0] == found[1] and len(found[0]) == 60
+
+
+def test_every_token_takes_part_in_the_projection(spark):
+    rows = [(i, f"{'cat' if i % 2 else 'dog'}{j}", 0.5) for i in range(40) for j in range(4)] + [(99, "once", 1.0)]
+    postings = spark.createDataFrame(rows, "id long, token string, weight double")
+    got = {r.id: np.array(r.v) for r in cluster.projection(postings, dims=8).collect()}
+    assert len(got) == 41 and np.linalg.norm(got[99]) > 0
+    cosine = lambda a, b: got[a] @ got[b] / np.linalg.norm(got[a]) / np.linalg.norm(got[b])
+    assert cosine(0, 2) > 0.99 and abs(cosine(0, 1)) < 0.7
