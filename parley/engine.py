@@ -14,6 +14,7 @@ from parley.functions import text as tx
 from parley.operators import aggregate, cluster, joins, similarity, spans
 from parley.operators.aspects import Aspects
 from parley.plans import answer as answers
+from parley.plans import binding as bindings
 from parley.plans import lower, registry
 from parley.plans.binding import Binding
 from parley.plans.compiler import Compiler, QuerySpec, inherit
@@ -35,14 +36,17 @@ class Engine:
     def __init__(self, spark: SparkSession, binding: Binding, store: Store | None = None, now: str = "2024-01-31 00:00:00"):
         self.spark, self.binding, self.store = spark, binding, store
         self.aspects = Aspects(store) if store else None
-        self.compiler = Compiler(binding.catalogue(), now)
+        self.now = now
+        self._values: DataFrame | None = None
         self._text: tuple[DataFrame, ...] | None = None
 
     # -- questions ------------------------------------------------------------
 
     def plan(self, question: str, parent: QuerySpec | None = None) -> tuple[QuerySpec, list[str]]:
         """The typed query, and the labels of conditions dropped because nothing met them all."""
-        spec = self.compiler.compile(question)
+        if self._values is None:
+            self._values = held(bindings.phrased(self.binding.catalogue()), "values")
+        spec = Compiler(bindings.named(self._values, question), self.now).compile(question)
         if parent:
             spec = inherit(spec, parent)
         spec.predicates = [p for p in spec.predicates if p.bridge and self.binding.bridge is not None or not p.bridge and self.binding.has(p.build)]

@@ -16,8 +16,6 @@ from parley.functions import text as tx
 from parley.operators import similarity
 from parley.sources.tables import held
 
-#: Groups up to which linkage sums are brought to the driver; only the largest take part beyond.
-MAX_LINKED = 400
 #: Rows up to which all sparse pairs are compared.
 MAX_GRAPH = 4000
 
@@ -47,44 +45,38 @@ def number(assigned: DataFrame) -> DataFrame:
     return assigned.join(ranked, "group").select("id", "cluster")
 
 
-def link(postings: DataFrame, assigned: DataFrame, floor: float = 0.15, least: int = 2) -> DataFrame:
-    """Average linkage of groups: the pair of largest mean similarity is merged while it reaches ``floor``.
+def link(postings: DataFrame, assigned: DataFrame, floor: float = 0.15) -> DataFrame:
+    """Average linkage of all groups, single rows too: the most similar pair is merged while it reaches ``floor``.
 
-    A pair's mean similarity is the product of the groups' vector sums over their sizes,
-    so only sums are compared. Groups of one row stay as they are, and so do groups
-    beyond the MAX_LINKED largest.
+    A pair's mean similarity is the product of the groups' vector sums over their sizes.
+    Merging only ever lowers a group's similarity to a third one below the better of its
+    parts', so all pairs that are each other's most similar group are merged in one round,
+    and the result is that of merging one pair at a time. Products of merged groups add up,
+    so tokens are joined once and the pairs shrink from round to round. Two groups are left apart.
     """
-    sizes = assigned.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "group").limit(MAX_LINKED)
-    counts = {r.group: r.n for r in sizes.collect()}
-    if len(counts) <= least:
-        return assigned
-    sums = held(postings.join(assigned, "id").join(F.broadcast(sizes.select("group")), "group").groupBy("group", "token").agg(F.sum("weight").alias("w")), "sums")
+    sizes = held(assigned.groupBy("group").agg(F.count("*").alias("n")), "sizes")
+    sums = held(postings.join(assigned, "id").groupBy("group", "token").agg(F.sum("weight").alias("w")), "sums")
     b = sums.select(F.col("group").alias("other"), "token", F.col("w").alias("wb"))
-    dots = sums.join(b, "token").where("group <= other").groupBy("group", "other").agg(F.sum(F.col("w") * F.col("wb")).alias("dot")).collect()
-    names = sorted(counts)
-    at = {g: i for i, g in enumerate(names)}
-    dot = np.zeros((len(names), len(names)))
-    for r in dots:
-        dot[at[r.group], at[r.other]] = dot[at[r.other], at[r.group]] = r.dot
-    n = np.array([counts[g] for g in names], float)
-    home, alive = list(range(len(names))), set(range(len(names)))
-    while len(alive) > least:
-        rows = sorted(alive)
-        mean = dot[np.ix_(rows, rows)] / np.outer(n[rows], n[rows])
-        np.fill_diagonal(mean, -1)
-        i, j = divmod(int(mean.argmax()), len(rows))
-        if mean[i, j] < floor:
+    pairs = held(sums.join(b, "token").where("group < other").groupBy("group", "other").agg(F.sum(F.col("w") * F.col("wb")).alias("dot")), "pairs")
+    home = held(sizes.select("group", F.col("group").alias("to")), "homes")
+    while sizes.count() > 2:
+        other = sizes.select(F.col("group").alias("other"), F.col("n").alias("m"))
+        near = pairs.join(sizes, "group").join(other, "other").select("group", "other", F.round(F.col("dot") / (F.col("n") * F.col("m")), 9).alias("mean")).where(F.col("mean") >= floor)
+        rank = F.struct(-F.col("mean"), "group", "other")  # one order of all pairs, so ties cannot go round in a circle
+        sides = near.select(rank.alias("rank"), F.explode(F.array("group", "other")).alias("side"), "group", "other")
+        best = sides.groupBy("side").agg(F.min_by(F.struct("group", "other"), "rank").alias("p"))
+        merged = held(best.groupBy("p").agg(F.count("*").alias("sides")).where("sides = 2").select(F.col("p.other").alias("gone"), F.col("p.group").alias("keep")), "merged")
+        if merged.isEmpty():
             break
-        keep, gone = rows[min(i, j)], rows[max(i, j)]
-        dot[keep] += dot[gone]
-        dot[:, keep] += dot[:, gone]
-        n[keep] += n[gone]
-        alive.discard(gone)
-        home = [keep if h == gone else h for h in home]
-    moves = [(g, names[home[i]]) for g, i in at.items()]
-    kind = assigned.schema["group"].dataType.simpleString()
-    table = assigned.sparkSession.createDataFrame(moves, f"group {kind}, to {kind}")
-    return assigned.join(F.broadcast(table), "group", "left").select("id", F.coalesce("to", "group").alias("group"))
+
+        def renamed(df: DataFrame, column: str, merged: DataFrame = merged) -> DataFrame:
+            return df.join(merged, F.col(column) == F.col("gone"), "left").withColumn(column, F.coalesce("keep", column)).drop("gone", "keep")
+
+        sizes = held(renamed(sizes, "group").groupBy("group").agg(F.sum("n").alias("n")), "sizes")
+        ends = renamed(renamed(pairs, "group"), "other").where("group <> other")
+        pairs = held(ends.select(F.least("group", "other").alias("group"), F.greatest("group", "other").alias("other"), "dot").groupBy("group", "other").agg(F.sum("dot").alias("dot")), "pairs")
+        home = held(renamed(home, "to"), "homes")
+    return assigned.join(home, "group").select("id", F.col("to").alias("group"))
 
 
 def graph_clusters(postings: DataFrame, ids: DataFrame, vocab: DataFrame | None = None, k: int = 5, link_at: float = 0.45, floor: float = 0.15, max_rows: int = MAX_GRAPH) -> DataFrame:
@@ -95,7 +87,7 @@ def graph_clusters(postings: DataFrame, ids: DataFrame, vocab: DataFrame | None
     all rows. Rows without a token stay together in the last group there.
     """
     n = ids.count()
-    if n > max_rows and vocab is not None:
+    if n > max_rows:
         dense = held(projection(postings), "dense")
         own = held(similarity.unit(dense, "id", "v"), "unit")
         found = to_nearest(own, best_fit(own)[1]).select("id", "cluster")

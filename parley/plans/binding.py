@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.operators import spans
+from parley.plans.compiler import normalise
 from parley.sources import tables
 
 
@@ -42,16 +44,41 @@ class Binding:
             return False
         return True
 
-    def catalogue(self, fields: tuple[str, ...] = ("app", "model", "error_code"), limit: int = 2000) -> dict[str, list[str]]:
-        """Distinct non-empty values a question may name; ``limit`` bounds what comes to the driver."""
-        out = {}
-        for f in fields:
-            if self.has(lambda get, f=f: get(f)):
-                rows = self.traces.select(self.get(f).cast("string").alias("v")).where(F.col("v").isNotNull() & (F.col("v") != "")).distinct().orderBy("v").limit(limit).collect()
-                out[f] = [r.v for r in rows]
+    def catalogue(self, fields: tuple[str, ...] = ("app", "model", "error_code")) -> DataFrame:
+        """Rows (field, value): the distinct non-empty values of each field, and the tools, from one scan each."""
+        have = [f for f in fields if self.has(lambda get, f=f: get(f))]
+        kind = "array<struct<field:string,value:string>>"
+        pairs = F.array(*[F.struct(F.lit(f).alias("field"), self.get(f).cast("string").alias("value")) for f in have]) if have else F.array()
+        out = self.traces.select(F.inline(pairs.cast(kind)))
         if self.bridge is not None:
-            out["tool"] = [r.tool for r in self.bridge.select("tool").where(F.col("tool").isNotNull()).distinct().orderBy("tool").limit(limit).collect()]
-        return out
+            out = out.unionByName(self.bridge.select(F.lit("tool").alias("field"), F.col("tool").cast("string").alias("value")))
+        return out.where(F.col("value").isNotNull() & (F.col("value") != "")).distinct()
+
+    def named(self, question: str, fields: tuple[str, ...] = ("app", "model", "error_code")) -> dict[str, list[str]]:
+        return named(phrased(self.catalogue(fields)), question)
+
+
+def phrased(catalogue: DataFrame) -> DataFrame:
+    """Rows (field, value, phrase): how a question would write each value."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.append_column("phrase", pa.array([normalise(v) for v in batch.column("value").to_pylist()], pa.string()))
+
+    return catalogue.select("field", "value").mapInArrow(run, "field string, value string, phrase string")
+
+
+def named(values: DataFrame, question: str) -> dict[str, list[str]]:
+    """The values that a question's own words may name, however many there are in all.
+
+    ``values`` has rows (field, value, phrase). Only those whose phrase is in the question
+    come to the driver: a question of at most 400 characters holds a bounded number.
+    """
+    text = F.lit(normalise(question))
+    out: dict[str, list[str]] = {}
+    for r in values.where((F.length("phrase") >= 4) & F.contains(text, F.col("phrase"))).orderBy("field", "value").collect():
+        out.setdefault(r.field, []).append(r.value)
+    return out
 
 
 def orders(spark: SparkSession, folder: str) -> Binding:

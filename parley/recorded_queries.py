@@ -61,7 +61,7 @@ CONDITIONS = {
 def _condition(name: str, question: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         bound = bindings.facts(spark, d)
-        spec = Compiler(bound.catalogue(("app", "model", "error_code")), NOW).compile(question)
+        spec = Compiler(bound.named(question), NOW).compile(question)
         return lower.eligible(spec, bound).select(bound.get("id").alias("id"))
 
     run.__name__ = f"where_{name}"

@@ -110,6 +110,41 @@ def test_linkage_joins_similar_groups(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 6, 7: 6}
 
 
+def test_linkage_equals_merging_one_pair_at_a_time(spark):
+    rng = np.random.default_rng(11)
+    x = np.where(rng.random((430, 24)) < 0.12, rng.random((430, 24)), 0.0)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    rows = [(i, f"t{j}", float(x[i, j])) for i in range(430) for j in range(24) if x[i, j]]
+    start = spark.createDataFrame([(i, i) for i in range(430)], "id long, group long")  # single rows, more than 400 of them
+    got = {}
+    for r in cluster.link(spark.createDataFrame(rows, "id long, token string, weight double"), start, floor=0.3).collect():
+        got.setdefault(r.group, set()).add(r.id)
+    sums, sizes, members = x.copy(), np.ones(430), [{i} for i in range(430)]
+    while len(members) > 2:
+        mean = np.round(sums @ sums.T / np.outer(sizes, sizes), 9)
+        mean[np.tril_indices(len(members))] = -1
+        i, j = divmod(int(mean.argmax()), len(members))
+        if mean[i, j] < 0.3:
+            break
+        sums[i] += sums[j]
+        sizes[i] += sizes[j]
+        members[i] |= members.pop(j)
+        sums, sizes = np.delete(sums, j, 0), np.delete(sizes, j)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, members)) and len(members) < 200
+    alone = spark.createDataFrame([(1, 1), (2, 2)], "id long, group long")
+    none = spark.createDataFrame([], "id long, token string, weight double")
+    assert {r.id: r.group for r in cluster.link(none, alone).collect()} == {1: 1, 2: 2} and cluster.link(none, alone.limit(0)).count() == 0
+
+
+def test_any_value_of_many_can_be_named(spark):
+    from parley.plans.binding import Binding
+
+    rows = spark.range(5000).select(F.col("id"), F.format_string("app-%05d", "id").alias("app"))
+    bound = Binding(rows, {"id": F.col("id"), "app": F.col("app")})
+    assert bound.catalogue().count() == 5000
+    assert bound.named("How many conversations in App-04999?") == {"app": ["app-04999"]} and bound.named("how many conversations?") == {}
+
+
 def test_kmeans_finds_blobs(spark):
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(size=(15, 6)) * 0.1 + c for c in np.eye(6)[:3] * 4])
