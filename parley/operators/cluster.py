@@ -8,6 +8,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +17,8 @@ from parley.functions import text as tx
 from parley.operators import similarity
 from parley.sources.tables import held
 
+#: Groups up to which linkage brings their pairs, at most half its square, to the driver.
+MAX_LOCAL = 4000
 #: Rows up to which all sparse pairs are compared.
 MAX_GRAPH = 4000
 
@@ -53,11 +56,16 @@ def link(postings: DataFrame, assigned: DataFrame, floor: float = 0.15) -> DataF
     parts', so all pairs that are each other's most similar group are merged in one round,
     and the result is that of merging one pair at a time. Products of merged groups add up,
     so tokens are joined once and the pairs shrink from round to round. Two groups are left apart.
+    Rounds over few groups run on the driver, over more on the cluster; the result is the same.
     """
     sizes = held(assigned.groupBy("group").agg(F.count("*").alias("n")), "sizes")
     sums = held(postings.join(assigned, "id").groupBy("group", "token").agg(F.sum("weight").alias("w")), "sums")
     b = sums.select(F.col("group").alias("other"), "token", F.col("w").alias("wb"))
     pairs = held(sums.join(b, "token").where("group < other").groupBy("group", "other").agg(F.sum(F.col("w") * F.col("wb")).alias("dot")), "pairs")
+    if sizes.count() <= MAX_LOCAL:
+        moves, kind = _linked(sizes.orderBy("group").toArrow(), pairs.toArrow(), floor), assigned.schema["group"].dataType.simpleString()
+        table = assigned.sparkSession.createDataFrame(moves, f"group {kind}, to {kind}")
+        return assigned.join(F.broadcast(table), "group").select("id", F.col("to").alias("group"))
     home = held(sizes.select("group", F.col("group").alias("to")), "homes")
     while sizes.count() > 2:
         other = sizes.select(F.col("group").alias("other"), F.col("n").alias("m"))
@@ -79,6 +87,33 @@ def link(postings: DataFrame, assigned: DataFrame, floor: float = 0.15) -> DataF
     return assigned.join(home, "group").select("id", F.col("to").alias("group"))
 
 
+def _linked(sizes: pa.Table, pairs: pa.Table, floor: float) -> list[tuple]:
+    """(group, group it ends in) of the rounds that ``link`` describes, over a dense matrix of products."""
+    names, n = sizes["group"].combine_chunks(), sizes["n"].to_numpy().astype(float)
+    left, right = (pc.index_in(pairs[c], value_set=names).to_numpy() for c in ("group", "other"))
+    dot = np.zeros((len(n), len(n)))
+    dot[left, right] = dot[right, left] = pairs["dot"].to_numpy()
+    home, own = np.arange(len(n)), np.arange(len(n))  # own: the group that each row of the matrix stands for
+    while len(n) > 2:
+        mean = np.round(dot / n / n[:, None], 9)
+        np.fill_diagonal(mean, -1)
+        best, at = mean.argmax(1), np.arange(len(n))  # the first of equals, so ties follow one order of all pairs
+        keep = np.flatnonzero((best[best] == at) & (at < best) & (mean[at, best] >= floor))
+        if not len(keep):
+            break
+        gone = best[keep]
+        dot[keep] += dot[gone]
+        dot[:, keep] += dot[:, gone]
+        n[keep] += n[gone]
+        to = np.arange(len(home))
+        to[own[gone]] = own[keep]
+        home = to[home]
+        stay = np.setdiff1d(at, gone)
+        dot, n, own = dot[np.ix_(stay, stay)], n[stay], own[stay]
+    labels = names.to_pylist()
+    return [(g, labels[h]) for g, h in zip(labels, home.tolist())]
+
+
 def graph_clusters(postings: DataFrame, ids: DataFrame, vocab: DataFrame | None = None, k: int = 5, link_at: float = 0.45, floor: float = 0.15, max_rows: int = MAX_GRAPH) -> DataFrame:
     """Rows (id, cluster) of emergent groups: mutual neighbours, their components, then linkage.
 

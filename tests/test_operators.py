@@ -110,16 +110,18 @@ def test_linkage_joins_similar_groups(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 6, 7: 6}
 
 
-def test_linkage_equals_merging_one_pair_at_a_time(spark):
+@pytest.mark.parametrize(("size", "local"), [(430, True), (40, False)])
+def test_linkage_equals_merging_one_pair_at_a_time(spark, monkeypatch, size, local):
+    monkeypatch.setattr(cluster, "MAX_LOCAL", size if local else 0)
     rng = np.random.default_rng(11)
-    x = np.where(rng.random((430, 24)) < 0.12, rng.random((430, 24)), 0.0)
+    x = np.where(rng.random((size, 24)) < 0.12, rng.random((size, 24)), 0.0)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    rows = [(i, f"t{j}", float(x[i, j])) for i in range(430) for j in range(24) if x[i, j]]
-    start = spark.createDataFrame([(i, i) for i in range(430)], "id long, group long")  # single rows, more than 400 of them
+    rows = [(i, f"t{j}", float(x[i, j])) for i in range(size) for j in range(24) if x[i, j]]
+    start = spark.createDataFrame([(i, i) for i in range(size)], "id long, group long")  # single rows
     got = {}
     for r in cluster.link(spark.createDataFrame(rows, "id long, token string, weight double"), start, floor=0.3).collect():
         got.setdefault(r.group, set()).add(r.id)
-    sums, sizes, members = x.copy(), np.ones(430), [{i} for i in range(430)]
+    sums, sizes, members = x.copy(), np.ones(size), [{i} for i in range(size)]
     while len(members) > 2:
         mean = np.round(sums @ sums.T / np.outer(sizes, sizes), 9)
         mean[np.tril_indices(len(members))] = -1
@@ -130,7 +132,7 @@ def test_linkage_equals_merging_one_pair_at_a_time(spark):
         sizes[i] += sizes[j]
         members[i] |= members.pop(j)
         sums, sizes = np.delete(sums, j, 0), np.delete(sizes, j)
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, members)) and len(members) < 200
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, members)) and len(members) < size / 2
     alone = spark.createDataFrame([(1, 1), (2, 2)], "id long, group long")
     none = spark.createDataFrame([], "id long, token string, weight double")
     assert {r.id: r.group for r in cluster.link(none, alone).collect()} == {1: 1, 2: 2} and cluster.link(none, alone.limit(0)).count() == 0
