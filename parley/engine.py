@@ -6,13 +6,15 @@ assembles the answer, and the listing functions serve what a reader drills into.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import scalar
 from parley.functions import text as tx
 from parley.operators import aggregate, cluster, joins, similarity, spans
-from parley.operators.aspects import Aspects
+from parley.operators.aspects import Aspects, Judge
 from parley.plans import answer as answers
 from parley.plans import binding as bindings
 from parley.plans import lower, registry
@@ -33,12 +35,14 @@ STATUSES = ("awaiting_confirmation", "queued", "evaluating", "aggregating", "syn
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, binding: Binding, store: Store | None = None, now: str = "2024-01-31 00:00:00"):
+    def __init__(self, spark: SparkSession, binding: Binding, store: Store | None = None, now: str = "2024-01-31 00:00:00", judge: Judge | None = None, budget: float | None = None):
+        """``judge`` judges rows in place of the local one, as long as it has cost less than ``budget``."""
         self.spark, self.binding, self.store = spark, binding, store
         self.aspects = Aspects(store) if store else None
-        self.now = now
+        self.now, self.judge, self.budget = now, judge, budget
         self._values: DataFrame | None = None
         self._text: tuple[DataFrame, ...] | None = None
+        self._alias: dict[str, str] = {}
 
     # -- questions ------------------------------------------------------------
 
@@ -84,6 +88,9 @@ class Engine:
         if self._text is None:
             docs = held(spread(self.docs()), "docs")
             counts = held(tx.term_counts(docs, "id", "text", stems=True), "counts")
+            self._alias = tx.alias_table(counts)
+            if self._alias:
+                counts = held(tx.term_counts(docs, "id", "text", stems=True, alias=self._alias), "counts")
             vocab = held(tx.vocabulary(tx.counted_frequencies(counts), F.lit(docs.count())), "vocabulary")
             self._text = docs, vocab, held(tx.weights(counts, vocab, vocab.count()), "postings")
         return self._text
@@ -93,7 +100,7 @@ class Engine:
         ids = lower.eligible(spec, self.binding).select(self.binding.get("id").alias("id"))
         if spec.focus:
             n = ids.count()
-            focus = [tx.plain_stem(w) for w in spec.focus]
+            focus = tx.folded(spec.focus, True, self._alias, {})
             idf = {r.token: r.idf for r in vocab.where(F.col("token").isin(focus)).collect()}  # a question's words
             hits = similarity.search(postings, vocab, dict.fromkeys(cluster.topical(focus, idf), 1.0), floor=0.0)
             narrowed = similarity.focus(held(ids.join(hits, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score")), "focus"), n)
@@ -106,10 +113,17 @@ class Engine:
         labels = {str(r.cluster): (r.label, r.terms) for r in named.where(F.col("cluster") < spec.limit).collect()}
         return self._assemble(spec, groups, rows, "count", dropped, labels)
 
+    def evaluate(self, spec: QuerySpec) -> str:
+        """Judges what has no value yet; the id of the question asked of each row."""
+        if not (self.binding.text and self.aspects):
+            return ""
+        aspect = self.aspects.ensure(spec.aspect_question)
+        self.aspects.evaluate(aspect, self.docs(), self.judge, self.binding.said, self.budget)
+        return aspect
+
     def _judged(self, spec: QuerySpec, dropped: list[str]) -> answers.Answer:
         kept = lower.eligible(spec, self.binding)
-        aspect = self.aspects.ensure(spec.aspect_question)
-        self.aspects.evaluate(aspect, self.docs(), scoped=self.binding.said)
+        aspect = self.evaluate(spec)
         rows = self.aspects.of(aspect).select("id", scalar.aspect_key(F.col("value_json")).alias("group_key"), F.col("confidence").alias("value"))
         return self._assemble(spec, self.aspects.groups(aspect, kept.select(self.binding.get("id").alias("id"))), rows, "count", dropped)
 
@@ -125,7 +139,15 @@ class Engine:
         said = []
         if self.binding.text and got:
             said = [r.asDict() for r in answers.quotes(rows.withColumn("id", F.col("id").cast("string")), self.docs().withColumn("id", F.col("id").cast("string"))).collect()]
-        return answers.Answer(spec, denominator, max(0, every - denominator), got, self._standouts(spec), said, answers.headline(spec, got, denominator), answers.interpretation(spec, got), answers.suggestions(spec, got), dropped, work)
+        found = self.profiles(spec)
+        standouts, went = [], ""
+        if found is not None and got:
+            found = held(found, "profiles")
+            standouts = [r.asDict() for r in aggregate.standouts(found).collect()]
+            lead = found.where(F.col("group_key") == got[0]["group_key"]).first()
+            went = answers.outcome(lead.asDict() | {"count": lead.n}, lambda key: key.replace("_", " ")) if lead else ""
+        told = " ".join(x for x in (answers.interpretation(spec, got), went) if x)
+        return answers.Answer(spec, denominator, max(0, every - denominator), got, standouts, said, answers.headline(spec, got, denominator), told, answers.suggestions(spec, got), dropped, work)
 
     def profiles(self, spec: QuerySpec) -> DataFrame | None:
         """Profiles of the groups of a grouped recorded-column answer."""
@@ -139,10 +161,6 @@ class Engine:
         mode = aggregate.top_per_group(base.where("failure_mode <> 'none'"), "group_key", "failure_mode", 1).select("group_key", F.col("failure_mode").alias("top_failure"), F.col("n").alias("top_failure_n"))
         return sized.join(mode, "group_key", "left").withColumn("top_failure_n", F.coalesce("top_failure_n", F.lit(0)))
 
-    def _standouts(self, spec: QuerySpec) -> list[dict]:
-        found = self.profiles(spec)
-        return [r.asDict() for r in aggregate.standouts(found).collect()] if found is not None else []
-
     # -- conversations --------------------------------------------------------
 
     def list_traces(self, text: str = "", equal: dict[str, str] | None = None, ids: DataFrame | None = None, page: int = 0, size: int = 25) -> DataFrame:
@@ -161,7 +179,7 @@ class Engine:
     def search(self, question: str, page: int = 0, size: int = 25) -> DataFrame:
         """Rows (id, score) of one page of a semantic ranking."""
         _, vocab, postings = self.semantic()
-        words = tx_words(question)
+        words = tx_words(question, self._alias)
         hits = similarity.search(postings, vocab, {w: float(words.count(w)) for w in words}).limit((page + 1) * size)
         return hits.offset(page * size)
 
@@ -199,6 +217,15 @@ class Engine:
         own = self.binding.span_table.where(F.col(trace) == F.lit(id_))
         return spans.explain(spans.repeats(own, trace, kind, content), trace, [order], kind, cost).orderBy(order)
 
+    def status(self) -> dict:
+        """What the engine works on and what is stored: rows, runs by status, judged questions, spent cost."""
+        runs = self.store.table("runs").groupBy("status").count() if self.store and self.store.exists("runs") else None
+        return {
+            "rows": self.binding.traces.count(), "text": self.binding.text is not None, "bridge": self.binding.bridge is not None, "judge": "remote" if self.judge else "local", "budget": self.budget,
+            "runs": {r.status: r["count"] for r in runs.collect()} if runs else {}, "aspects": self.aspects.catalogue().count() if self.aspects else 0,
+            "values": self.aspects.values().count() if self.aspects else 0, "spent": self.aspects.spent() if self.aspects else 0.0,
+        }
+
     def lookup_error(self, code: str) -> dict:
         title, text = ERRORS.get(code, ("Unknown code", "No explanation is on file for this code."))
         return {"code": code, "title": title, "explanation": text}
@@ -228,7 +255,5 @@ class Engine:
         return joins.pending(self.docs().withColumn("id", F.col("id").cast("string")), self.aspects.of(aspect_id), "id")
 
 
-def tx_words(question: str) -> list[str]:
-    import re
-
-    return [tx.plain_stem(w) for w in re.findall(tx.TOKEN, question.casefold()) if w not in tx.STOP_WORDS]
+def tx_words(question: str, alias: dict[str, str]) -> list[str]:
+    return tx.folded([w for w in re.findall(tx.TOKEN, question.casefold()) if w not in tx.STOP_WORDS], True, alias, {})

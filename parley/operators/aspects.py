@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from parley.functions import scalar
 from parley.operators import aggregate, joins, judge
-from parley.sources.tables import Store
+from parley.sources import remote
+from parley.sources.tables import Store, held
 
 ASPECT = "id string, question string, type string, labels array<string>, version int"
-VALUE = "id string, aspect_id string, value_json string, confidence double, score double, evidence_quote string, status string"
-#: docs (id, text), question -> rows (id, score, value, confidence, quote)
+VALUE = "id string, aspect_id string, value_json string, confidence double, score double, evidence_quote string, status string, cost double"
+#: docs (id, text), question -> rows (id, score, value, confidence, quote), with cost and status where the judge gives them
 Judge = Callable[[DataFrame, str], DataFrame]
 
 
@@ -43,23 +44,43 @@ class Aspects:
         self.store.append("aspects", self.spark.createDataFrame([row], ASPECT))
         return row[0]
 
-    def evaluate(self, aspect_id: str, docs: DataFrame, by: Judge | None = None, scoped: Callable[[str], DataFrame | None] | None = None) -> DataFrame:
+    def evaluate(self, aspect_id: str, docs: DataFrame, by: Judge | None = None, scoped: Callable[[str], DataFrame | None] | None = None, budget: float | None = None) -> DataFrame:
         """Judges ``docs`` as soon as one of them has no value yet; a repeated call finds nothing to do.
 
         The local judge cuts the scores of a whole corpus, so it judges all of ``docs`` anew,
         and values never come from two cuts. A judge of single rows (``by``) gets only the
-        rows that have no value.
+        rows that have no value. If it stops, what it has judged is stored before
+        ``BudgetExceeded`` or ``ProviderUnavailable`` is raised; ``budget`` bounds what all
+        judgments may have cost when a call begins.
         """
         question = self.catalogue().where(F.col("id") == aspect_id).first().question
         text = docs.select(F.col("id").cast("string").alias("id"), "text")
         left = joins.pending(text, self.of(aspect_id), "id")
         if not left.isEmpty():
-            judged = by(left, question) if by else local_judge(text, question, scoped)
-            new = judged.select("id", F.lit(aspect_id).alias("aspect_id"), F.to_json(F.struct("value")).alias("j"), "confidence", "score", F.col("quote").alias("evidence_quote"), F.lit("complete").alias("status"))
+            if by and budget is not None and self.spent() >= budget:
+                raise remote.BudgetExceeded(f"the budget of {budget} is spent")
+            judged = held(by(left, question), "judged") if by else local_judge(text, question, scoped)
+            stopped = []
+            if "status" in judged.columns:
+                stopped = [r.status for r in judged.where(F.col("status") != remote.COMPLETE).select("status").distinct().collect()]  # two reasons at most
+                judged = judged.where(F.col("status") == remote.COMPLETE).drop("status")
+            judged = judged if "cost" in judged.columns else judged.withColumn("cost", F.lit(0.0))
+            new = judged.select("id", F.lit(aspect_id).alias("aspect_id"), F.to_json(F.struct("value")).alias("j"), "confidence", "score", F.col("quote").alias("evidence_quote"), F.lit("complete").alias("status"), "cost")
             new = new.withColumn("value_json", F.get_json_object("j", "$.value")).drop("j")
-            self.store.upsert("aspect_values", new.select("id", "aspect_id", "value_json", "confidence", "score", "evidence_quote", "status"), ["id", "aspect_id"])
+            if self.store.exists("aspect_values"):
+                self.store.migrate("aspect_values", {"cost": 0.0})  # values of stores written before costs were kept
+            self.store.upsert("aspect_values", new.select("id", "aspect_id", "value_json", "confidence", "score", "evidence_quote", "status", "cost"), ["id", "aspect_id"])
+            if remote.BUDGET in stopped:
+                raise remote.BudgetExceeded("the judge may spend no more")
+            if stopped:
+                raise remote.ProviderUnavailable("the judge's provider failed")
         return self.of(aspect_id)
 
+    def spent(self) -> float:
+        """What all stored judgments have cost."""
+        values = self.values()
+        return 0.0 if "cost" not in values.columns else float(values.agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0])
+
     def of(self, aspect_id: str) -> DataFrame:
         return self.values().where(F.col("aspect_id") == aspect_id)
 

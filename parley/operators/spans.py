@@ -97,6 +97,19 @@ def tool_bridge(spans: DataFrame) -> DataFrame:
     return spans.where((F.col("type") == "tool_call") & F.col("name").isNotNull()).groupBy("trace_id", F.col("name").alias("tool")).agg(F.count("*").alias("calls"))
 
 
+def autopsy(traces: DataFrame, bridge: DataFrame, trace: str = "trace_id") -> DataFrame:
+    """Rows (trace, autopsy): a conversation's opening, tools, size, cost, time and end in a few sentences.
+
+    ``traces`` has the columns of ``derived_columns``; ``bridge`` has rows (trace, tool, calls).
+    """
+    called = bridge.groupBy(trace).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tool", "calls"))), lambda t: F.concat(t["tool"], F.lit(" x"), t["calls"].cast("string"))), ", ").alias("_tools"))
+    tools = F.when(F.col("_tools").isNull(), F.lit("It called no tool.")).otherwise(F.concat(F.lit("It called "), F.col("_tools"), F.lit(".")))
+    tokens = F.format_number((F.coalesce("tokens_input", F.lit(0)) + F.coalesce("tokens_output", F.lit(0))).cast("long"), 0)
+    size = F.concat(F.lit("It took "), tokens, F.lit(" tokens, $"), F.format_string("%.4f", F.coalesce(F.col("cost_usd").cast("double"), F.lit(0.0))), F.lit(" and "), F.format_string("%.1f", F.coalesce("duration_ms", F.lit(0)) / 1000), F.lit(" seconds, and ended with the "), F.coalesce("ended_by", F.lit("unknown")), F.lit("."))
+    opening = F.concat(F.lit("It opened with: “"), F.coalesce("user_request", F.lit("")), F.lit("”"))
+    return traces.join(called, trace, "left").select(trace, F.concat_ws(" ", opening, tools, size).alias("autopsy"))
+
+
 def explain(spans: DataFrame, trace: str, order: list[str], kind: str, cost: str) -> DataFrame:
     """A sentence about each span: its place, its neighbours and its share of the cost."""
     out = cost_share(neighbours(spans, trace, order, kind), trace, cost)

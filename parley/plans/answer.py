@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -70,6 +71,26 @@ def interpretation(spec: QuerySpec, groups: list[dict]) -> str:
     return f"{a['label']} is ahead of {b['label']}, but not by much."
 
 
+def outcome(profile: dict, label: Callable[[str], str] = str) -> str:
+    """How the conversations of a group went, or nothing where no share stands out.
+
+    ``profile`` has the group's ``count``, ``resolved``, ``gave_up``, ``top_failure`` and ``top_failure_n``.
+    """
+    n = profile.get("count") or 0
+    said = []
+    if n and "resolved" in profile:
+        share = profile["resolved"] / n
+        if share == 0:
+            said.append("no one got what they asked for")
+        elif share < 0.25 or share > 0.8:
+            said.append(f"{'only ' if share < 0.25 else ''}{profile['resolved']:,} of {n:,} were resolved")
+    if n and profile.get("top_failure") and profile.get("top_failure_n", 0) >= max(2, n // 5):
+        said.append(f"{profile['top_failure_n']:,} met with {label(profile['top_failure'])}")
+    if n and profile.get("gave_up", 0) >= 0.3 * n:
+        said.append(f"{profile['gave_up']:,} gave up")
+    return f"Of these, {' and '.join(said)}." if said else ""
+
+
 def labelled(groups: DataFrame, unit: str) -> DataFrame:
     largest = groups.agg(F.max(F.abs("value"))).scalar()
     label = F.when(F.col("group_key") == aggregate.OTHER, F.lit("Everything else")).otherwise(scalar.humanise(F.col("group_key")))

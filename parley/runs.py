@@ -8,7 +8,9 @@ out of budget is resumed and judges only what is left.
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from parley.engine import Engine
 from parley.plans.answer import Answer
 from parley.plans.compiler import QuerySpec
+from parley.sources.remote import BudgetExceeded, ProviderUnavailable
 
 RUN = "id string, question string, spec string, status string, rows long, seconds double, note string, created_at string, updated_at string"
 GROUP = "struct<group_key:string,label:string,count:long,total:double,value:double,share:double,value_label:string,terms:array<string>>"
@@ -31,15 +34,14 @@ NEXT = {
 }
 
 
-class BudgetExceeded(RuntimeError):
-    """A judge raises this when it may spend no more; what it has judged is kept."""
-
-
 class Runs:
-    def __init__(self, engine: Engine):
+    """``listener`` is told of each change of a run: its row, with the number of rows judged so far."""
+
+    def __init__(self, engine: Engine, listener: Callable[[dict], None] | None = None):
         if engine.store is None:
             raise ValueError("runs need a store")
         self.engine, self.store, self.spark = engine, engine.store, engine.spark
+        self.listener = listener
         self._specs: dict[str, tuple[QuerySpec, list[str]]] = {}
 
     def create(self, question: str, parent: QuerySpec | None = None) -> str:
@@ -62,7 +64,32 @@ class Runs:
         now = self.get(id_)["status"]
         if status not in NEXT[now]:
             raise ValueError(f"a run that is {now} cannot become {status}")
+        self._set(id_, status, note)
+
+    def _set(self, id_: str, status: str, note: str = "") -> None:
         self.store.update("runs", "id", id_, status=status, note=note, updated_at=datetime.now(UTC).isoformat())
+        if self.listener:
+            self.listener(self.progress(id_))
+
+    def progress(self, id_: str) -> dict:
+        """A run's row and the number of its rows that are judged."""
+        row = self.get(id_)
+        question = json.loads(row["spec"]).get("aspect_question")
+        asked = self._specs[id_][0].aspect_question if id_ in self._specs else question
+        known = self.engine.aspects.catalogue().where(F.col("question") == asked).first() if asked else None
+        return row | {"done": self.engine.aspects.of(known.id).count() if known else 0}
+
+    def events(self, id_: str, every: float = 0.2) -> Iterator[dict]:
+        """The run's progress whenever it has changed, until it is over or waits for someone."""
+        last = None
+        while True:
+            now = self.progress(id_)
+            if now != last:
+                yield now
+            if now["status"] in ("complete", "failed", "paused_budget", "paused_provider", "awaiting_confirmation"):
+                return
+            last = now
+            time.sleep(every)
 
     def confirm(self, id_: str, question: str | None = None) -> None:
         """Lets a waiting run start, perhaps with its row question reworded."""
@@ -76,11 +103,12 @@ class Runs:
         return self.execute(id_)
 
     def execute(self, id_: str) -> Answer:
-        """Runs a queued run to its stored answer; errors leave it failed, a spent budget paused."""
+        """Runs a queued run to its stored answer; errors leave it failed, a spent budget or a provider that is down paused."""
         spec, dropped = self._specs[id_] if id_ in self._specs else self.engine.plan(self.get(id_)["question"])
         try:
             if spec.path == "layer3_aspect":
                 self._move(id_, "evaluating")
+                self.engine.evaluate(spec)
             self._move(id_, "aggregating")
             answer = self.engine.run(spec, dropped)
             self._move(id_, "synthesizing")
@@ -88,10 +116,13 @@ class Runs:
             self._move(id_, "complete")
             return answer
         except BudgetExceeded as e:
-            self.store.update("runs", "id", id_, status="paused_budget", note=str(e)[:200])
+            self._set(id_, "paused_budget", str(e)[:200])
+            raise
+        except ProviderUnavailable as e:
+            self._set(id_, "paused_provider", str(e)[:200])
             raise
         except Exception as e:
-            self.store.update("runs", "id", id_, status="failed", note=str(e)[:200])
+            self._set(id_, "failed", str(e)[:200])
             raise
 
     def save(self, run_id: str, a: Answer) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Nothing here opens a connection. A caller passes a picklable function; rows reach it
 in Arrow batches, with bounded request sizes, retries and checks of what comes back.
-Concurrency is the number of tasks.
+Concurrency is the number of tasks. A judge that may spend no more, or whose provider
+is down, ends its task's work without an error: rows it has judged are results, the
+others come back marked with the reason, so that a run keeps the former and is resumed.
 """
 
 from __future__ import annotations
@@ -20,8 +22,37 @@ WAITS = (1.0, 3.0, 8.0)
 REQUEST = 64
 
 Encoder = Callable[[list[str]], "list[list[float]]"]
-#: texts, question -> (value, confidence, quote) each, or None for a text that is blocked
-Model = Callable[[list[str], str], "list[tuple[bool, float, str] | None]"]
+#: texts, question -> (value, confidence, quote) each, with what it cost if that is known, or None for a text that is blocked
+Model = Callable[[list[str], str], "list[tuple | None]"]
+COMPLETE, BUDGET, PROVIDER = "complete", "paused_budget", "paused_provider"
+
+
+class BudgetExceeded(RuntimeError):
+    """A model raises this when it may spend no more; what it has judged is kept."""
+
+
+class ProviderUnavailable(RuntimeError):
+    """A model's requests failed to the last retry; what it has judged before is kept."""
+
+
+def ladder(*models: Model) -> Model:
+    """A model that asks the first of ``models``, and the next where one fails; a spent budget ends the ladder."""
+
+    def asked(texts: list[str], question: str) -> list:
+        for i, model in enumerate(models):
+            try:
+                got = list(model(texts, question))
+                if len(got) != len(texts):
+                    raise ValueError(f"{len(got)} results for {len(texts)} texts")
+                return got
+            except BudgetExceeded:
+                raise
+            except Exception:
+                if i == len(models) - 1:
+                    raise
+        return []
+
+    return asked
 
 
 def attempt(call: Callable[[], list], n: int, waits: tuple[float, ...] = WAITS) -> list:
@@ -32,6 +63,8 @@ def attempt(call: Callable[[], list], n: int, waits: tuple[float, ...] = WAITS)
             if len(got) != n:
                 raise ValueError(f"{len(got)} results for {n} texts")
             return got
+        except BudgetExceeded:
+            raise
         except Exception:
             if wait is None:
                 raise
@@ -55,21 +88,34 @@ def encode(docs: DataFrame, encoder: Encoder, waits: tuple[float, ...] = WAITS)
 
 
 def judge_by(model: Model, waits: tuple[float, ...] = WAITS) -> Callable[[DataFrame, str], DataFrame]:
-    """A judge for stored aspects. A quote that is not in its text is dropped; blocked rows give no value."""
+    """A judge for stored aspects: rows (id, score, value, confidence, quote, cost, status).
+
+    A quote that is not in its text is dropped; blocked rows give no row. After a stop the
+    task's other rows have no value, and the stop as their status.
+    """
 
     def judge(docs: DataFrame, question: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            stopped = None
             for batch in batches:
                 for at in range(0, batch.num_rows, REQUEST):
                     part = batch.slice(at, REQUEST)
                     texts = [t or "" for t in part.column(1).to_pylist()]
-                    got = attempt(lambda texts=texts: model(texts, question), len(texts), waits)
-                    keep = [i for i, g in enumerate(got) if g is not None]
-                    ids = part.column(0).take(pa.array(keep, pa.int64()))
-                    rows = [got[i] for i in keep]
-                    quotes = [q if q and q in texts[i] else "" for i, (_, _, q) in zip(keep, rows)]
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([float(c) for _, c, _ in rows], pa.float64()), pa.array([bool(v) for v, _, _ in rows]), pa.array([float(c) for _, c, _ in rows], pa.float64()), pa.array(quotes, pa.string())], names=["id", "score", "value", "confidence", "quote"])
-
-        return docs.select(F.col("id"), "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, score double, value boolean, confidence double, quote string")
+                    got: list = []
+                    if stopped is None:
+                        try:
+                            got = attempt(lambda texts=texts: model(texts, question), len(texts), waits)
+                        except BudgetExceeded:
+                            stopped = BUDGET
+                        except Exception:
+                            stopped = PROVIDER
+                    keep = [i for i in range(len(texts)) if stopped or got[i] is not None]
+                    rows = [(None, None, "", 0.0) if stopped else (*got[i], 0.0)[:4] for i in keep]
+                    quotes = [q if q and q in texts[i] else "" for i, (_, _, q, _) in zip(keep, rows)]
+                    ids, conf = part.column(0).take(pa.array(keep, pa.int64())), pa.array([None if c is None else float(c) for _, c, _, _ in rows], pa.float64())
+                    value, cost = pa.array([None if v is None else bool(v) for v, _, _, _ in rows], pa.bool_()), pa.array([float(c) for *_, c in rows], pa.float64())
+                    yield pa.RecordBatch.from_arrays([ids, conf, value, conf, pa.array(quotes, pa.string()), cost, pa.array([stopped or COMPLETE] * len(rows), pa.string())], names=["id", "score", "value", "confidence", "quote", "cost", "status"])
+
+        return docs.select(F.col("id"), "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, score double, value boolean, confidence double, quote string, cost double, status string")
 
     return judge

@@ -275,3 +275,33 @@ def test_every_token_takes_part_in_the_projection(spark):
     assert len(got) == 41 and np.linalg.norm(got[99]) > 0
     cosine = lambda a, b: got[a] @ got[b] / np.linalg.norm(got[a]) / np.linalg.norm(got[b])
     assert cosine(0, 2) > 0.99 and abs(cosine(0, 1)) < 0.7
+
+
+def test_outcomes_are_told_where_they_stand_out():
+    assert answer.outcome({"count": 10, "resolved": 0, "gave_up": 4, "top_failure": "timeout", "top_failure_n": 3}) == "Of these, no one got what they asked for and 3 met with timeout and 4 gave up."
+    assert answer.outcome({"count": 10, "resolved": 2, "gave_up": 0}) == "Of these, only 2 of 10 were resolved."
+    assert answer.outcome({"count": 10, "resolved": 5, "gave_up": 1}) == "" and answer.outcome({}) == ""
+
+
+def test_autopsies(spark):
+    from parley.operators import spans
+
+    kind = "trace_id string, user_request string, tokens_input long, tokens_output long, cost_usd double, duration_ms long, ended_by string"
+    rows = spark.createDataFrame([("a", "Where is it?", 1000, 234, 0.01234, 2500, "user"), ("b", None, None, None, None, None, None)], kind)
+    bridge = spark.createDataFrame([("a", "search", 2), ("a", "mail", 1)], "trace_id string, tool string, calls long")
+    got = {r.trace_id: r.autopsy for r in spans.autopsy(rows, bridge).collect()}
+    assert got["a"] == "It opened with: “Where is it?” It called mail x1, search x2. It took 1,234 tokens, $0.0123 and 2.5 seconds, and ended with the user."
+    assert got["b"].endswith("It called no tool. It took 0 tokens, $0.0000 and 0.0 seconds, and ended with the unknown.")
+    traces = generator.traces(spark, 30)
+    all_spans = generator.spans(traces)
+    assert spans.autopsy(spans.derived_columns(all_spans), spans.tool_bridge(all_spans)).where("autopsy is not null").count() == 30
+
+
+def test_words_of_one_stem_meet_in_the_index(spark):
+    from parley.engine import Engine
+    from parley.plans.binding import Binding
+
+    said = ["my shipment failed", "ship it now", "the ship was late", "cancellation please", "cancel the order", "hello there friend"]
+    rows = spark.createDataFrame(list(enumerate(said)), "id long, text string")
+    engine = Engine(spark, Binding(rows, {"id": F.col("id")}, text="text"))
+    assert {r.id for r in engine.search("shipment").collect()} == {0, 1, 2} == {r.id for r in engine.search("ship").collect()}

@@ -66,3 +66,48 @@ def test_terms():
     assert cluster.subject(["the order", "zebra order"], {"order": 1.0, "zebra": 5.0}) == "zebra order"
     assert cluster.subject(["order"], {"order": 1.0}) is None
     assert cluster.topical(["a", "b", "zz"], {"a": 1.0, "b": 2.0}) == ["b", "a", "zz"]
+
+
+def test_a_stopped_judge_keeps_its_judgments_and_is_resumed(spark, tmp_path):
+    from parley.engine import Engine
+
+    traces = generator.traces(spark, 60)
+    bound = generated(traces, generator.spans(traces))
+    store, seen = Store(spark, str(tmp_path / "s")), []
+
+    def engine(model, budget=None):
+        return Engine(spark, bound, store, "2023-12-31 00:00:00", remote.judge_by(model, waits=()), budget)
+
+    def poor(texts, question):
+        if any("flight" in t for t in texts):
+            raise remote.BudgetExceeded("no more")
+        return [(True, 0.9, "", 0.5) for _ in texts]
+
+    def down(texts, question):
+        raise ConnectionError("down")
+
+    remote_request, remote.REQUEST = remote.REQUEST, 1
+    try:
+        first = Runs(engine(poor), seen.append)
+        id_ = first.create("How many people asked about a charged invoice?")
+        first.confirm(id_)
+        with pytest.raises(remote.BudgetExceeded):
+            first.execute(id_)
+        kept = first.engine.aspects.values().count()
+        assert first.get(id_)["status"] == "paused_budget" and seen[-1]["done"] == kept < 60
+        assert first.engine.aspects.spent() == kept * 0.5
+        assert [e["status"] for e in first.events(id_)] == ["paused_budget"]
+        second = Runs(engine(down))
+        with pytest.raises(remote.ProviderUnavailable):
+            second.resume(id_)
+        assert second.get(id_)["status"] == "paused_provider"
+        third = Runs(engine(remote.ladder(down, lambda texts, q: [(False, 0.8, "", 0.25) for _ in texts])))
+        assert third.resume(id_).denominator == 60 and third.progress(id_)["done"] == 60
+        assert third.engine.aspects.spent() == kept * 0.5 + (60 - kept) * 0.25
+        status = third.engine.status()
+        assert status["runs"] == {"complete": 1} and status["values"] == 60 and status["judge"] == "remote"
+        fourth = engine(poor, budget=1.0)
+        with pytest.raises(remote.BudgetExceeded):
+            fourth.aspects.evaluate(fourth.aspects.ensure("another?"), fourth.docs(), fourth.judge, budget=fourth.budget)
+    finally:
+        remote.REQUEST = remote_request
