@@ -37,6 +37,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def upsert_columns(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Old rows with ``columns`` taken from the new row of the same key, and new rows of other keys whole.
+
+    ``new`` has each key once; a null in it is a value like any other.
+    """
+    side = new.select(*keys, F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_new"))
+    met = old.join(side, keys, "left")
+    kept = met.select(*[(F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(f"`{c}`")) if c in columns else F.col(f"`{c}`")).alias(c) for c in old.columns])
+    return kept.unionByName(new.join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+
+
 def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows, and new ones whose key is not there yet."""
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True)

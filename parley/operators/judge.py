@@ -25,6 +25,10 @@ NEGATION = re.compile(r"\b(?:not|never|no|without|nothing|cannot)\b")
 PARTIES = (("user", re.compile(r"\b(?:user|customer|person|caller)s?\b")), ("assistant", re.compile(r"\b(?:agent|assistant|bot|model)s?\b")))
 
 
+#: Counted rows of ids or terms up to which they are broadcast.
+BROADCAST_IDS = 100_000
+
+
 @dataclass
 class Analysis:
     question: str
@@ -76,27 +80,25 @@ def mix(scoped: DataFrame, whole: DataFrame, context: float = 0.6) -> DataFrame:
     return scoped.join(other, "id", "left").select("id", F.round((1 - context) * F.col("score") + context * F.coalesce("w", F.lit(0.0)), 6).alias("score"))
 
 
-def expand(scores: DataFrame, postings: DataFrame, weights: dict[str, float], terms: int = 12, budget: float = 0.35) -> dict[str, float]:
-    """Relevance feedback: terms that a quorum of the best rows share, within a share of the question's mass."""
-    n = scores.count()
-    if n < 20:
+def expand(scores: DataFrame, rows: DataFrame, weights: dict[str, float], terms: int = 12, budget: float = 0.35) -> dict[str, float]:
+    """Relevance feedback: terms that a quorum of the best rows share, within a share of the question's mass. ``rows`` are ``weighted_rows``."""
+    n, best, positive = scores.agg(F.count("*"), F.max("score"), F.count_if(F.col("score") > 0)).first()
+    if n < 20 or not positive:
         return weights
-    best = scores.agg(F.max("score")).first()[0] or 0.0
     # the best fiftieth, six rows at least, and all that tie with its last: one rule at every size
-    share = max(6, n // 50)
     some = scores.where("score > 0")
-    least = some.agg(F.percentile("score", F.lit(max(0.0, 1 - share / max(some.count(), 1))))).first()[0]
-    top = some.where(F.col("score") >= (least or 0.0))
-    kept = held(top.where(F.col("score") >= 0.4 * best).select("id"), "relevant")
+    least = some.agg(F.percentile("score", F.lit(max(0.0, 1 - max(6, n // 50) / positive)))).first()[0]
+    kept = held(some.where(F.col("score") >= max(least, 0.4 * best)).select("id"), "relevant")
     size = kept.count()
     if size < 3:
         return weights
     quorum = max(2, size // 3)
-    shared = postings.join(kept, "id", "left_semi").where(~F.col("token").isin(list(weights))).groupBy("token").agg(F.countDistinct("id").alias("docs"), F.round(F.avg("weight"), 9).alias("w")).where(F.col("docs") >= quorum)
-    rows = shared.orderBy(F.desc("w"), "token").limit(terms).collect()
-    mass = sum(r.w for r in rows) or 1.0
+    known = F.broadcast(kept) if size <= BROADCAST_IDS else kept
+    shared = tx.postings_of(rows.join(known, "id", "left_semi")).where(~F.col("token").isin(list(weights))).groupBy("token").agg(F.countDistinct("id").alias("docs"), F.round(F.avg("weight"), 9).alias("w")).where(F.col("docs") >= quorum)
+    found = shared.orderBy(F.desc("w"), "token").limit(terms).collect()
+    mass = sum(r.w for r in found) or 1.0
     scale = budget * sum(weights.values()) / mass
-    return weights | {r.token: r.w * scale for r in rows}
+    return weights | {r.token: r.w * scale for r in found}
 
 
 def cut(scores: DataFrame) -> tuple[float, float]:
@@ -121,21 +123,28 @@ def verdicts(scores: DataFrame, at: float, spread: float, negated: bool = False)
 _PART = re.compile(r"[^.?!\n]*[.?!]+|[^.?!\n]+")
 
 
-def plain_evidence(text: str, weights: dict[str, float], asked: re.Pattern | None, known: dict[str, str]) -> str:
-    """The sentence of over 12 characters that overlaps most with the question, the first of equals, else the first 200 characters."""
+def plain_evidence(text: str, weights: dict[str, float], words: list[str], asked: re.Pattern | None, known: dict[str, str]) -> str:
+    """The sentence of over 12 characters that overlaps most with the question, the first of equals, else the first 200 characters.
+
+    ``words`` are the beginnings that a token must have to be a term of the question, and ``asked`` finds such tokens.
+    """
     best, quote = -1.0, None
-    if asked is not None:
-        for one in _PART.findall(text):
-            one = one.strip(" ")
-            if len(one) <= 12 or not asked.search(one.lower()):  # most sentences share no word with the question
-                continue
-            grams: set[str] = set()
-            for clause in tx._SENTENCE.split(one):
-                own = tx.folded([w for w in tx._TOKEN.findall(clause.lower()) if w not in _STOPPED], True, {}, known)
-                grams.update(own, (f"{a}_{b}" for a, b in zip(own, own[1:])))
-            hit = [weights[g] for g in sorted(grams & weights.keys())]
-            if hit and round(sum(hit), 9) > best:
-                best, quote = round(sum(hit), 9), one
+    low = text.lower()
+    have = [w for w in words if w in low]  # most texts, and most sentences, share no word with the question
+    for one in _PART.findall(text) if have else ():
+        own_low = one.lower()
+        if not any(w in own_low for w in have) or not asked.search(own_low):
+            continue
+        one = one.strip(" ")
+        if len(one) <= 12:
+            continue
+        grams: set[str] = set()
+        for clause in tx._SENTENCE.split(one.lower()):
+            own = tx.folded([w for w in tx._TOKEN.findall(clause) if w not in _STOPPED], True, {}, known)
+            grams.update(own, (f"{a}_{b}" for a, b in zip(own, own[1:])))
+        hit = [weights[g] for g in sorted(grams & weights.keys())]
+        if hit and round(sum(hit), 9) > best:
+            best, quote = round(sum(hit), 9), one
     return text[:200] if quote is None else quote
 
 
@@ -149,7 +158,7 @@ def evidence(docs: DataFrame, weights: dict[str, float], text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, known = (re.compile("(?:^|[^a-z0-9])(?:" + "|".join(words) + ")") if words else None), {}
         for batch in batches:
-            got = [plain_evidence(t or "", weights, asked, known) for t in batch.column(1).to_pylist()]
+            got = [plain_evidence(t or "", weights, words, asked, known) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string())], names=["id", "quote"])
 
     return docs.select("id", F.col(text).alias("text")).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, quote string")
@@ -165,22 +174,22 @@ def judge(docs: DataFrame, question: str, scoped: Callable[[str], DataFrame | No
     counts = held(tx.term_counts(docs, "id", "text", stems=True), "counts")
     vocab = held(tx.vocabulary(tx.counted_frequencies(counts), F.lit(docs.count())), "vocabulary")
     n_tokens = vocab.count()
-    postings = held(tx.weights(counts, vocab, n_tokens), "postings")
+    rows = held(tx.weighted_rows(counts, vocab, n_tokens), "rows")
     asked = analyse(question, vocab)
     ids = docs.select("id")
     party = (scoped(asked.scope) if asked.scope != "all" else None) if callable(scoped) else scoped
     own = None
     if party is not None:
-        own = held(tx.weights(tx.term_counts(spread(party.select("id", "text")), "id", "text", stems=True), vocab, n_tokens), "party")
+        own = held(tx.weighted_rows(tx.term_counts(spread(party.select("id", "text")), "id", "text", stems=True), vocab, n_tokens), "party")
 
     def run(weights: dict[str, float], gate: list[str]) -> DataFrame:
-        whole = score(postings, ids, weights, gate)
-        return held(whole if own is None else mix(score(own, ids, weights, gate), whole), "scores")
+        whole = score(with_any(rows, weights), ids, weights, gate)
+        return held(whole if own is None else mix(score(with_any(own, weights), ids, weights, gate), whole), "scores")
 
-    near = nearest_terms(postings, asked.weights)
+    near = nearest_terms(rows, asked.weights)
     gate = sorted({*asked.gate, *[t for t in near if t not in asked.weights]})
     first = run(near, gate)
-    wider = expand(first, postings, near)
+    wider = expand(first, rows, near)
     scores = first if wider is near else run(wider, sorted({*gate, *[t for t in wider if t not in near]}))
     at, spread_of = cut(scores)
     return verdicts(scores, at, spread_of, asked.negated).join(evidence(docs, wider), "id"), asked
@@ -192,18 +201,34 @@ def sample(values: DataFrame, per: int = 5) -> DataFrame:
     return values.withColumn("place", place).where(F.col("place") <= per)
 
 
-def nearest_terms(postings: DataFrame, weights: dict[str, float], at: float = 0.68, per: int = 3, damp: float = 0.6) -> dict[str, float]:
-    """The question's terms and those that occur in the same rows (cosine over rows), damped."""
+def with_any(rows: DataFrame, terms) -> DataFrame:
+    """Postings of the ``weighted_rows`` that hold any of some terms; the other rows are never taken apart."""
+    return tx.postings_of(rows.where(F.arrays_overlap("tokens", F.array(*[F.lit(t) for t in terms]).cast("array<string>"))))
+
+
+def nearest_terms(rows: DataFrame, weights: dict[str, float], at: float = 0.68, per: int = 3, damp: float = 0.6) -> dict[str, float]:
+    """The question's terms and those that occur in the same rows (cosine over rows), damped.
+
+    Products come from the ``weighted_rows`` that hold a term of the question. A norm over
+    these rows alone is at most the true one, so terms that fail by it fail for good, and
+    true norms are computed for the few others only.
+    """
     if not weights:
         return weights
-    own = postings.where(F.col("token").isin(list(weights))).select("id", F.col("token").alias("asked"), F.col("weight").alias("wa"))
-    norms = postings.groupBy("token").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    pairs = own.join(postings, "id").where(F.col("token") != F.col("asked")).groupBy("asked", "token").agg(F.sum(F.col("wa") * F.col("weight")).alias("dot"))
-    sims = pairs.join(norms, "token").join(norms.select(F.col("token").alias("asked"), F.col("norm").alias("na")), "asked").select("asked", "token", (F.col("dot") / (F.col("norm") * F.col("na"))).alias("sim")).where(F.col("sim") >= at)
+    asked = F.array(*[F.lit(t) for t in weights])
+    both = F.filter(F.arrays_zip("tokens", "weights"), lambda p: F.array_contains(asked, p["tokens"]))
+    hit = rows.where(F.arrays_overlap("tokens", asked)).withColumn("own", both)
+    pairs = hit.select(F.explode("own").alias("own"), "tokens", "weights").select("own", F.inline(F.arrays_zip("tokens", "weights")))
+    pairs = pairs.select(F.col("own.tokens").alias("asked"), F.col("own.weights").alias("wa"), F.col("tokens").alias("token"), F.col("weights").alias("w"))
+    found = pairs.groupBy("asked", "token").agg(F.sum(F.col("wa") * F.col("w")).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("part"))
+    own = found.where(F.col("asked") == F.col("token")).select("asked", F.sqrt("part").alias("na"))  # rows of a question's term are all here
+    near = held(found.where(F.col("asked") != F.col("token")).join(F.broadcast(own), "asked").where(F.col("dot") >= (at - 1e-9) * F.sqrt("part") * F.col("na")), "near")
+    terms = near.select("token").distinct()
+    n = terms.count()
+    norms = tx.postings_of(rows).join(F.broadcast(terms) if n <= BROADCAST_IDS else terms, "token", "left_semi").groupBy("token").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    sims = near.join(norms, "token").select("asked", "token", (F.col("dot") / (F.col("norm") * F.col("na"))).alias("sim")).where(F.col("sim") >= at)
     place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("sim"), "token"))
     out = dict(weights)
-    for r in sims.withColumn("place", place).where(F.col("place") <= per).collect():
+    for r in (sims.withColumn("place", place).where(F.col("place") <= per).collect() if n else []):
         out[r.token] = max(out.get(r.token, 0.0), weights[r.asked] * r.sim * damp)
     return out
-
-

@@ -128,6 +128,16 @@ def store_upserted(spark, d):
     return store.upsert("places", nation.where("n_regionkey = 1").withColumn("n_name", F.lit("changed")), ["n_nationkey"])
 
 
+@query("select n_nationkey, case when n_regionkey = 1 then 'changed' else n_name end as n_name, n_regionkey from nation union all select n_nationkey + 100, 'changed', null from nation where n_regionkey = 1")
+def store_columns_upserted(spark, d):
+    """On a known key only the name is updated, and the new row's other values are not taken; rows of new keys are added."""
+    store, nation = _store(spark), t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    store.append("places", nation)
+    near = nation.where("n_regionkey = 1").select("n_nationkey", F.lit("changed").alias("n_name"), F.lit(None).cast("int").alias("n_regionkey"))
+    far = near.withColumn("n_nationkey", (F.col("n_nationkey") + 100).cast(nation.schema["n_nationkey"].dataType))
+    return store.upsert("places", near.unionByName(far), ["n_nationkey"], ["n_name"])
+
+
 @query("select n_nationkey, case when n_nationkey = 3 then 'x' else n_name end as n_name, case when n_regionkey = 2 then n_regionkey + 10 else n_regionkey end::bigint as n_regionkey, 'none' as note from nation")
 def store_updated(spark, d):
     """An update by key, a column update from another table, and a migration that adds a column."""

@@ -56,9 +56,13 @@ class Store:
     """Named Parquet tables under one folder, with the writes the engine needs.
 
     Changes are whole-table rewrites to a new version folder and a pointer swap by
-    name, so readers of the old version and repeated tasks stay right.
+    name, so readers of the old version and repeated tasks stay right. Appended rows are a
+    folder of their own beside the last version (``MANY`` of them are folded into a new one).
     """
 
+    #: Appended folders from which the next append writes a new version.
+    MANY = 64
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
@@ -74,22 +78,40 @@ class Store:
     def exists(self, name: str) -> bool:
         return bool(self._versions(name))
 
+    def _current(self, name: str) -> list[str]:
+        """The last whole version and what was appended to it since."""
+        every = self._versions(name)
+        base = max((i for i, p in enumerate(every) if not p.endswith("-more")), default=0)
+        return every[base:]
+
     def table(self, name: str) -> DataFrame:
-        versions = self._versions(name)
-        if not versions:
+        parts = self._current(name)
+        if not parts:
             raise AnalysisException(f"no table {name} in {self.folder}")
-        return self.spark.read.parquet(versions[-1])
+        return self.spark.read.option("mergeSchema", len(parts) > 1).parquet(*parts)
 
-    def replace(self, name: str, df: DataFrame) -> DataFrame:
-        number = len(self._versions(name))
-        df.write.parquet(f"{self.folder}/{name}/v{number:08d}-{uuid.uuid4().hex[:8]}")
+    def _write(self, name: str, df: DataFrame, kind: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}/v{len(self._versions(name)):08d}-{uuid.uuid4().hex[:8]}{kind}")
         return self.table(name)
 
-    def append(self, name: str, df: DataFrame) -> DataFrame:
-        return self.replace(name, self.table(name).unionByName(df, allowMissingColumns=True) if self.exists(name) else df)
+    def replace(self, name: str, df: DataFrame) -> DataFrame:
+        return self._write(name, df, "")
 
-    def upsert(self, name: str, df: DataFrame, keys: list[str]) -> DataFrame:
-        return self.replace(name, joins.upsert(self.table(name), df, keys) if self.exists(name) else df)
+    def append(self, name: str, df: DataFrame) -> DataFrame:
+        """Adds rows; only they are written. Columns that either side lacks are null."""
+        if not self.exists(name):
+            return self.replace(name, df)
+        if len(self._current(name)) > self.MANY:
+            return self.replace(name, self.table(name).unionByName(df, allowMissingColumns=True))
+        kinds = dict(self.table(name).dtypes)
+        return self._write(name, df.select(*[F.col(f"`{c}`").cast(kinds.get(c, k)).alias(c) for c, k in df.dtypes]), "-more")
+
+    def upsert(self, name: str, df: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
+        """Rows of known keys replaced, or only their ``columns`` updated, and new rows added."""
+        if not self.exists(name):
+            return self.replace(name, df)
+        old = self.table(name)
+        return self.replace(name, joins.upsert(old, df, keys) if columns is None else joins.upsert_columns(old, df, keys, columns))
 
     def insert_missing(self, name: str, df: DataFrame, keys: list[str]) -> DataFrame:
         return self.replace(name, joins.insert_missing(self.table(name), df, keys) if self.exists(name) else df.dropDuplicates(keys))

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from parley.functions import text as tx
 from parley.operators import aggregate, cluster, joins, judge, similarity, spans
 from parley.plans import answer, lower
 from parley.plans.binding import Binding, generated
@@ -85,6 +86,41 @@ def test_store(spark, tmp_path):
     assert store.table("t").count() == 0
 
 
+def test_appends_write_new_rows_only_and_fold_in_time(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.MANY = 3
+    store.append("t", spark.createDataFrame([(0, "a")], "k int, v string"))
+    for i in range(1, 6):
+        store.append("t", spark.createDataFrame([(i, "b", i)], "k int, v string, extra long"))
+        assert store.table("t").count() == i + 1
+    assert {r.k: r.extra for r in store.table("t").collect()} == {0: None, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5}
+    assert len(store._current("t")) == 2  # folded once
+    store.append("t", spark.createDataFrame([(6, "only", 1)], "k int, v string, extra int"))
+    store.upsert("t", spark.createDataFrame([(6, None, 9), (7, "new", 7)], "k int, v string, extra long"), ["k"], ["v"])
+    assert [tuple(r) for r in store.table("t").where("k > 5").orderBy("k").collect()] == [(6, None, 1), (7, "new", 7)]
+
+
+def test_nearest_terms_equal_the_plain_cosine(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["mail", "post", "card", "sun", "rain", "wind"], 4, p=[0.3, 0.25, 0.15, 0.1, 0.1, 0.1])) for _ in range(40)]
+    counts = tx.term_counts(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text", bigrams=False)
+    vocab = tx.vocabulary(tx.counted_frequencies(counts), F.lit(40), ratio=1.0)
+    rows = tx.weighted_rows(counts, vocab, vocab.count())
+    by_term: dict = {}
+    for r in tx.postings_of(rows).collect():
+        by_term.setdefault(r.token, np.zeros(40))[r.id] = r.weight
+    for at in (0.2, 0.4, 0.6):
+        asked = {"mail": 1.0, "sun": 0.5}
+        want = dict(asked)
+        for q, w in asked.items():
+            a = by_term[q]
+            sims = sorted(((-(a @ b) / np.linalg.norm(a) / np.linalg.norm(b), t) for t, b in by_term.items() if t != q))
+            for s, t in [x for x in sims if -x[0] >= at][:3]:
+                want[t] = max(want.get(t, 0.0), w * -s * 0.6)
+        got = judge.nearest_terms(rows, asked, at)
+        assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+
+
 def test_components_and_knn(spark):
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(size=(20, 8)) * 0.1 + c for c in np.eye(8)[:3] * 3])
