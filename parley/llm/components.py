@@ -1,8 +1,10 @@
 """Connected components of an edge table, on the cluster.
 
 Alternates the large-star and small-star steps of Kiveris et al. (2014). Minima
-are aggregated before they are joined back, so a hub's edges are never gathered
-in one task, and each round is a written table.
+are combined before their shuffle, and each round is a written table. The join that
+brings them back is by node: a hub's edges come as one key, streamed and never held,
+and it is adaptive execution that splits them where they are many; without it they
+pass through one task.
 """
 
 from __future__ import annotations
