@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import ann, bpe, chat, decontam, htmltext, maxent, pii, simhash, tokenfile, toxicity
+from parley.llm import ann, bpe, chat, decontam, fim, htmltext, maxent, nbsvm, periods, pii, simhash, tokenfile, toxicity
 from parley.llm.store import table
 
 
@@ -66,6 +66,46 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = F.sha2(fim.restored(F.col("output"), F.col("form")), 256)
+    return done.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), back.alias("restored_sha256"))
+
+
+def with_cycles(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by a hash of the id, with their words from some point on replaced by a cycle of words there."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def cycled(ws: Column) -> Column:
+        n, g = F.size(ws), F.floor(h / 10)
+        a = (g % n).cast("int")
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("int")
+        rest = F.flatten(F.array_repeat(F.slice(ws, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(ws, 1, a), F.slice(rest, 1, n - a)), " ")
+
+    looped = F.get(F.transform(F.array(words), lambda ws: F.when(F.size(ws) > 0, cycled(ws))), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, F.coalesce(looped, "text")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = periods.runs(with_cycles(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    done = done.withColumn("_best", best)
+    return done.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_best.start").alias("start"), (-F.col("_best.less")).alias("length"), F.col("_best.period").alias("period"),
+        F.floor(-1000 * F.col("_best.less") / F.col("_best.period")).alias("exponent_milli"), F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = nbsvm.train(spark, docs, table(spark, sf_dir, "labels").where(~nbsvm.held_out(F.col("doc_id"))))
+    done = nbsvm.score(docs, model)
+    return done.select("doc_id", nbsvm.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
@@ -77,6 +117,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_maxent": op9_maxent,
     "op10_ann": op10_ann,
+    "op11_fim": op11_fim,
+    "op12_periods": op12_periods,
+    "op13_quality": op13_quality,
 }
 
 #: DuckDB SQL of those that SQL can express.
@@ -97,4 +140,13 @@ select conv_id, turn, coalesce(role, 'unknown') as role, turn as place, 0::int a
   '{"content":' || to_json(coalesce(text, ''))::varchar || ',"role":' || to_json(coalesce(role, 'unknown'))::varchar || '}' as json,
   0::bigint as n_calls, 0::bigint as n_linked, 0::bigint as n_invalid
 from conversations""",
+    "op11_fim": """
+with d as (select doc_id, coalesce(text, '') as x, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+r as (select doc_id, x, length(x)::bigint as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d),
+c as (select doc_id, x, n, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when x = '' or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from r),
+p as (select *, substring(x, 1, a) as pre, substring(x, a + 1, b - a) as mid, substring(x, b + 1) as suf from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then x when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(x) as restored_sha256 from p""",
 }
