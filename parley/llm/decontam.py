@@ -18,7 +18,8 @@ its shingles, hence its rarest one: that is the prefix a containment of 1 needs.
 Shingles have three words (an item of one or two words: that many). Keys are
 hashes, but every hit is verified on words.
 
-Defined results: a null or empty text or item has no words; items without words
+Defined results: a null or empty text or item has no words; an item without an id
+hits words like any other, but is neither named nor counted among the items; items without words
 have no window; repeated rows of either table count as rows of their own (an
 item id is named once); items of equal text are all named; texts of any length
 are scanned whole; extra columns are not read.
@@ -131,7 +132,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, do
     n_hit = covered.groupBy("row").agg(F.sum("new").alias("n_hit"))
     items = hits.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
     per_row = found.where("at < 0").select("row", "doc_id", "n_words")
-    out = per_row.join(n_hit.join(items, "row"), "row", "left")
+    out = per_row.join(n_hit, "row", "left").join(items, "row", "left")  # items without an id hit words and are not named
     empty = F.array().cast("array<string>")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", empty)).cast("long").alias("n_items"), F.coalesce("items", empty).alias("items"))
 
