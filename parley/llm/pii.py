@@ -26,7 +26,9 @@ never overlap base ones; extra columns are not read by ``detect`` and kept by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.llm.store import Staged, small
@@ -51,26 +53,64 @@ ACCEPT = 0.9
 BROADCAST_ROWS = 500_000
 
 
+#: Elements of a block of a running total.
+BLOCK = 128
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, plus: Callable[[Column, Column], Column]) -> Column:
+    """What ``plus`` makes of the whole numbers before each element, from 0; ``values`` is bound by ``let``.
+
+    Blocks are totalled, the totals run through, and each block run through from its own
+    total on, so no array grows beyond a block or the number of blocks.
+    """
+    none = F.array().cast("array<int>")
+
+    def through(xs: Column, start: Column) -> Column:
+        return F.aggregate(xs, F.struct(start.alias("at"), none.alias("out")), lambda acc, x: F.struct(plus(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def joined(blocks: Column) -> Column:
+        before = through(F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0), plus)), F.lit(0))
+        return F.flatten(F.zip_with(blocks, before, through))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.size(values) - 1, F.lit(BLOCK)), lambda at: F.slice(values, at + 1, F.lit(BLOCK)))
+    return F.when(F.size(values) == 0, none).otherwise(let(blocks, joined))
+
+
 def _pieces(text: Column, pattern: str) -> Column:
     """Gaps and matches in turn, as an array of (0: gap, 1: match or null)."""
     return F.arrays_zip(F.split(text, pattern, -1).alias("0"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("1"))
 
 
 def _placed(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value, left): every match with its code points and the two words before it, as they are."""
+    """Array of (start, end, value, left): every match with its code points and the two words before it, as they are.
+
+    Every match before is a word at least, so the two words are in the last two matches and the gaps behind them.
+    """
     none = F.array().cast("array<struct<start:int,end:int,value:string,left:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), none.alias("out"))
+    plain = lambda gap: F.regexp_replace(gap, r"(?<![\"'(\[{<])[\"'(\[{<]++$", "")
 
-    def step(acc: Column, piece: Column) -> Column:
-        gap, value = piece["0"], piece["1"]
-        begin = acc["at"] + F.char_length(gap)
-        end = begin + F.coalesce(F.char_length(value), F.lit(0))
-        left = F.regexp_extract(F.regexp_replace(F.concat(acc["before"], gap), r"(?<![\"'(\[{<])[\"'(\[{<]++$", ""), r"(?<!\S)(?:\S++\s++)?\S++\s*+$", 0)
-        new = F.when(value.isNull(), none).otherwise(F.array(F.struct(begin.alias("start"), end.alias("end"), value.alias("value"), left.alias("left"))))
-        before = F.when(value.isNull(), F.lit("")).otherwise(F.concat(left, F.lit(" "), value, F.lit(" ")))
-        return F.struct(end.alias("at"), before.alias("before"), F.concat(acc["out"], new).alias("out"))
+    def placed(ps: Column) -> Column:
+        at = running_lengths(ps)
 
-    return F.aggregate(_pieces(text, pattern), start, step, lambda acc: acc["out"])
+        def one(p: Column, i: Column) -> Column:
+            begin = F.get(p["at"], i) + F.char_length(F.get(p["ps"], i)["0"])
+            before = F.concat_ws(" ", F.get(p["ps"], i - 2)["1"], plain(F.get(p["ps"], i - 1)["0"]), F.get(p["ps"], i - 1)["1"], plain(F.get(p["ps"], i)["0"]))
+            value = F.get(p["ps"], i)["1"]
+            left = F.regexp_extract(before, r"(?<!\S)(?:\S++\s++)?\S++\s*+$", 0)
+            return F.struct(begin.alias("start"), (begin + F.char_length(value)).alias("end"), value.alias("value"), left.alias("left"))
+
+        # the last piece is the text behind the last match
+        return let(F.struct(ps.alias("ps"), at.alias("at")), lambda p: F.transform(F.sequence(F.lit(0), F.size(p["ps"]) - 2), lambda i: one(p, i)))
+
+    def running_lengths(ps: Column) -> Column:
+        return let(F.transform(ps, lambda x: F.char_length(x["0"]) + F.coalesce(F.char_length(x["1"]), F.lit(0))), lambda xs: running(xs, lambda a, x: a + x))
+
+    return let(_pieces(text, pattern), lambda ps: F.when(F.size(ps) < 2, none).otherwise(placed(ps)))
 
 
 def _ip_ok(value: Column) -> Column:
@@ -146,10 +186,9 @@ def _table(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
     out = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, base_spans(whole).alias("_found"), candidates(whole).alias("_cand"))
     use = lambda c, left, seed: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), left.alias("left"), F.lit(seed).alias("seed"))
     seeds = F.filter(F.transform("_found", lambda b: use(b, _pattern(b["left"]), True)), lambda c: F.trim(c["left"]) != "")
-    free = F.filter("_cand", lambda c: ~F.exists("_found", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
     base = F.transform("_found", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
     kept = [c for c in out.columns if c not in ("_found", "_cand")]
-    return out.select(*kept, base.alias("_base"), F.concat(seeds, F.transform(free, lambda c: use(c, c["left"], False))).alias("_cand"))
+    return out.select(*kept, base.alias("_base"), F.concat(seeds, F.transform("_cand", lambda c: use(c, c["left"], False))).alias("_cand"))
 
 
 def bootstrap(spark: SparkSession, uses: DataFrame, trust: float = TRUST) -> tuple[DataFrame, DataFrame]:
@@ -177,9 +216,24 @@ def bootstrap(spark: SparkSession, uses: DataFrame, trust: float = TRUST) -> tup
         patterns.drop()
 
 
+def _free(held: DataFrame) -> DataFrame:
+    """Rows (_row, start, end, value, left, seed) of the uses in ``held``, less the candidates that overlap a base span.
+
+    A text's spans and candidates are sorted by start once: one overlaps if the greatest
+    end of the spans that begin before its end is behind its start.
+    """
+    uses = held.select("_row", F.explode("_cand").alias("c")).select("_row", "c.*")
+    free = uses.where(~F.col("seed")).select("*", F.col("end").alias("at"), F.lit(None).cast("int").alias("upto"))
+    spans = held.select("_row", F.explode("_base").alias("b")).select("_row", F.col("b.start").alias("at"), F.col("b.end").alias("upto"))
+    before = F.max("upto").over(Window.partitionBy("_row").orderBy("at", F.col("upto").isNotNull()).rowsBetween(Window.unboundedPreceding, -1))
+    ordered = free.unionByName(spans, allowMissingColumns=True).withColumn("before", before)
+    kept = ordered.where(F.col("upto").isNull() & (F.coalesce("before", F.lit(0)) <= F.col("start")))
+    return uses.where("seed").unionByName(kept.select(*uses.columns))
+
+
 def _spans(spark: SparkSession, held: DataFrame, keep: list[str]) -> DataFrame:
     """``held`` with all spans: base ones and those bootstrapping adds."""
-    uses = held.select("_row", F.explode("_cand").alias("c")).select("_row", "c.*")
+    uses = Staged(spark, _free(held), "uses").df
     patterns, instances = bootstrap(spark, uses.select("left", "value", "seed"))
     good = instances.where(F.col("confidence") >= ACCEPT).select("value")
     found = uses.where(~F.col("seed")).join(small(patterns.select("left"), patterns.count(), BROADCAST_ROWS), "left", "left_semi").join(good, "value", "left_semi")
@@ -207,17 +261,30 @@ def count(spans: Column, kind: int) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; overlapping spans share the first one's mark."""
+    """The text with each span replaced by its kind in brackets; overlapping spans share the first one's mark.
+
+    The text is cut into stretches of ``BLOCK`` spans and those into pieces, as a cut counts code points from the start.
+    """
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        plain = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        new = F.when(s["start"] >= acc["at"], F.array(plain, F.get(names, s["kind"]))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], new).alias("out"))
+    def block(x: Column) -> Column:
+        """A stretch that begins where all spans before it have ended."""
+        low = F.get(x["upto"], F.lit(0))
+        stop = F.aggregate(x["spans"], low, lambda a, s: F.greatest(a, s["end"]))
+        own = F.substring(text, low + 1, stop - low)
+
+        def piece(o: Column, s: Column, at: Column) -> Column:
+            return F.when(s["start"] >= at, F.concat(F.substring(o, at - low + 1, s["start"] - at), F.get(names, s["kind"]))).otherwise(F.lit(""))
+
+        return let(own, lambda o: F.array_join(F.zip_with(x["spans"], x["upto"], lambda s, at: piece(o, s, at)), ""))
+
+    def whole(upto: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(spans) - 1, F.lit(BLOCK)), lambda at: F.struct(F.slice(spans, at + 1, F.lit(BLOCK)).alias("spans"), F.slice(upto, at + 1, F.lit(BLOCK)).alias("upto")))
+        last = F.greatest(F.element_at(upto, -1), F.element_at(spans, -1)["end"])
+        return F.concat(F.array_join(F.transform(blocks, block), ""), F.substring(text, last + 1, F.char_length(text)))
 
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(whole)
+    upto = let(F.transform(spans, lambda s: s["end"]), lambda ends: running(ends, lambda a, x: F.greatest(a, x)))
+    return F.when(F.size(spans) == 0, text).otherwise(let(upto, whole))
 
 
 def redact(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:

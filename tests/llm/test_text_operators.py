@@ -169,6 +169,24 @@ def test_every_base_kind_seeds_contexts(spark):
     assert [found[len(known) + n] for n in range(len(unseen))] == [[v] * (v is not None) for _, v in unseen]
 
 
+def test_a_text_of_many_numbers_stays_near_linear(spark):
+    """Tens of thousands of matches and overlapping candidates in one text: sorted and cut in blocks, never pair by pair."""
+    some = [f"10.0.{i % 256}.{i // 256 % 256}" if i % 3 else f"{7000000 + i} +1 234 567 {1000 + i % 9000} u{i}@x.yz" for i in range(20_000)]
+    text = " ".join(some)
+    row = pii.detect(spark, frame(spark, [text])).collect()[0]
+    assert [tuple(x) for x in row.base] == plain_spans(text)
+    short = " ".join(some[:3000])
+    assert pii.redact(spark, frame(spark, [short])).collect()[0].text == plain_redaction(short)
+
+
+def test_running_totals_of_any_length(spark):
+    for n in (0, 1, 127, 128, 129, 1000):
+        own = [(i * 7) % 11 for i in range(n)]
+        df = spark.createDataFrame([(own,)], "xs array<int>")
+        sums, tops = df.select(pii.running(F.col("xs"), lambda a, x: a + x), pii.running(F.col("xs"), lambda a, x: F.greatest(a, x))).first()
+        assert sums == [sum(own[:i]) for i in range(n)] and tops == [max(own[:i], default=0) for i in range(n)]
+
+
 def plain_redaction(text):
     """Spans left to right; one that begins inside the last mark's text is covered by it."""
     out, at = "", 0
@@ -228,6 +246,13 @@ def test_contamination_equals_brute_force(spark):
     assert decontam.contamination(spark, frame(spark, docs).limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_items_without_an_id_hit_and_are_not_named(spark):
+    items = spark.createDataFrame([(None, "one two three four"), (7, "three four five six")], "item_id long, text string")
+    got = decontam.contamination(spark, frame(spark, ["x one two three four y", "one two three four five six", "a"]), items).collect()
+    assert {r.doc_id: (r.n_hit, r.n_items, r["items"]) for r in got} == {0: (4, 0, []), 1: (6, 1, ["7"]), 2: (0, 0, [])}
+    assert [r.doc_id for r in decontam.clean_rows(spark, frame(spark, ["x one two three four y", "a"]), items).collect()] == [1]
+
+
 def test_short_documents_come_once_beside_long_items(spark):
     docs = [None, "", "word", " ", "two words", "one of three words here"]
     items = spark.createDataFrame([(1, "one of three words"), (2, "a b c d e f g h i j k l")], "item_id long, text string")
