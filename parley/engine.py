@@ -106,7 +106,7 @@ class Engine:
             narrowed = similarity.focus(held(ids.join(hits, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score")), "focus"), n)
             ids = narrowed.select("id") if narrowed is not None else ids
         own = postings.join(ids, "id", "left_semi")
-        found = held(cluster.graph_clusters(held(own, "own"), ids, vocab), "clusters")
+        found = held(cluster.graph_clusters(held(own, "own"), ids), "clusters")
         named = cluster.names(docs, found, own, vocab)
         rows = found.select("id", F.col("cluster").cast("string").alias("group_key"), F.lit(1.0).alias("value"))
         groups = aggregate.by_value(aggregate.fold_tail(aggregate.grouped(rows), spec.limit))
@@ -212,10 +212,11 @@ class Engine:
     def trace(self, id_: object) -> DataFrame:
         return self.binding.traces.where(self.binding.get("id") == F.lit(id_)).limit(1)
 
-    def trace_detail(self, id_: object, trace: str = "trace_id", order: str = "idx", kind: str = "type", content: str = "content_redacted", cost: str = "cost_usd") -> DataFrame:
-        """The spans of one conversation in order, with repeats and explanations."""
+    def trace_detail(self, id_: object, trace: str = "trace_id", order: tuple[str, ...] = ("idx",), kind: str = "type", content: str = "content_redacted", cost: str = "cost_usd") -> DataFrame:
+        """The spans of one conversation in order, with repeats and explanations; spans of one place go by their other columns."""
         own = self.binding.span_table.where(F.col(trace) == F.lit(id_))
-        return spans.explain(spans.repeats(own, trace, kind, content), trace, [order], kind, cost).orderBy(order)
+        order = [*order, *[c for c in own.columns if c not in (trace, *order)]]
+        return spans.explain(spans.repeats(own, trace, kind, content), trace, order, kind, cost).orderBy(*order)
 
     def status(self) -> dict:
         """What the engine works on and what is stored: rows, runs by status, judged questions, spent cost."""

@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.functions import text as tx
-from parley.operators import similarity
+from parley.operators import similarity, sparse
+from parley.operators.similarity import mutual
 from parley.sources.tables import held
 
 #: Groups up to which linkage brings their pairs, at most half its square, to the driver.
-MAX_LOCAL = 4000
-#: Rows up to which all sparse pairs are compared.
-MAX_GRAPH = 4000
+MAX_LOCAL = 2000
 
 
 def place(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
@@ -51,50 +50,55 @@ def number(assigned: DataFrame) -> DataFrame:
 def link(postings: DataFrame, assigned: DataFrame, floor: float = 0.15) -> DataFrame:
     """Average linkage of all groups, single rows too: the most similar pair is merged while it reaches ``floor``.
 
-    A pair's mean similarity is the product of the groups' vector sums over their sizes.
-    Merging only ever lowers a group's similarity to a third one below the better of its
-    parts', so all pairs that are each other's most similar group are merged in one round,
-    and the result is that of merging one pair at a time. Products of merged groups add up,
-    so tokens are joined once and the pairs shrink from round to round. Two groups are left apart.
-    Rounds over few groups run on the driver, over more on the cluster; the result is the same.
+    A pair's mean similarity is the product of the groups' mean vectors. Merging only ever
+    lowers a group's similarity to a third one below the better of its parts', so all pairs
+    that are each other's most similar group are merged in one round, and the result is that
+    of merging one pair at a time. A round looks only for the nearest groups of new groups and
+    of those whose nearest was merged, by ``sparse.nearest``; it never compares all pairs.
+    Two groups are left apart. Once few groups are left their rounds run on the driver, with the same result.
     """
+    spark, kind = assigned.sparkSession, assigned.schema["group"].dataType.simpleString()
     sizes = held(assigned.groupBy("group").agg(F.count("*").alias("n")), "sizes")
-    sums = held(postings.join(assigned, "id").groupBy("group", "token").agg(F.sum("weight").alias("w")), "sums")
-    b = sums.select(F.col("group").alias("other"), "token", F.col("w").alias("wb"))
-    pairs = held(sums.join(b, "token").where("group < other").groupBy("group", "other").agg(F.sum(F.col("w") * F.col("wb")).alias("dot")), "pairs")
-    if sizes.count() <= MAX_LOCAL:
-        moves, kind = _linked(sizes.orderBy("group").toArrow(), pairs.toArrow(), floor), assigned.schema["group"].dataType.simpleString()
-        table = assigned.sparkSession.createDataFrame(moves, f"group {kind}, to {kind}")
-        return assigned.join(F.broadcast(table), "group").select("id", F.col("to").alias("group"))
+    ranks = held(sparse.token_ranks(postings), "ranks")
+    sums = postings.join(assigned, "id").groupBy("group", "token").agg(F.sum("weight").alias("w")).join(sizes, "group").select(F.col("group").alias("id"), "token", (F.col("w") / F.col("n")).alias("weight"))
+    groups = held(sparse.vectors(sums, ranks).join(sizes.select(F.col("group").alias("id"), "n"), "id"), "groups")
+    n = groups.count()
+    others = sizes.count() - n  # groups without a token, which nothing is similar to
     home = held(sizes.select("group", F.col("group").alias("to")), "homes")
-    while sizes.count() > 2:
-        other = sizes.select(F.col("group").alias("other"), F.col("n").alias("m"))
-        near = pairs.join(sizes, "group").join(other, "other").select("group", "other", F.round(F.col("dot") / (F.col("n") * F.col("m")), 9).alias("mean")).where(F.col("mean") >= floor)
-        rank = F.struct(-F.col("mean"), "group", "other")  # one order of all pairs, so ties cannot go round in a circle
-        sides = near.select(rank.alias("rank"), F.explode(F.array("group", "other")).alias("side"), "group", "other")
-        best = sides.groupBy("side").agg(F.min_by(F.struct("group", "other"), "rank").alias("p"))
-        merged = held(best.groupBy("p").agg(F.count("*").alias("sides")).where("sides = 2").select(F.col("p.other").alias("gone"), F.col("p.group").alias("keep")), "merged")
+    near = held(sparse.nearest(groups, 1, floor, decimals=9), "near") if n > MAX_LOCAL else None
+    while n > MAX_LOCAL and n + others > 2:
+        merged = held(mutual(near, 0.0).select(F.col("right").alias("gone"), F.col("left").alias("keep")), "merged")
         if merged.isEmpty():
-            break
-
-        def renamed(df: DataFrame, column: str, merged: DataFrame = merged) -> DataFrame:
-            return df.join(merged, F.col(column) == F.col("gone"), "left").withColumn(column, F.coalesce("keep", column)).drop("gone", "keep")
-
-        sizes = held(renamed(sizes, "group").groupBy("group").agg(F.sum("n").alias("n")), "sizes")
-        ends = renamed(renamed(pairs, "group"), "other").where("group <> other")
-        pairs = held(ends.select(F.least("group", "other").alias("group"), F.greatest("group", "other").alias("other"), "dot").groupBy("group", "other").agg(F.sum("dot").alias("dot")), "pairs")
-        home = held(renamed(home, "to"), "homes")
-    return assigned.join(home, "group").select("id", F.col("to").alias("group"))
-
-
-def _linked(sizes: pa.Table, pairs: pa.Table, floor: float) -> list[tuple]:
-    """(group, group it ends in) of the rounds that ``link`` describes, over a dense matrix of products."""
+            return assigned.join(home, "group").select("id", F.col("to").alias("group"))
+        moves = held(merged.select(F.col("gone").alias("id"), "keep").unionByName(merged.select(F.col("keep").alias("id"), "keep")), "moves")
+        home = held(home.join(merged, F.col("to") == F.col("gone"), "left").select("group", F.coalesce("keep", "to").alias("to")), "homes")
+        parts = groups.join(moves, "id").select(F.col("keep").alias("id"), "n", F.inline(F.arrays_zip("ranks", "weights")))
+        whole = groups.join(moves, "id").groupBy(F.col("keep").alias("id")).agg(F.sum("n").alias("n"))
+        added = parts.groupBy("id", "ranks").agg(F.sum(F.col("weights") * F.col("n")).alias("w")).join(whole, "id")
+        new = added.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("ranks", (F.col("w") / F.col("n")).alias("weight")))).alias("t")).select("id", F.col("t.ranks").alias("ranks"), F.col("t.weight").alias("weights"), "n")
+        touched = moves.select("id")
+        groups = held(groups.join(touched, "id", "left_anti").unionByName(new), "groups")
+        kept = near.join(touched.select(F.col("id").alias("left")), "left", "left_anti")
+        lost = touched.select(F.col("id").alias("right"))
+        ask = held(kept.join(lost, "right", "left_semi").select(F.col("left").alias("id")).unionByName(merged.select(F.col("keep").alias("id"))), "ask")
+        near = held(kept.join(lost, "right", "left_anti").unionByName(sparse.nearest(groups, 1, floor, ask, decimals=9)), "near")
+        n = groups.count()
+    flat = held(groups.select("id", "n", F.inline(F.arrays_zip("ranks", "weights"))), "flat")
+    b = flat.select(F.col("id").alias("other"), F.col("n").alias("m"), "ranks", F.col("weights").alias("wb"))
+    pairs = flat.join(b, "ranks").where("id < other").groupBy(F.col("id").alias("group"), "other").agg(F.sum(F.col("weights") * F.col("n") * F.col("wb") * F.col("m")).alias("dot"))
+    ends = _linked(groups.select(F.col("id").alias("group"), "n").orderBy("group").toArrow(), pairs.toArrow(), floor, others)
+    table = spark.createDataFrame(ends, f"to {kind}, end {kind}")
+    return assigned.join(home, "group").join(F.broadcast(table), "to", "left").select("id", F.coalesce("end", "to").alias("group"))
+
+
+def _linked(sizes: pa.Table, pairs: pa.Table, floor: float, others: int = 0) -> list[tuple]:
+    """(group, group it ends in) of the rounds that ``link`` describes, over a dense matrix of products; ``others`` are groups beside these."""
     names, n = sizes["group"].combine_chunks(), sizes["n"].to_numpy().astype(float)
     left, right = (pc.index_in(pairs[c], value_set=names).to_numpy() for c in ("group", "other"))
     dot = np.zeros((len(n), len(n)))
     dot[left, right] = dot[right, left] = pairs["dot"].to_numpy()
     home, own = np.arange(len(n)), np.arange(len(n))  # own: the group that each row of the matrix stands for
-    while len(n) > 2:
+    while len(n) > 1 and len(n) + others > 2:
         mean = np.round(dot / n / n[:, None], 9)
         np.fill_diagonal(mean, -1)
         best, at = mean.argmax(1), np.arange(len(n))  # the first of equals, so ties follow one order of all pairs
@@ -114,20 +118,9 @@ def _linked(sizes: pa.Table, pairs: pa.Table, floor: float) -> list[tuple]:
     return [(g, labels[h]) for g, h in zip(labels, home.tolist())]
 
 
-def graph_clusters(postings: DataFrame, ids: DataFrame, vocab: DataFrame | None = None, k: int = 5, link_at: float = 0.45, floor: float = 0.15, max_rows: int = MAX_GRAPH) -> DataFrame:
-    """Rows (id, cluster) of emergent groups: mutual neighbours, their components, then linkage.
-
-    Sparse pairs grow with the square of the rows, so beyond ``max_rows`` the rows are put
-    on the leading directions of all their terms and grouped by cosine k-means, its k chosen on
-    all rows. Rows without a token stay together in the last group there.
-    """
-    n = ids.count()
-    if n > max_rows:
-        dense = held(projection(postings), "dense")
-        own = held(similarity.unit(dense, "id", "v"), "unit")
-        found = to_nearest(own, best_fit(own)[1]).select("id", "cluster")
-        return number(ids.join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(1 << 30)).alias("group")))
-    near = held(similarity.posting_knn(postings, k), "near")
+def graph_clusters(postings: DataFrame, ids: DataFrame, k: int = 5, link_at: float = 0.45, floor: float = 0.15) -> DataFrame:
+    """Rows (id, cluster) of emergent groups: mutual neighbours, their components, then linkage; one rule at every size."""
+    near = held(similarity.posting_knn(postings, k, link_at), "near")
     groups = similarity.components(ids, similarity.mutual(near, link_at)).select("id", F.col("component").alias("group"))
     return number(link(postings, held(groups, "groups"), floor))
 

@@ -430,8 +430,8 @@ def vector_groups(spark, d):
 
 @query()
 def emergent_groups(spark, d):
-    vocab, postings = _postings(spark, d)
-    return cluster.graph_clusters(tables.held(postings, "postings"), t(spark, d, "documents").select(F.col("doc_id").alias("id")), vocab)
+    _, postings = _postings(spark, d)
+    return cluster.graph_clusters(tables.held(postings, "postings"), t(spark, d, "documents").select(F.col("doc_id").alias("id")))
 
 
 @query()

@@ -102,10 +102,11 @@ def fetched_rows(spark, d):
     return Engine(spark, bindings.orders(spark, d)).trace_rows([1, 2, 3, 4, 5, 32]).select("o_orderkey")
 
 
-@query("""select l_linenumber, l_linestatus, count(*) over (partition by l_linestatus, l_returnflag)::bigint as repeat_count, row_number() over (order by l_linenumber)::int as place, count(*) over ()::bigint as "of",
-lag(l_returnflag) over (order by l_linenumber) as previous, round(100 * l_extendedprice / sum(l_extendedprice) over (), 4) as cost_share from lineitem where l_orderkey = 1""")
+@query("""select l_linenumber, l_linestatus, count(*) over (partition by l_linestatus, l_returnflag)::bigint as repeat_count, row_number() over w::int as place, count(*) over ()::bigint as "of",
+lag(l_returnflag) over w as previous, round(100 * l_extendedprice / sum(l_extendedprice) over (), 4) as cost_share from lineitem where l_orderkey = 1
+window w as (order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)""")
 def conversation_detail(spark, d):
-    found = Engine(spark, bindings.orders(spark, d)).trace_detail(1, "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_extendedprice")
+    found = Engine(spark, bindings.orders(spark, d)).trace_detail(1, "l_orderkey", ("l_linenumber",), "l_returnflag", "l_linestatus", "l_extendedprice")
     return found.select("l_linenumber", "l_linestatus", "repeat_count", "place", "of", "previous", "cost_share")
 
 
