@@ -79,14 +79,16 @@ def prefixes(rows: DataFrame, reach: float) -> DataFrame:
     return rows.select("id", "ranks", "weights", F.col("least").cast("double")).mapInArrow(run, f"id {kind}, rank long, w double, rest double, least double")
 
 
-def candidates(ask: DataFrame, offer: DataFrame, both_ways: bool = False) -> DataFrame:
+def candidates(ask: DataFrame, offer: DataFrame, n: int, both_ways: bool = False) -> DataFrame:
     """Distinct pairs (left, right) whose product may reach what the left one looks for; ``both_ways``: left < right only.
 
-    ``ask`` and ``offer`` are ``prefixes``.
+    ``ask`` and ``offer`` are ``prefixes``; ``offer`` is of ``n`` vectors.
     """
-    parts = held(offer.groupBy("rank").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts")).where("parts > 1"), "lists")
-    n_parts = parts.count()  # tokens in more than LIST vectors: at most the table's postings over LIST
-    few = F.broadcast(parts) if n_parts <= CROWD else parts
+    n_parts = 0
+    if n > LIST:
+        parts = held(offer.groupBy("rank").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts")).where("parts > 1"), "lists")
+        n_parts = parts.count()  # tokens in more than LIST vectors: at most the table's postings over LIST
+        few = F.broadcast(parts) if n_parts <= CROWD else parts
 
     def dealt(df: DataFrame, part: Column) -> DataFrame:
         if not n_parts:
@@ -129,17 +131,18 @@ def best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def reach_of(rows: DataFrame) -> float:
-    """The largest norm of vectors (id, ranks, weights)."""
+def reach_of(rows: DataFrame) -> tuple[float, int]:
+    """The largest norm of vectors (id, ranks, weights), and their number."""
     square = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x * x)
-    return rows.agg(F.sqrt(F.max(square))).first()[0] or 0.0
+    reach, n = rows.agg(F.sqrt(F.max(square)), F.count("*")).first()
+    return reach or 0.0, n
 
 
 def similar(rows: DataFrame, floor: float, decimals: int = DECIMALS) -> DataFrame:
     """Rows (left, right, sim), left < right, of all pairs of (id, ranks, weights) of ``floor`` or more; ``floor`` is above 0."""
-    reach, slack = reach_of(rows), 0.5 * 10.0**-decimals
+    (reach, n), slack = reach_of(rows), 0.5 * 10.0**-decimals
     own = held(prefixes(rows.withColumn("least", F.lit(floor - slack)), reach), "prefixes")
-    return products(candidates(own, own, both_ways=True), rows).select("left", "right", F.round("dot", decimals).alias("sim")).where(F.col("sim") >= floor)
+    return products(candidates(own, own, n, both_ways=True), rows).select("left", "right", F.round("dot", decimals).alias("sim")).where(F.col("sim") >= floor)
 
 
 def nearest(rows: DataFrame, k: int, floor: float, ask: DataFrame | None = None, decimals: int = DECIMALS, start: float = START) -> DataFrame:
@@ -148,14 +151,14 @@ def nearest(rows: DataFrame, k: int, floor: float, ask: DataFrame | None = None,
     ``rows`` has (id, ranks, weights), ids once each; neighbours reach ``floor`` (or are above 0 where it is 0).
     ``ask`` (id) names the vectors that look for neighbours, all by default.
     """
-    reach, slack = reach_of(rows), 0.5 * 10.0**-decimals
+    (reach, n), slack = reach_of(rows), 0.5 * 10.0**-decimals
     enough = F.col("sim") > 0 if floor <= 0 else F.col("sim") >= floor
     start = max(start, floor)
     least = F.lit(start - slack)
     asking = rows.withColumn("least", least) if ask is None else rows.join(ask.select("id"), "id", "left_semi").withColumn("least", least)
     offered = held(prefixes(rows.withColumn("least", least), reach), "offered")
     asked = offered if ask is None else prefixes(asking.withColumn("least", least), reach)
-    pairs = products(candidates(asked, offered, both_ways=ask is None), rows).select("left", "right", F.round("dot", decimals).alias("sim")).where("sim > 0")
+    pairs = products(candidates(asked, offered, n, both_ways=ask is None), rows).select("left", "right", F.round("dot", decimals).alias("sim")).where("sim > 0")
     seen = held(pairs, "verified")
     if ask is None:
         seen = seen.unionByName(seen.select(F.col("right").alias("left"), F.col("left").alias("right"), "sim"))
@@ -169,7 +172,7 @@ def nearest(rows: DataFrame, k: int, floor: float, ask: DataFrame | None = None,
     lowest = open_.agg(F.min("least")).first()[0]
     if lowest is None:
         return top
-    more = candidates(prefixes(open_, reach), prefixes(rows.withColumn("least", F.lit(lowest)), reach))
+    more = candidates(prefixes(open_, reach), prefixes(rows.withColumn("least", F.lit(lowest)), reach), n)
     fresh = more.join(seen.select("left", "right"), ["left", "right"], "left_anti")
     found = products(fresh, rows).select("left", "right", F.round("dot", decimals).alias("sim")).where(enough)
     return best(top.select("left", "right", "sim").unionByName(held(found, "verified")), k)
