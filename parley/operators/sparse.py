@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,6 +37,8 @@ from parley.sources.tables import held
 START = 0.45
 #: Vectors of one part of a token's list.
 LIST = 20_000
+#: Vectors of one block; the pairs of two blocks are verified together.
+BLOCK = 1024
 #: Rows of a class from which its neighbours are sent to the tasks instead of its rows to one task.
 CROWD = 100_000
 #: Decimals of a similarity: neighbours that agree in them are ordered by id.
@@ -102,27 +105,41 @@ def candidates(ask: DataFrame, offer: DataFrame, n: int, both_ways: bool = False
     return left.join(right, ["rank", "part"]).where(apart & may).select("left", "right").distinct()
 
 
-def products(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows (left, right, dot): the products of pairs of vectors of ``rows`` (id, ranks, weights)."""
-    kind = rows.schema["id"].dataType.simpleString()
-    one = rows.select(F.col("id").alias("left"), F.col("ranks").alias("a"), F.col("weights").alias("wa"))
-    two = rows.select(F.col("id").alias("right"), F.col("ranks").alias("b"), F.col("weights").alias("wb"))
+def products(pairs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """Rows (left, right, dot): the products of pairs of vectors of ``rows`` (id, ranks, weights), ``n`` of them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
-            n = batch.num_rows
-            of, keys, weights = [], [], []
-            top = 1 + max((int(batch.column(c).flatten().to_numpy().max(initial=0)) for c in (2, 4)), default=0)
-            for c in (2, 4):
-                of.append(np.repeat(np.arange(n), np.diff(batch.column(c).offsets.to_numpy())))
-                keys.append(of[-1] * top + batch.column(c).flatten().to_numpy())  # rising: pairs in order, ranks in order within
-                weights.append(batch.column(c + 1).flatten().to_numpy())
-            at = np.minimum(np.searchsorted(keys[1], keys[0]), max(len(keys[1]) - 1, 0))
-            same = np.flatnonzero(keys[1][at] == keys[0]) if len(keys[1]) else np.empty(0, int)
-            dot = np.bincount(of[0][same], weights=weights[0][same] * weights[1][at[same]], minlength=n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dot)], names=["left", "right", "dot"])
-
-    return pairs.join(one, "left").join(two, "right").select("left", "right", "a", "wa", "b", "wb").mapInArrow(run, f"left {kind}, right {kind}, dot double")
+    Vectors are dealt into blocks and a task takes the pairs of two blocks, so a vector is
+    sent once to each pair of blocks in which it has a pair, not once a pair.
+    """
+    kind, blocks = rows.schema["id"].dataType.simpleString(), max(1, -(-n // BLOCK))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    dealt = pairs.select("left", "right", of("left").alias("bl"), of("right").alias("br"))
+    needed = dealt.select(F.col("bl").alias("one"), F.col("br").alias("two"), F.explode(F.array("left", "right")).alias("id")).distinct().join(rows.select("id", "ranks", "weights"), "id")
+
+    def run(asked: pa.Table, own: pa.Table) -> pa.Table:
+        ids, asked = own["id"].combine_chunks(), asked.combine_chunks()
+        listed = own["ranks"].combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(listed).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        terms = np.unique(listed.flatten().to_numpy(), return_inverse=True)[1]
+        weights = own["weights"].combine_chunks().flatten().to_numpy()
+        left, right = (pc.index_in(asked[c].combine_chunks(), value_set=ids).to_numpy().astype(np.int64) for c in ("left", "right"))
+        order = np.argsort(left, kind="stable")
+        starts = np.flatnonzero(np.diff(left[order], prepend=-1))
+        dot, dense = np.zeros(len(left)), np.zeros(int(terms.max(initial=-1)) + 1)
+        for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+            x = left[order[a]]
+            mine = slice(ends[x], ends[x + 1])
+            dense[terms[mine]] = weights[mine]
+            for at in range(a, z, 4096):  # a hub's partners, some at a time
+                y = right[order[at : min(z, at + 4096)]]
+                sizes = ends[y + 1] - ends[y]
+                until = np.cumsum(sizes)
+                flat = np.arange(until[-1]) + np.repeat(ends[y] - (until - sizes), sizes)
+                dot[order[at : at + len(y)]] = np.add.reduceat(dense[terms[flat]] * weights[flat], until - sizes)
+            dense[terms[mine]] = 0.0
+        return pa.table({"left": asked["left"], "right": asked["right"], "dot": pa.array(dot)})
+
+    return dealt.groupBy("bl", "br").cogroup(needed.groupBy("one", "two")).applyInArrow(run, f"left {kind}, right {kind}, dot double")
 
 
 def best(pairs: DataFrame, k: int) -> DataFrame:
@@ -142,7 +159,7 @@ def similar(rows: DataFrame, floor: float, decimals: int = DECIMALS) -> DataFram
     """Rows (left, right, sim), left < right, of all pairs of (id, ranks, weights) of ``floor`` or more; ``floor`` is above 0."""
     (reach, n), slack = reach_of(rows), 0.5 * 10.0**-decimals
     own = held(prefixes(rows.withColumn("least", F.lit(floor - slack)), reach), "prefixes")
-    return products(candidates(own, own, n, both_ways=True), rows).select("left", "right", F.round("dot", decimals).alias("sim")).where(F.col("sim") >= floor)
+    return products(candidates(own, own, n, both_ways=True), rows, n).select("left", "right", F.round("dot", decimals).alias("sim")).where(F.col("sim") >= floor)
 
 
 def nearest(rows: DataFrame, k: int, floor: float, ask: DataFrame | None = None, decimals: int = DECIMALS, start: float = START) -> DataFrame:
@@ -158,7 +175,7 @@ def nearest(rows: DataFrame, k: int, floor: float, ask: DataFrame | None = None,
     asking = rows.withColumn("least", least) if ask is None else rows.join(ask.select("id"), "id", "left_semi").withColumn("least", least)
     offered = held(prefixes(rows.withColumn("least", least), reach), "offered")
     asked = offered if ask is None else prefixes(asking.withColumn("least", least), reach)
-    pairs = products(candidates(asked, offered, n, both_ways=ask is None), rows).select("left", "right", F.round("dot", decimals).alias("sim")).where("sim > 0")
+    pairs = products(candidates(asked, offered, n, both_ways=ask is None), rows, n).select("left", "right", F.round("dot", decimals).alias("sim")).where("sim > 0")
     seen = held(pairs, "verified")
     if ask is None:
         seen = seen.unionByName(seen.select(F.col("right").alias("left"), F.col("left").alias("right"), "sim"))
@@ -174,7 +191,7 @@ def nearest(rows: DataFrame, k: int, floor: float, ask: DataFrame | None = None,
         return top
     more = candidates(prefixes(open_, reach), prefixes(rows.withColumn("least", F.lit(lowest)), reach), n)
     fresh = more.join(seen.select("left", "right"), ["left", "right"], "left_anti")
-    found = products(fresh, rows).select("left", "right", F.round("dot", decimals).alias("sim")).where(enough)
+    found = products(fresh, rows, n).select("left", "right", F.round("dot", decimals).alias("sim")).where(enough)
     return best(top.select("left", "right", "sim").unionByName(held(found, "verified")), k)
 
 
