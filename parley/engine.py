@@ -6,6 +6,7 @@ assembles the answer, and the listing functions serve what a reader drills into.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from parley.functions import scalar
 from parley.functions import text as tx
 from parley.operators import aggregate, cluster, joins, similarity, spans
+from parley.operators import judge as judges
 from parley.operators.aspects import Aspects, Judge
 from parley.plans import answer as answers
 from parley.plans import binding as bindings
@@ -35,14 +37,18 @@ STATUSES = ("awaiting_confirmation", "queued", "evaluating", "aggregating", "syn
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, binding: Binding, store: Store | None = None, now: str = "2024-01-31 00:00:00", judge: Judge | None = None, budget: float | None = None):
-        """``judge`` judges rows in place of the local one, as long as it has cost less than ``budget``."""
+    def __init__(self, spark: SparkSession, binding: Binding, store: Store | None = None, now: str = "2024-01-31 00:00:00", judge: Judge | None = None, budget: float | None = None, dims: int = 192):
+        """``judge`` judges rows in place of the local one, as long as it has cost less than ``budget``.
+
+        ``dims`` is the number of directions of the dense part of local judgments and of ``encode``; 0 leaves it out.
+        """
         self.spark, self.binding, self.store = spark, binding, store
         self.aspects = Aspects(store) if store else None
         self.now, self.judge, self.budget = now, judge, budget
         self._values: DataFrame | None = None
         self._text: tuple[DataFrame, ...] | None = None
         self._alias: dict[str, str] = {}
+        self.dims, self._index = dims, None
 
     # -- questions ------------------------------------------------------------
 
@@ -95,6 +101,25 @@ class Engine:
             self._text = docs, vocab, held(tx.weights(counts, vocab, vocab.count()), "postings")
         return self._text
 
+    def index(self) -> judges.Index:
+        """What the local judge needs of the binding's text, ids as text; built once, its dense space too."""
+        if self._index is None:
+            self._index = judges.index(self.docs().withColumn("id", F.col("id").cast("string")), self.dims)
+        return self._index
+
+    def encode(self, question: str) -> list[float]:
+        """A question in the dense space of the binding's text, at unit length."""
+        own = self.index()
+        words = tx_words(question, {})
+        idf = {r.token: r.idf for r in own.vocab.where(F.col("token").isin(words or [""])).collect()}
+        return own.space.query({w: (1 + math.log(words.count(w))) * idf[w] for w in dict.fromkeys(words) if w in idf}) if own.space else []
+
+    def similar_in_meaning(self, question: str, size: int = 25) -> DataFrame:
+        """Rows (id, score) of the conversations nearest to a question in the dense space, best first."""
+        query = self.encode(question)
+        found = similarity.pair_scores(self.index().space.vectors, "id", "v", query) if any(query) else self.index().docs.select("id", F.lit(0.0).alias("score")).limit(0)
+        return found.select("id", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "id").limit(size)
+
     def _clusters(self, spec: QuerySpec, dropped: list[str]) -> answers.Answer:
         docs, vocab, postings = self.semantic()
         ids = lower.eligible(spec, self.binding).select(self.binding.get("id").alias("id"))
@@ -118,7 +143,7 @@ class Engine:
         if not (self.binding.text and self.aspects):
             return ""
         aspect = self.aspects.ensure(spec.aspect_question)
-        self.aspects.evaluate(aspect, self.docs(), self.judge, self.binding.said, self.budget)
+        self.aspects.evaluate(aspect, self.docs(), self.judge, self.binding.said, self.budget, self.index)
         return aspect
 
     def _judged(self, spec: QuerySpec, dropped: list[str]) -> answers.Answer:

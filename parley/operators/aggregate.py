@@ -126,9 +126,11 @@ def standouts(profiles: DataFrame, group: str = "group_key", top: int = 3) -> Da
 
 def threshold(scores: DataFrame, score: str = "score") -> DataFrame:
     """One row of score statistics: mean, population deviation, exact median, mean of the top three."""
-    s = F.col(score)
+    from parley.operators import select
+
+    s, median = F.col(score), select.percentile(scores, score, 0.5)
     top = scores.orderBy(F.desc(score)).limit(3).agg(F.avg(s)).scalar()
-    return scores.agg(F.round(F.avg(s), 6).alias("mean"), F.round(F.stddev_pop(s), 6).alias("deviation"), F.round(F.percentile(s, 0.5), 6).alias("median"), F.round(F.max(F.lit(0.0)) + top, 6).alias("peak"))
+    return scores.agg(F.round(F.avg(s), 6).alias("mean"), F.round(F.stddev_pop(s), 6).alias("deviation"), F.round(F.lit(median).cast("double"), 6).alias("median"), F.round(F.max(F.lit(0.0)) + top, 6).alias("peak"))
 
 
 def confusion(rows: DataFrame, predicted: Column, actual: Column) -> DataFrame:

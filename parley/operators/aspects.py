@@ -18,7 +18,7 @@ VALUE = "id string, aspect_id string, value_json string, confidence double, scor
 Judge = Callable[[DataFrame, str], DataFrame]
 
 
-def local_judge(docs: DataFrame, question: str, scoped: Callable[[str], DataFrame | None] | None = None) -> DataFrame:
+def local_judge(docs: DataFrame | judge.Index, question: str, scoped: Callable[[str], DataFrame | None] | None = None) -> DataFrame:
     return judge.judge(docs, question, scoped)[0]
 
 
@@ -44,14 +44,14 @@ class Aspects:
         self.store.append("aspects", self.spark.createDataFrame([row], ASPECT))
         return row[0]
 
-    def evaluate(self, aspect_id: str, docs: DataFrame, by: Judge | None = None, scoped: Callable[[str], DataFrame | None] | None = None, budget: float | None = None) -> DataFrame:
+    def evaluate(self, aspect_id: str, docs: DataFrame, by: Judge | None = None, scoped: Callable[[str], DataFrame | None] | None = None, budget: float | None = None, index: Callable[[], judge.Index] | None = None) -> DataFrame:
         """Judges ``docs`` as soon as one of them has no value yet; a repeated call finds nothing to do.
 
         The local judge cuts the scores of a whole corpus, so it judges all of ``docs`` anew,
         and values never come from two cuts. A judge of single rows (``by``) gets only the
         rows that have no value. If it stops, what it has judged is stored before
         ``BudgetExceeded`` or ``ProviderUnavailable`` is raised; ``budget`` bounds what all
-        judgments may have cost when a call begins.
+        judgments may have cost when a call begins. ``index`` gives the local judge an index of ``docs``, ids as text.
         """
         question = self.catalogue().where(F.col("id") == aspect_id).first().question
         text = docs.select(F.col("id").cast("string").alias("id"), "text")
@@ -59,7 +59,7 @@ class Aspects:
         if not left.isEmpty():
             if by and budget is not None and self.spent() >= budget:
                 raise remote.BudgetExceeded(f"the budget of {budget} is spent")
-            judged = held(by(left, question), "judged") if by else local_judge(text, question, scoped)
+            judged = held(by(left, question), "judged") if by else local_judge(index() if index else text, question, scoped)
             stopped = []
             if "status" in judged.columns:
                 stopped = [r.status for r in judged.where(F.col("status") != remote.COMPLETE).select("status").distinct().collect()]  # two reasons at most

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import hashlib
 import math
 
 import numpy as np
@@ -294,57 +293,3 @@ def topical(words: list[str], idf: dict[str, float], known: int = 8, unseen: int
     """A topic's query: its known words, the rarest first, and some the vocabulary lacks."""
     have = sorted({w for w in words if w in idf}, key=lambda w: (-idf[w], w))[:known]
     return have + sorted({w for w in words if w not in idf})[:unseen]
-
-
-#: Random directions a text's terms are summed on before the leading ones are found.
-SKETCH, HASHES = 256, 8
-
-
-def _directions(token: str, seed: int) -> tuple[list[int], list[float]]:
-    """The random coordinates of a token, and their signs: a function of the token alone."""
-    raw = hashlib.blake2b(token.encode(), digest_size=4 * HASHES, salt=seed.to_bytes(8, "little")).digest()
-    codes = [int.from_bytes(raw[4 * i : 4 * i + 4], "little") for i in range(HASHES)]
-    return [c % SKETCH for c in codes], [1.0 if c >> 31 else -1.0 for c in codes]
-
-
-def projection(postings: DataFrame, dims: int = 64, seed: int = 7) -> DataFrame:
-    """Rows (id, v): documents on the leading directions of all their terms.
-
-    A randomised range finder: every token of the vocabulary is laid on a few hashed
-    coordinates, whatever its frequency, so each document is one short vector after one
-    pass. The vectors' products, ``SKETCH`` squared whatever the table, are summed on the
-    cluster, and their leading eigenvectors turn the vectors. Signs are arbitrary.
-    """
-    rows = postings.groupBy("id").agg(F.collect_list(F.struct("token", "weight")).alias("t"))  # a document's terms were one row
-    kind = postings.schema["id"].dataType.simpleString()
-
-    def sketch(batches):
-        known: dict = {}
-        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
-            out = np.zeros((batch.num_rows, SKETCH))
-            flat = batch.column(1).flatten()
-            tokens, weights = flat.field(0).to_pylist(), flat.field(1).to_numpy()
-            if len(known) > 500_000:
-                known.clear()
-            for t in set(tokens) - known.keys():
-                known[t] = _directions(t, seed)
-            of = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
-            at = np.array([known[t][0] for t in tokens], np.int64).reshape(-1, HASHES)
-            signs = np.array([known[t][1] for t in tokens]).reshape(-1, HASHES) * (weights / math.sqrt(HASHES))[:, None]
-            np.add.at(out, (np.repeat(of, HASHES), at.ravel()), signs.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), SKETCH).cast(pa.list_(pa.float64()))], names=["id", "v"])
-
-    short = held(rows.mapInArrow(sketch, f"id {kind}, v array<double>"), "sketch")
-    gram = fold(short, lambda x: (x.T @ x).ravel())
-    if not len(gram):
-        return short
-    dims = min(dims, SKETCH)
-    _, vectors = np.linalg.eigh(gram.reshape(SKETCH, SKETCH))
-    turn = vectors[:, ::-1][:, :dims]
-
-    def project(batches):
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH) @ turn
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dims).cast(pa.list_(pa.float64()))], names=["id", "v"])
-
-    return short.mapInArrow(project, f"id {kind}, v array<double>")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parley.functions import text as tx
+from parley.operators import select, similarity, sparse, svd
 from parley.sources.tables import held, spread
 
 # Words of the question's frame that say nothing about a row.
@@ -74,6 +75,53 @@ def score(postings: DataFrame, ids: DataFrame, weights: dict[str, float], gate:
     return ids.join(hit, "id", "left").select("id", F.when(F.col("g"), F.round(F.col("s") / norm, 6)).otherwise(F.lit(0.0)).alias("score"))
 
 
+#: Share of the dense part in a row's score.
+DENSE = 0.2
+
+
+def with_dense(lexical: DataFrame, vectors: DataFrame, query: list[float], share: float = DENSE) -> DataFrame:
+    """Rows (id, score): lexical scores and the cosine of each row's dense vector (id, v) to the question's, weighed.
+
+    Cosines below 0 and rows without a vector count as 0, so a row without a gate term may keep a little of its dense part.
+    """
+    cosine = similarity.pair_scores(vectors, "id", "v", query).select("id", F.greatest(F.col("score"), F.lit(0.0)).alias("d"))
+    return lexical.join(cosine, "id", "left").select("id", F.round((1 - share) * F.col("score") + share * F.coalesce("d", F.lit(0.0)), 6).alias("score"))
+
+
+@dataclass
+class Space:
+    """What the dense part of judgments needs of a corpus: term numbers, term vectors, and its rows' own vectors (id, v)."""
+
+    ranks: DataFrame
+    terms: svd.Space
+    vectors: DataFrame
+
+    def numbers(self, tokens) -> dict[str, int]:
+        return {r.token: r["rank"] for r in self.ranks.where(F.col("token").isin(list(tokens) or [""])).collect()}  # a question's terms
+
+    def query(self, weights: dict[str, float]) -> list[float]:
+        own = self.numbers(weights)
+        return self.terms.query({own[t]: w for t, w in weights.items() if t in own}).tolist()
+
+    def nearest_terms(self, weights: dict[str, float], at: float = 0.68, per: int = 3, damp: float = 0.6) -> dict[str, float]:
+        """The question's terms and the nearest to each by term vector, damped."""
+        own = self.numbers(weights)
+        names = {r: t for t, r in own.items()}
+        found = self.terms.nearest(sorted(names), per, at).join(self.ranks, "rank").collect() if names else []
+        out = dict(weights)
+        for r in found:
+            out[r.token] = max(out.get(r.token, 0.0), weights[names[r.asked]] * r.sim * damp)
+        return out
+
+
+def dense_space(rows: DataFrame, dims: int = 192) -> Space:
+    """The space of a corpus' ``weighted_rows``: its leading singular directions and every row in them."""
+    ranks = held(sparse.token_ranks(tx.postings_of(rows)), "ranks")
+    own = held(sparse.vectors(tx.postings_of(rows), ranks), "vectors")
+    terms = svd.fit(own, ranks.count(), dims)
+    return Space(ranks, terms, held(svd.encode(own, terms), "dense"))
+
+
 def mix(scoped: DataFrame, whole: DataFrame, context: float = 0.6) -> DataFrame:
     """The named party's words and the whole conversation, weighed."""
     other = whole.select("id", F.col("score").alias("w"))
@@ -87,7 +135,7 @@ def expand(scores: DataFrame, rows: DataFrame, weights: dict[str, float], terms:
         return weights
     # the best fiftieth, six rows at least, and all that tie with its last: one rule at every size
     some = scores.where("score > 0")
-    least = some.agg(F.percentile("score", F.lit(max(0.0, 1 - max(6, n // 50) / positive)))).first()[0]
+    least = select.percentile(some, "score", max(0.0, 1 - max(6, n // 50) / positive))
     kept = held(some.where(F.col("score") >= max(least, 0.4 * best)).select("id"), "relevant")
     size = kept.count()
     if size < 3:
@@ -104,12 +152,12 @@ def expand(scores: DataFrame, rows: DataFrame, weights: dict[str, float], terms:
 def cut(scores: DataFrame) -> tuple[float, float]:
     """The score from which a row meets the question, and the spread of scores."""
     top = [r.score for r in scores.orderBy(F.desc("score")).limit(3).collect()]
-    mean, spread, median, n = scores.agg(F.avg("score"), F.stddev_pop("score"), F.percentile("score", 0.5), F.count("*")).first()
+    mean, spread, n = scores.agg(F.avg("score"), F.stddev_pop("score"), F.count("*")).first()
     if not n or not top or top[0] <= 0:
         return math.inf, 0.0
     at = max(0.20 * sum(top) / len(top), 0.02, mean + 2 * spread)
     if scores.where(F.col("score") >= at).count() > 0.5 * n:
-        at = max(at, median)
+        at = max(at, select.percentile(scores, "score", 0.5))
     return at, spread
 
 
@@ -164,29 +212,55 @@ def evidence(docs: DataFrame, weights: dict[str, float], text: str = "text") ->
     return docs.select("id", F.col(text).alias("text")).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, quote string")
 
 
-def judge(docs: DataFrame, question: str, scoped: Callable[[str], DataFrame | None] | DataFrame | None = None) -> tuple[DataFrame, Analysis]:
-    """Rows (id, score, value, confidence, quote) for every row of docs (id, text), ids once each.
+@dataclass
+class Index:
+    """What judging needs of a corpus: its texts, vocabulary and weighted rows, and its dense space if there is one."""
 
-    ``scoped`` (id, text), or a function of the party that the question names, gives that
-    party's words; without it the whole text is scored. Texts and question meet on stems.
-    """
+    docs: DataFrame
+    vocab: DataFrame
+    n_tokens: int
+    rows: DataFrame
+    space: Space | None = None
+
+
+def index(docs: DataFrame, dense: int = 0) -> Index:
+    """The index of docs (id, text), ids once each; ``dense`` is the number of directions of its dense space, 0 for none."""
     docs = held(spread(docs.select("id", F.coalesce("text", F.lit("")).alias("text"))), "docs")
     counts = held(tx.term_counts(docs, "id", "text", stems=True), "counts")
     vocab = held(tx.vocabulary(tx.counted_frequencies(counts), F.lit(docs.count())), "vocabulary")
     n_tokens = vocab.count()
     rows = held(tx.weighted_rows(counts, vocab, n_tokens), "rows")
+    return Index(docs, vocab, n_tokens, rows, dense_space(rows, dense) if dense else None)
+
+
+def judge(docs: DataFrame | Index, question: str, scoped: Callable[[str], DataFrame | None] | DataFrame | None = None, dense: int = 0) -> tuple[DataFrame, Analysis]:
+    """Rows (id, score, value, confidence, quote) for every row of docs (id, text), ids once each, or of their ``index``.
+
+    ``scoped`` (id, text), or a function of the party that the question names, gives that
+    party's words; without it the whole text is scored. Texts and question meet on stems.
+    With a dense space the question is widened by the terms of the nearest vectors, and
+    ``DENSE`` of a score is the cosine in it; without one, by terms that occur in the same rows.
+    """
+    own_index = docs if isinstance(docs, Index) else index(docs, dense)
+    docs, vocab, rows, space = own_index.docs, own_index.vocab, own_index.rows, own_index.space
     asked = analyse(question, vocab)
     ids = docs.select("id")
     party = (scoped(asked.scope) if asked.scope != "all" else None) if callable(scoped) else scoped
-    own = None
+    own, own_dense = None, space.vectors if space else None
     if party is not None:
-        own = held(tx.weighted_rows(tx.term_counts(spread(party.select("id", "text")), "id", "text", stems=True), vocab, n_tokens), "party")
+        own = held(tx.weighted_rows(tx.term_counts(spread(party.select("id", "text")), "id", "text", stems=True), vocab, own_index.n_tokens), "party")
+        own_dense = held(svd.encode(sparse.vectors(tx.postings_of(own), space.ranks), space.terms), "dense") if space else None
+    query = space.query(asked.weights) if space else []
 
     def run(weights: dict[str, float], gate: list[str]) -> DataFrame:
         whole = score(with_any(rows, weights), ids, weights, gate)
-        return held(whole if own is None else mix(score(with_any(own, weights), ids, weights, gate), whole), "scores")
+        first = whole if own is None else score(with_any(own, weights), ids, weights, gate)
+        first = with_dense(first, own_dense, query) if space else first
+        if own is not None:  # the whole conversation is context: its words alone count, by the same share
+            first = mix(first, whole.withColumn("score", (1 - DENSE) * F.col("score")) if space else whole)
+        return held(first, "scores")
 
-    near = nearest_terms(rows, asked.weights)
+    near = space.nearest_terms(asked.weights) if space else nearest_terms(rows, asked.weights)
     gate = sorted({*asked.gate, *[t for t in near if t not in asked.weights]})
     first = run(near, gate)
     wider = expand(first, rows, near)

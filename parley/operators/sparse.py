@@ -9,7 +9,8 @@ vectors are a candidate pair only if at some shared token the product of the wei
 plus the product of the norms behind it reaches ``least``. Candidates are verified on
 whole vectors; nothing is approximate and nothing is capped.
 
-Nearest neighbours take two such joins. The first looks for products from ``START``
+Where the floor is so low that prefixes are hardly shorter than whole vectors, blocks of
+whole lists are scanned instead. Otherwise nearest neighbours take two joins. The first looks for products from ``START``
 on; the products that it verifies give each vector a bound that its k-th neighbour
 reaches at least, and only vectors without k neighbours yet join again, each from its
 own bound on.
@@ -37,6 +38,10 @@ from parley.sources.tables import held
 START = 0.45
 #: Vectors of one part of a token's list.
 LIST = 20_000
+#: Whole lists are scanned where the lists of prefixes meet in more than one in so many of their pairs; a pair costs the join that much more.
+SCAN = 10
+#: Vectors of one block of a scan.
+SCANNED = 4096
 #: Vectors of one block; the pairs of two blocks are verified together.
 BLOCK = 1024
 #: Rows of a class from which its neighbours are sent to the tasks instead of its rows to one task.
@@ -162,18 +167,80 @@ def similar(rows: DataFrame, floor: float, decimals: int = DECIMALS) -> DataFram
     return products(candidates(own, own, n, both_ways=True), rows, n).select("left", "right", F.round("dot", decimals).alias("sim")).where(F.col("sim") >= floor)
 
 
+def list_pairs(offered: DataFrame) -> float:
+    """In how many pairs of vectors the lists of (rank) rows meet."""
+    return offered.groupBy("rank").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")), F.lit(0.0))).first()[0]
+
+
+def scan(asking: DataFrame, rows: DataFrame, n: int, k: int, floor: float, decimals: int) -> DataFrame:
+    """Rows (left, right, sim, rank), as ``nearest`` gives them, from whole lists: a task has the lists of one block of vectors.
+
+    A vector of ``asking`` goes to every block once; only its k best of each block are handed on.
+    """
+    kind, blocks = rows.schema["id"].dataType.simpleString(), max(1, -(-n // SCANNED), min(4, n // 64))
+    dealt = rows.select("id", "ranks", "weights", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    sent = asking.select(*[F.col(c).alias(c) for c in ("id", "ranks", "weights")], F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("part"))
+
+    def csr(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = pc.list_value_length(t["ranks"].combine_chunks()).to_numpy(zero_copy_only=False)
+        return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), t["ranks"].combine_chunks().flatten().to_numpy(), t["weights"].combine_chunks().flatten().to_numpy()
+
+    def run(asked: pa.Table, own: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], []]
+        if asked.num_rows and own.num_rows:
+            asked, own = asked.combine_chunks(), own.sort_by("id").combine_chunks()
+            until, ranks, weights = csr(own)
+            known, terms = np.unique(ranks, return_inverse=True)
+            order = np.argsort(terms, kind="stable")
+            docs = np.repeat(np.arange(own.num_rows), np.diff(until))[order]
+            weights, first = weights[order], np.searchsorted(terms[order], np.arange(len(known) + 1))
+            ends, mine, w = csr(asked)
+            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            met = known[at] == mine
+            self_at = pc.index_in(asked["id"].combine_chunks(), value_set=own["id"].combine_chunks()).fill_null(-1).to_numpy()
+            for x in range(asked.num_rows):
+                some = np.flatnonzero(met[ends[x] : ends[x + 1]]) + ends[x]
+                low, sizes = first[at[some]], first[at[some] + 1] - first[at[some]]
+                if not len(some):
+                    continue
+                upto = np.cumsum(sizes)
+                flat = np.arange(upto[-1]) + np.repeat(low - (upto - sizes), sizes)
+                sims = np.round(np.bincount(docs[flat], weights=weights[flat] * np.repeat(w[some], sizes), minlength=own.num_rows), decimals)
+                if self_at[x] >= 0:
+                    sims[self_at[x]] = -1.0
+                good = np.flatnonzero(sims >= floor) if floor > 0 else np.flatnonzero(sims > 0)
+                if len(good) > k:  # rows of a block are in order of id, so equals stay in it
+                    good = good[sims[good] >= np.partition(sims[good], len(good) - k)[len(good) - k]]
+                    good = good[np.argsort(-sims[good], kind="stable")[:k]]
+                for to, value in zip(out, (np.full(len(good), x), good, sims[good])):
+                    to.append(value)
+        left, right, sim = (np.concatenate([np.empty(0, int), *x]) for x in out)
+        return pa.table({"left": asked["id"].combine_chunks().take(pa.array(left.astype(int))), "right": own["id"].combine_chunks().take(pa.array(right.astype(int))), "sim": pa.array(sim.astype(float))})
+
+    whole = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = sent.withColumn("block", whole).groupBy("part", "block")
+    found = asked.cogroup(dealt.withColumn("part", whole).groupBy("part", "block")).applyInArrow(run, f"left {kind}, right {kind}, sim double")
+    return best(found, k)
+
+
 def nearest(rows: DataFrame, k: int, floor: float, ask: DataFrame | None = None, decimals: int = DECIMALS, start: float = START) -> DataFrame:
     """Rows (left, right, sim, rank): the k most similar others of each vector, by their rounded product, ties to the lower id.
 
     ``rows`` has (id, ranks, weights), ids once each; neighbours reach ``floor`` (or are above 0 where it is 0).
-    ``ask`` (id) names the vectors that look for neighbours, all by default.
+    ``ask`` (id) names the vectors that look for neighbours, all by default. Where prefixes
+    are hardly shorter than whole vectors, whole lists are scanned instead; the result is the same.
     """
     (reach, n), slack = reach_of(rows), 0.5 * 10.0**-decimals
+    asking = rows if ask is None else rows.join(ask.select("id"), "id", "left_semi")
+    every = list_pairs(rows.select(F.explode("ranks").alias("rank")))
+    offered = held(prefixes(rows.withColumn("least", F.lit(floor - slack)), reach), "offered")
+    if SCAN * list_pairs(offered) > every:
+        return scan(asking, rows, n, k, floor, decimals)
     enough = F.col("sim") > 0 if floor <= 0 else F.col("sim") >= floor
     start = max(start, floor)
     least = F.lit(start - slack)
-    asking = rows.withColumn("least", least) if ask is None else rows.join(ask.select("id"), "id", "left_semi").withColumn("least", least)
-    offered = held(prefixes(rows.withColumn("least", least), reach), "offered")
+    if start > floor:
+        offered = held(prefixes(rows.withColumn("least", least), reach), "offered")
     asked = offered if ask is None else prefixes(asking.withColumn("least", least), reach)
     pairs = products(candidates(asked, offered, n, both_ways=ask is None), rows, n).select("left", "right", F.round("dot", decimals).alias("sim")).where("sim > 0")
     seen = held(pairs, "verified")
@@ -189,10 +256,10 @@ def nearest(rows: DataFrame, k: int, floor: float, ask: DataFrame | None = None,
     lowest = open_.agg(F.min("least")).first()[0]
     if lowest is None:
         return top
+    # what the open vectors find from their bounds on holds all that they have found before
     more = candidates(prefixes(open_, reach), prefixes(rows.withColumn("least", F.lit(lowest)), reach), n)
-    fresh = more.join(seen.select("left", "right"), ["left", "right"], "left_anti")
-    found = products(fresh, rows, n).select("left", "right", F.round("dot", decimals).alias("sim")).where(enough)
-    return best(top.select("left", "right", "sim").unionByName(held(found, "verified")), k)
+    found = best(products(more, rows, n).select("left", "right", F.round("dot", decimals).alias("sim")).where(enough), k)
+    return top.join(open_.select(F.col("id").alias("left")), "left", "left_anti").select("left", "right", "sim", "rank").unionByName(found.select("left", "right", "sim", "rank"))
 
 
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

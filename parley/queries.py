@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import scalar
 from parley.functions import text as tx
-from parley.operators import aggregate, cluster, joins, judge, similarity, spans
+from parley.operators import aggregate, cluster, joins, judge, similarity, spans, sparse, svd
 from parley.plans import binding as bindings
 from parley.plans import lower
 from parley.plans.compiler import Compiler
@@ -534,8 +534,10 @@ def group_names(spark, d):
 
 @query()
 def dense_projection(spark, d):
-    vocab, postings = _postings(spark, d)
-    return cluster.projection(postings)
+    _, postings = _postings(spark, d)
+    ranks = tables.held(sparse.token_ranks(postings), "ranks")
+    rows = tables.held(sparse.vectors(postings, ranks), "vectors")
+    return svd.encode(rows, svd.fit(rows, ranks.count()))
 
 
 # -- sources --------------------------------------------------------------------

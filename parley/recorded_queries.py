@@ -231,6 +231,23 @@ def gated_scores(spark, d):
     return judge.score(_postings(spark, d)[1], t(spark, d, "documents").select(F.col("doc_id").alias("id")), {"worthless": 0.8, "clown": 0.6}, ["clown"])
 
 
+@query(f"""with {_TF}, {_VOCAB}, w as (select id, token, (1 + ln(tf)) * idf as w from tf join vocab using (token)), u as (select id, token, w / sqrt(sum(w * w) over (partition by id)) as w from w),
+s as (select id, round(sum(case token when 'worthless' then 0.8 * w else 0.6 * w end), 6) as s, bool_or(token = 'clown') as g from u where token in ('worthless', 'clown') group by 1),
+v as (select vec_id as id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as v from embeddings),
+c as (select a.id, greatest(list_inner_product(a.v, b.v), 0.0) as c from v a, v b where b.id = 0)
+select doc_id as id, round(0.8 * case when coalesce(g, false) then s else 0.0 end + 0.2 * coalesce(c, 0.0), 6) as score from documents left join s on s.id = doc_id left join c on c.id = doc_id""")
+def dense_mixed_scores(spark, d):
+    """Lexical scores with the dense part; the vectors are given ones, the question's is that of row 0."""
+    own = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return judge.with_dense(gated_scores(spark, d), own, own.where("id = 0").first().v)
+
+
+@query()
+def dense_judged_rows(spark, d):
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return judge.judge(docs, "does the user call someone a worthless idiot?", dense=192)[0]
+
+
 @query("""with s as (select doc_id as id, n_chars / 1000.0 as score from documents), c as (select greatest(0.20 * (select avg(score) from (select score from s order by score desc limit 3)), 0.02, avg(score) + 2 * stddev_pop(score)) as c, stddev_pop(score) as d from s)
 select id, score >= c as value, round(least(0.97, 0.5 + 0.47 * least(1.0, 2.6 * abs(score - c) / d)), 6) as confidence from s cross join c""")
 def cut_verdicts(spark, d):

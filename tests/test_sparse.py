@@ -35,8 +35,10 @@ def plain_neighbours(rows, k, floor):
     return sorted(out)
 
 
-@pytest.mark.parametrize("floor", [0.0, 0.2, 0.45, 0.9])
-def test_neighbours_equal_brute_force(spark, floor):
+@pytest.mark.parametrize(("floor", "joined"), [(0.0, False), (0.0, True), (0.2, True), (0.45, False), (0.9, True)])
+def test_neighbours_equal_brute_force(spark, monkeypatch, floor, joined):
+    if joined:
+        monkeypatch.setattr(sparse, "SCAN", 0)
     rows = unit_rows(np.random.default_rng(1), 150, 80, 9, copies=40)
     got = sparse.neighbours(frame(spark, rows), 4, floor)
     assert sorted((r.left, r.right, r["rank"]) for r in got.collect()) == plain_neighbours(rows, 4, floor)
@@ -45,6 +47,7 @@ def test_neighbours_equal_brute_force(spark, floor):
 def test_long_lists_and_crowded_classes_change_nothing(spark, monkeypatch):
     rows = unit_rows(np.random.default_rng(2), 80, 12, 6, copies=60)
     want = plain_neighbours(rows, 3, 0.0)
+    monkeypatch.setattr(sparse, "SCAN", 0)
     monkeypatch.setattr(sparse, "LIST", 7)
     monkeypatch.setattr(sparse, "CROWD", 9)
     assert sorted((r.left, r.right, r["rank"]) for r in sparse.neighbours(frame(spark, rows), 3, 0.0).collect()) == want
