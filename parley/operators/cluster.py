@@ -53,7 +53,7 @@ def link(postings: DataFrame, assigned: DataFrame, floor: float = 0.15) -> DataF
     lowers a group's similarity to a third one below the better of its parts', so all pairs
     that are each other's most similar group are merged in one round, and the result is that
     of merging one pair at a time. A round looks only for the nearest groups of new groups and
-    of those whose nearest was merged, by ``sparse.nearest``; it never compares all pairs.
+    of those whose nearest was merged, by ``sparse.nearest``, and groups without one leave the rounds.
     Two groups are left apart. Once few groups are left their rounds run on the driver, with the same result.
     """
     spark, kind = assigned.sparkSession, assigned.schema["group"].dataType.simpleString()
@@ -66,6 +66,11 @@ def link(postings: DataFrame, assigned: DataFrame, floor: float = 0.15) -> DataF
     home = held(sizes.select("group", F.col("group").alias("to")), "homes")
     near = held(sparse.nearest(groups, 1, floor, decimals=9), "near") if n > MAX_LOCAL else None
     while n > MAX_LOCAL and n + others > 2:
+        groups = held(groups.join(near.select(F.col("left").alias("id")), "id", "left_semi"), "groups")
+        others, n = others + n, groups.count()
+        others -= n  # a group that nothing is similar enough to stays as it is: merging others never brings one nearer
+        if n <= MAX_LOCAL:
+            break
         merged = held(mutual(near, 0.0).select(F.col("right").alias("gone"), F.col("left").alias("keep")), "merged")
         if merged.isEmpty():
             return assigned.join(home, "group").select("id", F.col("to").alias("group"))
