@@ -74,7 +74,8 @@ class Chunks(dict):
 
     A chunk of plain letters, perhaps with marks behind it, is one or two words to
     this vocabulary's splitter whatever surrounds it: they go to the library's merge
-    model one by one. Any other chunk goes through the library's whole pipeline.
+    model one by one. Any other chunk goes through the library's whole pipeline, and
+    so does every whole text where the file splits in another way.
     """
 
     def __init__(self, path: str, width: str):
@@ -128,6 +129,8 @@ class Chunks(dict):
         return got
 
     def encode(self, text: str) -> bytes:
+        if not self.simple:  # pieces of another file may hold blanks: nothing is cut beforehand
+            return b"".join([self.raw[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 

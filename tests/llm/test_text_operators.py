@@ -112,6 +112,18 @@ def test_token_files_of_repeated_null_and_no_rows(spark, monkeypatch):
     assert tokenfile.digests(spark, df.limit(0), path, 2).count() == 0
 
 
+def test_pieces_with_blanks_of_another_tokenizer_are_kept_whole(spark, tmp_path):
+    from tokenizers import Tokenizer, models
+
+    own = Tokenizer(models.BPE(vocab={"a": 0, "b": 1, " ": 2, "a ": 3, "a b": 4, "bb": 5}, merges=[("a", " "), ("a ", "b"), ("b", "b")]))
+    own.save(str(tmp_path / "other.json"))
+    texts = ["a b a", "bb a bbb", "", None, "ab  a b"]
+    got = {r.doc_id: r for r in tokenfile.digests(spark, frame(spark, texts), str(tmp_path / "other.json"), end_id=5).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*own.encode(t or "", add_special_tokens=False).ids, 5], "<u4")
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 # -- personal data --------------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
