@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from http import HTTPStatus
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,31 +25,23 @@ from parley.plans.binding import Binding
 from parley.plans.compiler import Compiler, QuerySpec, inherit
 from parley.sources.tables import Store, held, spread
 
-# The error codes that traces record, and what to do about each.
-ERRORS = {
-    "provider_model_overloaded_529": ("Model overloaded", "The provider took the request but had no capacity for its model. It passes: try again at growing intervals, or fall back on a second model."),
-    "provider_rate_limit_429": ("Rate limited", "The provider limits this key or workspace. If it goes on, send fewer requests at once or spend fewer tokens."),
-    "gateway_upstream_timeout_504": ("Gateway timeout", "The gateway stopped waiting for the provider. The request is mostly too large: shorten it, stream it or cut the work into steps."),
-    "upstream_context_length_exceeded": ("Context exceeded", "The request is longer than the model reads. Cut the input into pieces or take a model of longer context."),
-    "provider_content_filter_451": ("Content filter", "The provider's own filter refused the content. Read the redacted input before taking it for a mistake."),
-    "tool_upstream_error": ("Tool error", "The application's own tool failed, not the model. Mend the tool or what it depends on, and give the agent another way."),
-}
 STATUSES = ("awaiting_confirmation", "queued", "evaluating", "aggregating", "synthesizing", "complete", "paused_budget", "paused_provider", "failed")
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, binding: Binding, store: Store | None = None, now: str = "2024-01-31 00:00:00", judge: Judge | None = None, budget: float | None = None, dims: int = 192):
+    def __init__(self, spark: SparkSession, binding: Binding, store: Store | None = None, now: str = "2024-01-31 00:00:00", judge: Judge | None = None, budget: float | None = None, dims: int = 192, errors: dict[str, tuple[str, str]] | None = None):
         """``judge`` judges rows in place of the local one, as long as it has cost less than ``budget``.
 
         ``dims`` is the number of directions of the dense part of local judgments and of ``encode``; 0 leaves it out.
+        ``errors`` (code to title and text) is what a deployment knows of its error codes.
         """
         self.spark, self.binding, self.store = spark, binding, store
         self.aspects = Aspects(store) if store else None
         self.now, self.judge, self.budget = now, judge, budget
         self._values: DataFrame | None = None
         self._text: tuple[DataFrame, ...] | None = None
-        self._alias: dict[str, str] = {}
-        self.dims, self._index = dims, None
+        self._alias: DataFrame | None = None
+        self.dims, self._index, self.errors = dims, None, errors or {}
 
     # -- questions ------------------------------------------------------------
 
@@ -94,9 +87,8 @@ class Engine:
         if self._text is None:
             docs = held(spread(self.docs()), "docs")
             counts = held(tx.term_counts(docs, "id", "text", stems=True), "counts")
-            self._alias = tx.alias_table(counts)
-            if self._alias:
-                counts = held(tx.term_counts(docs, "id", "text", stems=True, alias=self._alias), "counts")
+            self._alias = held(tx.alias_rows(counts), "aliases")
+            counts = held(tx.aliased_counts(docs, counts, self._alias), "counts")
             vocab = held(tx.vocabulary(tx.counted_frequencies(counts), F.lit(docs.count())), "vocabulary")
             self._text = docs, vocab, held(tx.weights(counts, vocab, vocab.count()), "postings")
         return self._text
@@ -120,12 +112,17 @@ class Engine:
         found = similarity.pair_scores(self.index().space.vectors, "id", "v", query) if any(query) else self.index().docs.select("id", F.lit(0.0).alias("score")).limit(0)
         return found.select("id", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "id").limit(size)
 
+    def _aliases(self, words: list[str]) -> dict[str, str]:
+        """The index's aliases of a question's words."""
+        stems = [tx.plain_stem(w) for w in words]
+        return {r.token: r.base for r in self._alias.where(F.col("token").isin(stems or [""])).collect()}
+
     def _clusters(self, spec: QuerySpec, dropped: list[str]) -> answers.Answer:
         docs, vocab, postings = self.semantic()
         ids = lower.eligible(spec, self.binding).select(self.binding.get("id").alias("id"))
         if spec.focus:
             n = ids.count()
-            focus = tx.folded(spec.focus, True, self._alias, {})
+            focus = tx.folded(spec.focus, True, self._aliases(spec.focus), {})
             idf = {r.token: r.idf for r in vocab.where(F.col("token").isin(focus)).collect()}  # a question's words
             hits = similarity.search(postings, vocab, dict.fromkeys(cluster.topical(focus, idf), 1.0), floor=0.0)
             narrowed = similarity.focus(held(ids.join(hits, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score")), "focus"), n)
@@ -204,7 +201,7 @@ class Engine:
     def search(self, question: str, page: int = 0, size: int = 25) -> DataFrame:
         """Rows (id, score) of one page of a semantic ranking."""
         _, vocab, postings = self.semantic()
-        words = tx_words(question, self._alias)
+        words = tx_words(question, self._aliases(re.findall(tx.TOKEN, question.casefold())))
         hits = similarity.search(postings, vocab, {w: float(words.count(w)) for w in words}).limit((page + 1) * size)
         return hits.offset(page * size)
 
@@ -253,8 +250,12 @@ class Engine:
         }
 
     def lookup_error(self, code: str) -> dict:
-        title, text = ERRORS.get(code, ("Unknown code", "No explanation is on file for this code."))
-        return {"code": code, "title": title, "explanation": text}
+        """What is known of an error code: the deployment's own words, else its name and what its HTTP status says, if it ends in one."""
+        name, number = (m[1], int(m[2])) if (m := re.fullmatch(r"(.*?)_?(\d{3})", code)) else (code, 0)
+        status = next((x for x in HTTPStatus if x == number), None)
+        said = f"HTTP {number}: {status.phrase}." + (f" {status.description}." if status.description else "") if status else ""
+        title, text = self.errors.get(code, (scalar.plain_words(name), said or "Nothing more is on file for this code."))
+        return {"code": code, "title": title, "explanation": text, "known": code in self.errors or status is not None}
 
     # -- read-only tools ------------------------------------------------------
 

@@ -95,3 +95,8 @@ def contains_any(columns: list[Column], text: str) -> Column:
     for c in columns:
         out = out | F.coalesce(c.ilike(f"%{escaped}%"), F.lit(False))
     return out
+
+
+def plain_words(name: str) -> str:
+    """A name with underscores as words, the first in upper case."""
+    return name.replace("_", " ").strip().capitalize()

@@ -18,7 +18,7 @@ from parley.operators.similarity import mutual
 from parley.sources.tables import held
 
 #: Groups up to which linkage brings their pairs, at most half its square, to the driver.
-MAX_LOCAL = 2000
+MAX_LOCAL = 4000
 
 
 def place(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
@@ -103,7 +103,9 @@ def _linked(sizes: pa.Table, pairs: pa.Table, floor: float, others: int = 0) ->
     dot[left, right] = dot[right, left] = pairs["dot"].to_numpy()
     home, own = np.arange(len(n)), np.arange(len(n))  # own: the group that each row of the matrix stands for
     while len(n) > 1 and len(n) + others > 2:
-        mean = np.round(dot / n / n[:, None], 9)
+        mean = dot / n  # beside the products, the one matrix of a round
+        mean /= n[:, None]
+        np.round(mean, 9, out=mean)
         np.fill_diagonal(mean, -1)
         best, at = mean.argmax(1), np.arange(len(n))  # the first of equals, so ties follow one order of all pairs
         keep = np.flatnonzero((best[best] == at) & (at < best) & (mean[at, best] >= floor))

@@ -93,9 +93,9 @@ class StreamJudge:
         rows = tx.weighted_rows(counts, vocab, vocab.count())
         found = judge.score(judge.with_any(rows, about["weights"]), docs.select("id"), about["weights"], about["gate"]).join(judge.evidence(docs, about["weights"]), "id")
         scores = self._write(found, f"scores/version={version}", batch)
-        s = F.col("score").cast("decimal(38,6)")
+        s = F.col("score").cast("decimal(12,6)")
         top = F.array(*[F.lit(r.score) for r in scores.orderBy(F.desc("score")).limit(TOP).collect()]).cast("array<double>")
-        self._write(scores.agg(F.count("*").alias("n"), F.coalesce(F.sum(s), F.lit(0)).cast("decimal(38,6)").alias("total"), F.coalesce(F.sum((s * s).cast("decimal(38,12)")), F.lit(0)).cast("decimal(38,12)").alias("squares")).withColumn("top", top), f"moments/version={version}", batch)
+        self._write(scores.agg(F.count("*").alias("n"), F.coalesce(F.sum(s), F.lit(0)).cast("decimal(38,6)").alias("total"), F.coalesce(F.sum(s * s), F.lit(0)).cast("decimal(38,12)").alias("squares")).withColumn("top", top), f"moments/version={version}", batch)
 
     def batch(self, rows: DataFrame, batch: int) -> None:
         """Judges the rows (id, text) of a batch under the current version; a repeated batch id replaces its own rows."""

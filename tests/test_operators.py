@@ -245,7 +245,8 @@ def test_engine_end_to_end(spark, tmp_path):
     assert engine.trace_detail("tr-00000003").count() > 0
     assert engine.search("charged twice invoice").count() > 0
     assert [r.relevance for r in engine.search_traces("charged twice invoice", size=5).collect()] == sorted([r.score for r in engine.search("charged twice invoice", size=5).collect()], reverse=True)
-    assert engine.lookup_error("tool_upstream_error")["title"] == "Tool error" and engine.lookup_error("nosuch")["title"] == "Unknown code"
+    assert engine.lookup_error("tool_upstream_error")["title"] == "Tool upstream error" and not engine.lookup_error("nosuch")["known"]
+    assert engine.lookup_error("provider_rate_limit_429")["explanation"].startswith("HTTP 429: Too Many Requests.")
     assert engine.representative_traces(3).count() == 3
     assert {"app", "cost"} <= {f["key"] for f in engine.list_shape_fields()}
 
@@ -319,8 +320,8 @@ def test_the_dense_part_widens_and_softens_judgments(spark):
     talk = [f"the parcel {'cracked' if i % 2 else 'shattered'} inside its carton{i % 5}" for i in range(12)]
     talk += [f"billing asked about invoice{i % 6} and payment{i % 4}" for i in range(24)] + ["an order of tea came"]
     docs = spark.createDataFrame(list(enumerate(talk)), "id long, text string")
-    own = judge.index(docs, dense=8)
-    near = own.space.nearest_terms({"shatter": 1.0}, at=0.3, per=5)
+    own = judge.index(docs, dense=3)
+    near = own.space.nearest_terms({"shatter": 1.0}, at=0.3, per=15)
     assert any(t.startswith("crack") for t in near) and near["shatter"] == 1.0
     asked = "did the parcel shatter?"
     plain = {r.id: r for r in judge.judge(docs, asked)[0].collect()}
@@ -331,6 +332,17 @@ def test_the_dense_part_widens_and_softens_judgments(spark):
     assert abs(sum(x * x for x in query) - 1) < 1e-9 and own.space.query({"nosuchword": 1.0}) == [0.0] * own.space.terms.width
 
 
+def test_many_aliases_are_joined_with_the_same_result(spark, monkeypatch):
+    said = ["my shipment failed. The ship sails", "ship it now!", "", None, "cancellation please\ncancel the order", "the ship the ship"]
+    docs = spark.createDataFrame(list(enumerate(said)), "id long, text string")
+    counts = tx.term_counts(docs, "id", "text", stems=True)
+    alias = tx.alias_rows(counts)
+    shown = lambda df: {r.id: dict(zip(r.terms, r.counts)) for r in df.collect()}
+    want = shown(tx.aliased_counts(docs, counts, alias))
+    monkeypatch.setattr(tx, "BROADCAST_TOKENS", 0)
+    assert alias.count() and shown(tx.aliased_counts(docs, counts, alias)) == want and want != shown(counts)
+
+
 def test_outcomes_are_told_where_they_stand_out():
     assert answer.outcome({"count": 10, "resolved": 0, "gave_up": 4, "top_failure": "timeout", "top_failure_n": 3}) == "Of these, no one got what they asked for and 3 met with timeout and 4 gave up."
     assert answer.outcome({"count": 10, "resolved": 2, "gave_up": 0}) == "Of these, only 2 of 10 were resolved."
