@@ -135,7 +135,7 @@ def test_singular_values_and_subspace_equal_numpy(spark, monkeypatch, small):
     if small:  # many blocks and many groups of columns
         monkeypatch.setattr(svd, "BLOCK", 64)
         monkeypatch.setattr(svd, "BYTES", 300 * 8 * 7)
-    space = svd.fit(df, 300, dims=20)
+    space = svd.fit(df, 300, dims=20, rounds=10, settled=0.003)
     _, values, right = np.linalg.svd(dense)
     assert np.allclose(space.values, values[:20], rtol=0.01)
     terms = np.zeros((300, 20))
