@@ -381,14 +381,15 @@ def tfidf_weights(spark, d):
 @query(f"""with {_TF}, c as (select lang as g, token, sum(tf) as n from tf join documents on doc_id = id group by 1, 2), s as (select *, sum(n) over (partition by g) as gn, sum(n) over (partition by token) as tn, sum(n) over () as a from c)
 select g as "group", token, n::bigint as n, round(n / gn * ln(1 + (n / gn) / ((tn - n + 1) / (greatest(a - gn, 1) + 1))) * case when contains(token, '_') then 1.8 else 1.0 end, 8) as weight from s where n >= 2""")
 def class_weights(spark, d):
-    langs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("group"))
-    counted = _tf(spark, d).join(langs, "id").groupBy("group", "token").agg(F.sum("tf").alias("n"))
+    # counts of a row's terms carry its language, so that only (language, token) is shuffled
+    terms = tx.term_rows(tx.term_counts(tables.spread(t(spark, d, "documents").select("lang", "text")), "lang", "text"))
+    counted = tables.held(terms.groupBy(F.col("id").alias("group"), "token").agg(F.sum("tf").alias("n")), "counted")
     return tx.class_tfidf(counted).select("group", "token", "n", F.round("weight", 8).alias("weight"))
 
 
 @query()
 def redaction(spark, d):
-    out = tx.redact(t(spark, d, "documents").select("doc_id", "text"), "text")
+    out = tx.redact(tables.spread(t(spark, d, "documents").select("doc_id", "text")), "text")
     return out.select("doc_id", "redacted", (F.col("text") != F.col("redacted")).alias("changed"), tx.has_personal_data(F.col("text")).alias("personal"))
 
 
@@ -484,7 +485,7 @@ def set_operations(spark, d):
 @query(r"""select doc_id, case when length(s) <= 78 then s else regexp_replace(substr(s, 1, 78), '\s+\S*$', '') || '…' end as label
 from (select doc_id, regexp_replace(coalesce(list_filter(list_transform(regexp_extract_all(text, '[^.?!\n]*[.?!]+|[^.?!\n]+'), lambda x: trim(x)), lambda x: x <> '')[1], ''), '[.?!]+$', '') as s from documents)""")
 def sentence_labels(spark, d):
-    return t(spark, d, "documents").select("doc_id", tx.first_sentence_label(F.col("text")).alias("label"))
+    return tables.spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", tx.first_sentence_label(F.col("text")).alias("label"))
 
 
 @query(r"""select conv_id, turn, q is not null and q <> '' and contains(text, q) and not regexp_matches(q, '[0-9@_-]') as literal
