@@ -14,7 +14,7 @@ from parley.operators import aggregate, cluster, joins, judge, similarity, spans
 from parley.plans import binding as bindings
 from parley.plans import lower
 from parley.plans.compiler import Compiler
-from parley.sources import generator, tables
+from parley.sources import tables
 from parley.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -556,10 +556,20 @@ def migrated_columns(spark, d):
     return store.migrate("places", {"note": "none"})
 
 
-@query()
-def generated_traces(spark, d):
-    rows = generator.traces(spark, 200)
-    return rows.join(spans.derived_columns(generator.spans(rows)), "trace_id")
+@query("""with s as (select conv_id as trace_id, turn, case role when 'user' then 'user_message' when 'assistant' then 'assistant_message' else 'tool_call' end as type, text from conversations),
+c as (select trace_id, max(n) as n from (select trace_id, text, count(*) as n from s where type = 'tool_call' group by 1, 2) group by 1)
+select trace_id, count(*) filter (type = 'user_message')::bigint as turns, count(*) filter (type = 'tool_call')::bigint as tool_calls, round(sum(length(text)) / 1000.0, 6) as cost_usd, sum(length(text))::bigint as tokens_input,
+  greatest(sum(length(text)), 400)::bigint as duration_ms, arg_max(type, turn) as last_span_type, arg_min(text, turn) as user_request, case arg_max(type, turn) when 'user_message' then 'user' else 'agent' end as ended_by, coalesce(any_value(c.n), 0)::bigint as repeated_identical_calls
+from s left join c using (trace_id) group by 1""")
+def derived_traces(spark, d):
+    """The trace columns of the ingest contract from turns as spans; turns of neither party count as tool calls."""
+    kind = F.when(F.col("role") == "user", "user_message").when(F.col("role") == "assistant", "assistant_message").otherwise("tool_call")
+    size = F.char_length("text").cast("long")
+    own = t(spark, d, "conversations").select(
+        F.col("conv_id").alias("trace_id"), F.col("turn").alias("idx"), kind.alias("type"), F.when(kind == "tool_call", "notice").alias("name"), F.col("text").alias("content_redacted"),
+        (size / 1000.0).alias("cost_usd"), size.alias("tokens_in"), F.lit(0).cast("long").alias("tokens_out"), size.alias("duration_ms"), F.lit(None).cast("string").alias("error_code"),
+    )
+    return spans.derived_columns(own).select("trace_id", "turns", "tool_calls", "cost_usd", "tokens_input", "duration_ms", "last_span_type", "user_request", "ended_by", "repeated_identical_calls")
 
 
 import parley.recorded_queries  # noqa: E402,F401  registers more

@@ -170,29 +170,6 @@ def values_with_conversations(spark, d):
     return joins.beside(t(spark, d, "documents").select("doc_id"), values, "doc_id").select("doc_id", "toxic", F.col("toxic").isNotNull().cast("int").alias("known"))
 
 
-# -- the compiler -----------------------------------------------------------------
-
-#: question -> path, metric, aggregate, group, conditions, window or focus words
-PLANS = (
-    ("Which app costs the most?", "layer1", "cost", "sum", "app", ""),
-    ("average cost per conversation by model", "layer1", "cost", "avg", "model", ""),
-    ("Which conversation cost the most?", "layer1", "cost", "sum", "trace", ""),
-    ("spend week over week", "layer1", "cost", "sum", "week", ""),
-    ("How many conversations didn't get resolved?", "layer1", "traces", "count", "", "the_user_did_not_get_what_they_wanted"),
-    ("conversations in the last 7 days", "layer1", "traces", "count", "", "since:168h"),
-    ("What are people complaining about?", "layer2_cluster", "traces", "count", "", ""),
-    ("How many people asked about a refund policy?", "layer3_aspect", "traces", "count", "", ""),
-    ("500 conversations", "layer1", "traces", "count", "", ""),
-)
-
-
-@query("select * from (values " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in p) + ")" for p in PLANS) + ') as p(question, path, metric, "aggregate", group_by, predicates)')
-def compiled_plans(spark, d):
-    specs = [Compiler({}, NOW).compile(p[0]) for p in PLANS]
-    rows = [(s.question, s.path, s.metric, s.aggregate, s.group_by or "", ",".join(p.id for p in s.predicates)) for s in specs]
-    return spark.createDataFrame(rows, "question string, path string, metric string, aggregate string, group_by string, predicates string")
-
-
 # -- text -------------------------------------------------------------------------
 
 _STEM = r"""case when length({w}) <= 3 then {w} when length({w}) > 4 and {w} like '%ies' then left({w}, -3) || 'y' when regexp_matches({w}, '(ss|x|z|ch|sh)es$') then left({w}, -2) when regexp_matches({w}, '[^su]s$') then left({w}, -1)
