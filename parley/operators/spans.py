@@ -1,10 +1,11 @@
-"""Ordered views of a trace's spans; every window is partitioned by trace."""
+"""Ordered views of a trace's spans; traces of any length are dealt over tasks by ``scan``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from parley.operators.scan import LIMIT, scan
 
 
 def repeats(spans: DataFrame, trace: str, *same: str) -> DataFrame:
@@ -17,21 +18,24 @@ def repeats(spans: DataFrame, trace: str, *same: str) -> DataFrame:
     return spans.join(counted, cond).select(*spans.columns, "repeat_count")
 
 
-def neighbours(spans: DataFrame, trace: str, order: list[str], kind: str) -> DataFrame:
-    w = Window.partitionBy(trace).orderBy(*order)
-    return spans.withColumn("previous", F.lag(kind).over(w)).withColumn("next", F.lead(kind).over(w))
+def neighbours(spans: DataFrame, trace: str, order: list[str], kind: str, limit: int = LIMIT) -> DataFrame:
+    return scan(spans, trace, order, limit).shift(previous=(kind, 1), next=(kind, -1)).done()
 
 
-def around(spans: DataFrame, trace: str, order: list[str], kind: str, width: int = 2) -> DataFrame:
+def around(spans: DataFrame, trace: str, order: list[str], kind: str, width: int = 2, limit: int = LIMIT) -> DataFrame:
     """The kinds of the spans up to ``width`` before and behind, in order."""
-    w = Window.partitionBy(trace).orderBy(*order).rowsBetween(-width, width)
-    return spans.withColumn("around", F.collect_list(kind).over(w))
+    beside = {f"_a{width - k}": (kind, k) for k in range(width, -width - 1, -1)}
+    return scan(spans, trace, order, limit).shift(**beside).done().withColumn("around", F.array_compact(F.array(*beside))).drop(*beside)
+
+
+def share_of(cost: str, whole: str) -> Column:
+    return F.round(F.when(F.col(whole) > 0, 100 * F.col(cost) / F.col(whole)).otherwise(F.lit(0.0)), 4)
 
 
 def cost_share(spans: DataFrame, trace: str, cost: str) -> DataFrame:
-    """A span's cost in percent of its trace's."""
-    whole = F.sum(cost).over(Window.partitionBy(trace))
-    return spans.withColumn("cost_share", F.round(F.when(whole > 0, 100 * F.col(cost) / whole).otherwise(F.lit(0.0)), 4))
+    """A span's cost in percent of its trace's; sums are joined back, so no trace is sorted or held."""
+    sums = spans.groupBy(F.col(trace).alias("_trace")).agg(F.sum(cost).alias("_whole"))
+    return spans.join(sums, F.col(trace).eqNullSafe(F.col("_trace"))).withColumn("cost_share", share_of(cost, "_whole")).drop("_trace", "_whole")
 
 
 def positions(spans: DataFrame, trace: str, order: str, *same: str) -> DataFrame:
@@ -39,20 +43,19 @@ def positions(spans: DataFrame, trace: str, order: str, *same: str) -> DataFrame
     return spans.groupBy(trace, *same).agg(F.sort_array(F.collect_list(F.col(order) + 1)).alias("positions"))
 
 
-def running(spans: DataFrame, trace: str, order: list[str], amount: str, base: Column | float = 0.0) -> DataFrame:
+def running(spans: DataFrame, trace: str, order: list[str], amount: str, base: Column | float = 0.0, limit: int = LIMIT) -> DataFrame:
     """What had accumulated before each span."""
-    w = Window.partitionBy(trace).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("running", F.round(F.coalesce(F.sum(amount).over(w), F.lit(0.0)) + base, 4))
+    return scan(spans, trace, order, limit).before(_sum=amount).done().withColumn("running", F.round(F.coalesce("_sum", F.lit(0.0)) + base, 4)).drop("_sum")
 
 
-def islands(spans: DataFrame, trace: str, order: list[str], same: list[str], sums: list[str]) -> DataFrame:
+def islands(spans: DataFrame, trace: str, order: list[str], same: list[str], sums: list[str], limit: int = LIMIT) -> DataFrame:
     """Adjacent equal spans as one row with their number and sums."""
-    w = Window.partitionBy(trace).orderBy(*order)
-    new = F.lit(False)
-    for c in same:
-        new = new | ~F.col(c).eqNullSafe(F.lag(c).over(w))
-    first = F.row_number().over(w) == 1
-    marked = spans.withColumn("_new", (new | first).cast("int")).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    new = F.col("_place") == 1
+    for i, c in enumerate(same):
+        new = new | ~F.col(c).eqNullSafe(F.col(f"_before{i}"))
+    beside = scan(spans, trace, order, limit).place("_place").shift(**{f"_before{i}": (c, 1) for i, c in enumerate(same)})
+    marked = beside.then(lambda df: df.withColumn("_new", new.cast("int"))).before(_started="_new").done()
+    marked = marked.withColumn("island", F.coalesce("_started", F.lit(0)) + F.col("_new"))
     return marked.groupBy(trace, "island", *same).agg(F.count("*").alias("n"), *[F.round(F.sum(c), 4).alias(c) for c in sums])
 
 
@@ -110,10 +113,9 @@ def autopsy(traces: DataFrame, bridge: DataFrame, trace: str = "trace_id") -> Da
     return traces.join(called, trace, "left").select(trace, F.concat_ws(" ", opening, tools, size).alias("autopsy"))
 
 
-def explain(spans: DataFrame, trace: str, order: list[str], kind: str, cost: str) -> DataFrame:
+def explain(spans: DataFrame, trace: str, order: list[str], kind: str, cost: str, limit: int = LIMIT) -> DataFrame:
     """A sentence about each span: its place, its neighbours and its share of the cost."""
-    out = cost_share(neighbours(spans, trace, order, kind), trace, cost)
-    w = Window.partitionBy(trace).orderBy(*order)
-    out = out.withColumn("place", F.row_number().over(w)).withColumn("of", F.count("*").over(Window.partitionBy(trace)))
+    counted = scan(spans.withColumn("_each", F.lit(1)), trace, order, limit).shift(previous=(kind, 1), next=(kind, -1)).place("place").whole(of="_each", _whole=cost)
+    out = counted.done().withColumn("cost_share", share_of(cost, "_whole")).drop("_each", "_whole")
     after = F.when(F.col("previous").isNull(), F.lit("It opens the conversation")).otherwise(F.concat(F.lit("It follows a "), F.col("previous")))
     return out.withColumn("explanation", F.concat(F.lit("Step "), F.col("place").cast("string"), F.lit(" of "), F.col("of").cast("string"), F.lit(" is a "), F.col(kind), F.lit(". "), after, F.lit(" and holds "), F.format_string("%.1f", F.col("cost_share")), F.lit("% of its cost.")))
