@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import scalar
 from parley.functions import text as tx
-from parley.operators import aggregate, cluster, joins, similarity, spans
+from parley.operators import aggregate, cluster, joins, searchindex, similarity, spans
 from parley.operators import judge as judges
 from parley.operators.aspects import Aspects, Judge
 from parley.plans import answer as answers
@@ -29,11 +29,12 @@ STATUSES = ("awaiting_confirmation", "queued", "evaluating", "aggregating", "syn
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, binding: Binding, store: Store | None = None, now: str = "2024-01-31 00:00:00", judge: Judge | None = None, budget: float | None = None, dims: int = 192, errors: dict[str, tuple[str, str]] | None = None):
+    def __init__(self, spark: SparkSession, binding: Binding, store: Store | None = None, now: str = "2024-01-31 00:00:00", judge: Judge | None = None, budget: float | None = None, dims: int = 192, errors: dict[str, tuple[str, str]] | None = None, index: str | None = None):
         """``judge`` judges rows in place of the local one, as long as it has cost less than ``budget``.
 
         ``dims`` is the number of directions of the dense part of local judgments and of ``encode``; 0 leaves it out.
         ``errors`` (code to title and text) is what a deployment knows of its error codes.
+        ``index`` is a folder that ``write_index`` has filled: searches read it, and build nothing.
         """
         self.spark, self.binding, self.store = spark, binding, store
         self.aspects = Aspects(store) if store else None
@@ -42,6 +43,7 @@ class Engine:
         self._text: tuple[DataFrame, ...] | None = None
         self._alias: DataFrame | None = None
         self.dims, self._index, self.errors = dims, None, errors or {}
+        self.stored = searchindex.StoredIndex(spark, index) if index else None
 
     # -- questions ------------------------------------------------------------
 
@@ -198,8 +200,17 @@ class Engine:
         at = self.binding.get("started_at") if self.binding.has(lambda get: get("started_at")) else F.lit(0)
         return rows.withColumn("_at", at).orderBy(*order).offset(page * size).limit(size).drop("_at", "_id")
 
+    def write_index(self, folder: str) -> None:
+        """Stores the binding's text as an index that engines search without building their own."""
+        _, vocab, postings = self.semantic()
+        searchindex.write(folder, postings, vocab, self._alias)
+
     def search(self, question: str, page: int = 0, size: int = 25) -> DataFrame:
         """Rows (id, score) of one page of a semantic ranking."""
+        if self.stored:
+            spoken = re.findall(tx.TOKEN, question.casefold())
+            words = tx_words(question, self.stored.aliases([tx.plain_stem(w) for w in spoken]))
+            return self.stored.search({w: float(words.count(w)) for w in words}, (page + 1) * size).rows.offset(page * size)
         _, vocab, postings = self.semantic()
         words = tx_words(question, self._aliases(re.findall(tx.TOKEN, question.casefold())))
         hits = similarity.search(postings, vocab, {w: float(words.count(w)) for w in words}).limit((page + 1) * size)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parley.functions import scalar
 from parley.functions import text as tx
 from parley.operators import aggregate, cluster, joins, judge, similarity, spans, sparse, svd
+from parley.operators.scan import scan
 from parley.plans import binding as bindings
 from parley.plans import lower
 from parley.plans.compiler import Compiler
@@ -314,6 +315,16 @@ def span_islands(spark, d):
     return spans.islands(t(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_type"], ["value"])
 
 
+@query("""select conv_id, turn, role, lag(role) over w as before, lead(role, 2) over w as behind, row_number() over w as place,
+  (sum(length(text)) over (partition by conv_id order by turn nulls first, role nulls first, text nulls first rows between unbounded preceding and 1 preceding))::bigint as chars_before, (sum(length(text)) over (partition by conv_id))::bigint as chars
+from conversations window w as (partition by conv_id order by turn nulls first, role nulls first, text nulls first)""")
+def turn_scan(spark, d):
+    """Each turn with its neighbours, its place and the characters before it, of conversations of any length."""
+    turns = t(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.length("text").cast("long").alias("n"))
+    out = scan(turns, "conv_id", ["turn", "role", "text"]).shift(before=("role", 1), behind=("role", -2)).place("place").before(chars_before="n").whole(chars="n").done()
+    return out.withColumn("place", F.col("place").cast("long")).drop("text", "n")
+
+
 @query("""select conv_id, count(*)::bigint as spans, count(*) filter (role = 'user')::bigint as turns, arg_max(role, turn) as last_role, arg_min(text, turn) as opening,
 arg_max(text, turn) filter (role = 'user') as last_user_text, coalesce(string_agg(text, ' ' order by turn) filter (role = 'user'), '') as user_text from conversations group by 1""")
 def trace_shape(spark, d):
