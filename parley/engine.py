@@ -203,7 +203,7 @@ class Engine:
     def write_index(self, folder: str) -> None:
         """Stores the binding's text as an index that engines search without building their own."""
         _, vocab, postings = self.semantic()
-        searchindex.write(folder, postings, vocab, self._alias)
+        searchindex.write(folder, searchindex.rows_of(postings), vocab, self._alias)
 
     def search(self, question: str, page: int = 0, size: int = 25) -> DataFrame:
         """Rows (id, score) of one page of a semantic ranking."""

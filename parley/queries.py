@@ -367,9 +367,13 @@ def _tf(spark, d):
     return tx.term_rows(_counts(spark, d))
 
 
-def _postings(spark, d):
+def _vocabulary(spark, d):
     counts = tables.held(_counts(spark, d), "counts")
-    vocab = tables.held(tx.vocabulary(tx.counted_frequencies(counts), F.lit(counts.count())), "vocabulary")
+    return counts, tables.held(tx.vocabulary(tx.counted_frequencies(counts), F.lit(counts.count())), "vocabulary")
+
+
+def _postings(spark, d):
+    counts, vocab = _vocabulary(spark, d)
     return vocab, tx.weights(counts, vocab, vocab.count())
 
 

@@ -13,7 +13,7 @@ from parley.operators import aggregate, joins, judge, searchindex, similarity
 from parley.plans import answer, lower
 from parley.plans import binding as bindings
 from parley.plans.compiler import Compiler
-from parley.queries import _SENT, _STOP, _TF, _VOCAB, _postings, query, t
+from parley.queries import _SENT, _STOP, _TF, _VOCAB, _postings, _vocabulary, query, t
 from parley.sources import generator, tables
 
 NOW = "2024-01-31 00:00:00"
@@ -205,9 +205,9 @@ q as (select token, a * idf as q from {_ASKED} as a(token, a) join vocab using (
 select id, round(sum(w * q), 4) as score from u join m using (token) group by 1 having round(sum(w * q), 4) > 0.02 order by score desc, id limit 25""")
 def stored_search(spark, d):
     """The best 25 of ``ranked_search`` from an index in shared storage."""
-    vocab, postings = _postings(spark, d)
+    counts, vocab = _vocabulary(spark, d)
     folder = f"{tables.shared_dir(spark)}/parley/index-{uuid.uuid4().hex}"
-    searchindex.write(folder, tables.held(postings, "postings"), vocab)
+    searchindex.write(folder, tx.weighted_rows(counts, vocab, vocab.count()), vocab)
     return searchindex.StoredIndex(spark, folder).search({"worthless": 1.0, "clown": 2.0, "nosuchword": 1.0}, 25).rows
 
 
