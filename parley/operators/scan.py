@@ -76,6 +76,8 @@ class Scan:
 
     def place(self, name: str) -> Scan:
         """Adds a row's place in its key, from 1."""
+        if not self.long:
+            return replace(self, rows=self.rows.withColumn(name, F.row_number().over(self._window())))
         return replace(self, rows=self.rows.withColumn("_one", F.lit(1).cast("long"))).before(**{name: "_one"}).then(lambda df: df.withColumn(name, (F.coalesce(name, F.lit(0)) + 1).cast("int")).drop("_one"))
 
     def before(self, **wanted: str) -> Scan:
