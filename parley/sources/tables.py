@@ -14,9 +14,11 @@ LOCAL_DEFAULT = "/tmp/checkpoints/parley"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local default is set only where it is unset."""
+    """The session's ``spark.checkpoint.dir``; a local default is set only where it is unset and Spark runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         spark.sparkContext.setCheckpointDir(LOCAL_DEFAULT)
         named = LOCAL_DEFAULT
     return named.rstrip("/")

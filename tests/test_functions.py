@@ -1,7 +1,11 @@
+from types import SimpleNamespace
+
+import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import scalar
 from parley.functions import text as tx
+from parley.sources import tables
 
 
 def one(spark, column, **values):
@@ -98,3 +102,14 @@ def test_counted_terms_equal_the_tokens_of_columns(spark):
     vocab = tx.vocabulary(tx.counted_frequencies(counts), F.lit(4))
     shown = lambda df: sorted((r.id, r.token, round(r.weight, 9)) for r in df.collect())
     assert shown(tx.weights(counts, vocab, vocab.count())) == shown(tx.weights(counts, vocab))
+
+
+@pytest.mark.parametrize(("master", "named"), [("spark://host:7077", None), ("spark://host:7077", "hdfs://host/shared/"), ("local[4]", None)])
+def test_a_cluster_needs_a_shared_folder(master, named):
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda folder: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named), sparkContext=context)
+    if named or master.startswith("local"):
+        assert tables.shared_dir(session) == (named or tables.LOCAL_DEFAULT).rstrip("/")
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            tables.shared_dir(session)
