@@ -15,7 +15,11 @@ JSON object {tool_call_id, content}. Any other text is plain content.
    a cycle, of messages or of calls inside one, are marked and keep their order in it.
    Where an identifier is used again, the first call that has it is cited: in the
    citing message if there is one, else in the conversation.
-3. Arguments are checked against a table of schemas (name, required, types).
+3. Arguments are checked against the tools that the conversation declares: a ``system``
+   text that is a JSON object with ``tools``, {name, parameters} or {function: {name,
+   parameters}}, where parameters is a JSON schema with ``required`` and ``properties``.
+   The last declaration of the name before the call holds. Where there is none, a table
+   of schemas (name, required, types) does. A declaration stays plain content.
 4. Every message becomes one line of canonical JSON: keys sorted, no blanks.
 
 One row per message leaves, so a conversation of any length is never gathered; its
@@ -71,6 +75,27 @@ def calls_of(parsed: DataFrame) -> DataFrame:
     return each.withColumn("cites", F.array_distinct(F.coalesce(F.regexp_extract_all(canonical(F.col("arguments")), F.lit(r"\$\{([A-Za-z0-9_.:-]+)\}"), F.lit(1)), F.array().cast("array<string>"))))
 
 
+def declared(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Rows (conv_id, turn, name, required, types): the tools that system messages declare."""
+    own = messages.where((F.col(role) == "system") & F.ltrim(F.col(text)).startswith("{")).select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.try_parse_json(text).alias("v"))
+    each = own.select("conv_id", "turn", F.posexplode(_field(F.col("v"), "$.tools", "array<variant>")).alias("part", "t"))
+    tool = F.coalesce(_field(F.col("t"), "$.function", "variant"), F.col("t"))
+    each = each.withColumn("tool", tool).select("conv_id", "turn", "part", _field(F.col("tool"), "$.name", "string").alias("name"), _field(F.col("tool"), "$.parameters", "variant").alias("p"))
+    kinds = F.transform_values(_field(F.col("p"), "$.properties", "map<string,variant>"), lambda _, v: _field(v, "$.type", "string"))
+    each = each.where(F.col("name").isNotNull()).select("conv_id", "turn", "part", "name", _field(F.col("p"), "$.required", "array<string>").alias("required"), F.map_filter(kinds, lambda _, kind: kind.isNotNull()).alias("types"))
+    # of a turn's declarations of one name the last holds; those of repeated messages are ordered by what they say
+    last = F.max(F.struct("part", "required", F.array_sort(F.map_entries("types")).alias("types"))).alias("d")
+    return each.groupBy("conv_id", "turn", "name").agg(last).select("conv_id", "turn", "name", "d.required", F.map_from_entries("d.types").alias("types"))
+
+
+def rules_of(calls: DataFrame, tools: DataFrame) -> DataFrame:
+    """Rows (row, part, own): what each call's conversation last declared of its name before it, if anything."""
+    tools = tools.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("name").alias("n"), F.struct("required", F.map_entries("types").alias("types")).alias("d"))
+    met = calls.join(tools, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("name") == F.col("n")) & (F.col("t") <= F.col("turn")))
+    own = met.groupBy("row", "part").agg(F.max_by("d", "t").alias("d"))
+    return own.select("row", "part", F.struct("d.required", F.map_from_entries("d.types").alias("types")).alias("own"))
+
+
 def _number(both: DataFrame) -> DataFrame:
     """``both`` with ``number``: the calls of the row's (conversation, identifier) up to it, in turn order.
 
@@ -258,8 +283,9 @@ def problems(arguments: Column, required: Column, types: Column) -> Column:
 def format_chats(spark: SparkSession, messages: DataFrame, schemas: DataFrame | None = None, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Rows (conv_id, turn, role, place, rank, json, n_calls, n_linked, n_invalid, cycle), one per message.
 
-    ``schemas``: (name, required array<string>, types map<string,string> of JSON type names);
-    without it, or for tools not in it, arguments are only required to be an object.
+    ``schemas``: (name, required array<string>, types map<string,string> of JSON type names)
+    of tools that a call's conversation does not declare; tools of neither kind are only
+    required to have an object as arguments.
     """
     parsed = Staged(spark, parse(messages, conv_id, turn, role, text), "messages").df
     calls = Staged(spark, calls_of(parsed), "calls").df
@@ -267,8 +293,10 @@ def format_chats(spark: SparkSession, messages: DataFrame, schemas: DataFrame |
     if schemas is None:
         schemas = spark.createDataFrame([], "name string, required array<string>, types map<string,string>")
     rules = schemas.groupBy("name").agg(F.first("required").alias("required"), F.first("types").alias("types"))
-    checked = calls.join(rules, "name", "left").join(linked, ["row", "part"], "left").join(inner_order(calls), ["row", "part"], "left")
-    checked = checked.select("row", "part", "call", "name", "arguments", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("cycle", F.lit(False)).alias("cycle"), F.col("result_row").isNotNull().alias("answered"), "result_row", problems(F.col("arguments"), F.col("required"), F.col("types")).alias("problems"))
+    rules = rules.select("name", F.struct("required", "types").alias("rule"))
+    own = rules_of(calls, declared(messages, conv_id, turn, role, text))
+    checked = calls.join(rules, "name", "left").join(own, ["row", "part"], "left").withColumn("rule", F.coalesce("own", "rule")).join(linked, ["row", "part"], "left").join(inner_order(calls), ["row", "part"], "left")
+    checked = checked.select("row", "part", "call", "name", "arguments", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("cycle", F.lit(False)).alias("cycle"), F.col("result_row").isNotNull().alias("answered"), "result_row", problems(F.col("arguments"), F.col("rule.required"), F.col("rule.types")).alias("problems"))
     checked = Staged(spark, checked, "checked").df
     line = F.concat(F.lit('{"arguments":'), F.coalesce(canonical(F.col("arguments")), F.lit("null")), F.lit(',"id":'), _string(F.col("call")), F.lit(',"name":'), _string(F.col("name")), F.lit("}"))
     own = checked.select("row", "part", "depth", "cycle", "answered", "problems", line.alias("line"))

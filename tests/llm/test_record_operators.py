@@ -153,6 +153,26 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert chat.format_chats(spark, messages.limit(0)).count() == 0
 
 
+def test_the_query_checks_calls_against_the_tools_that_a_conversation_declares(spark, tmp_path):
+    from parley.llm import queries
+
+    def tools(*each):
+        return json.dumps({"tools": [{"type": "function", "function": {"name": n, "parameters": {"type": "object", "required": r, "properties": {k: {"type": t} for k, t in p.items()}}}} for n, r, p in each]})
+
+    plain = json.dumps({"tools": [{"name": "g", "parameters": {"required": ["k"]}}, {"name": "h"}, {"parameters": {}}, 7]})
+    rows = [
+        (1, 0, "system", tools(("f", ["q"], {"q": "string", "n": "integer"}))), (1, 1, "assistant", call(("a", "f", {"q": "x", "n": 2}), ("b", "f", {"n": 2}), ("c", "f", {"q": "x", "n": "two"}))), (1, 2, "tool", result("b", "y")),
+        (1, 3, "system", tools(("f", [], {"n": "string"}))), (1, 4, "assistant", call(("d", "f", {"n": "two"}), ("e", "f", {"n": 2}))), (1, 5, "user", plain), (1, 6, "assistant", call(("z", "g", {}))),
+        (2, 0, "assistant", call(("a", "f", {"n": "two"}), ("b", "other", [1]))), (2, 1, "system", tools(("f", ["q"], {}))), (None, 0, "system", plain), (None, 1, "assistant", call(("a", "g", {}), ("b", "h", {}), ("c", "g", {"k": None}))),
+        (3, 0, "system", '{"tools": 1}'), (3, 1, "system", "{broken"), (3, 2, "assistant", call(("a", "f", {}))),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r for r in queries.op5_chat(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    assert {k: (r.n_calls, r.n_linked, r.n_invalid) for k, r in got.items() if r.n_calls} == {(1, 1): (3, 1, 2), (1, 4): (2, 0, 1), (1, 6): (1, 0, 0), (2, 0): (2, 0, 1), (None, 1): (3, 0, 1), (3, 2): (1, 0, 0)}
+    assert json.loads(got[1, 0].json) == {"content": rows[0][3], "role": "system"}
+
+
 def test_a_repeated_identifier_links_to_its_nearest_call(spark):
     rows = [(1, i, "assistant" if i % 2 == 0 else "tool", call(("a", "f", {"i": i})) if i % 2 == 0 else result("a", str(i))) for i in range(40)]
     rows += [(1, 40, "tool", result("a", "late")), (2, 0, "tool", result("a", "early")), (2, 0, "assistant", call(("a", "f", {}))), (2, 1, "tool", result("a", "mine"))]
