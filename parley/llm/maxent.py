@@ -8,18 +8,27 @@ training texts are then read as symbols, and their trigrams counted.
 Model. P(symbol | two symbols before) = P(class | context) * P(symbol | class,
 context), each a softmax over 16 outcomes. Features of a context are a bias, the
 symbol before, the pair before, and the symbol before that (a skip); they are hashed
-into rows of two weight tables. A word within a symbol of many words has its
-smoothed share of that symbol, so the model is a distribution over all words.
+into rows of two weight tables. Within a symbol of many words, P(word | symbol, word
+before) is proportional to the word's smoothed share of the symbol times exp of the
+weight of the pair (word before, word). Pairs are of words, whatever their number: every
+pair of the training texts whose second word has no symbol of its own has a weight, by
+a 64-bit hash. A word of no pair has weight zero, so the sum over a symbol's words is one
+more than the pairs' shares times (exp(weight) - 1), and the model is a distribution
+over all words.
 
 Training. The trigram table holds the whole corpus in at most 256^3 rows. Each round is
 one job: every partition computes its gradient (observed less expected feature counts),
 gradients are summed on the cluster in groups of about the square root of their number,
 and the driver adds up the groups' sums and takes a step scaled by the expected counts;
-tables and gradients have a fixed size.
+those two tables and their gradients have a fixed size. The weights of pairs grow with the
+corpus: those of one word before and one symbol depend on no other, so the uses of a pair,
+in training texts and in texts to be scored, are dealt by (word before, symbol) into groups
+of about ``GROUP`` uses, and each group takes its own gradient steps and scores its uses.
 
 Scoring. Texts are turned into arrays per batch and each distinct trigram of a batch
 is scored once. The most frequent ``HEAD`` words have their counts at hand; the other
-words leave with their row, meet their counts in a join by word, and are summed up.
+words leave with their row and the word before, meet their counts in a join by word, and
+go on to the groups of pairs.
 
 Defined results: null and empty texts have one token, the end; rows with a null id
 are training rows; repeated rows count and are scored each; without training rows
@@ -28,6 +37,7 @@ N and V are 0; extra columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -37,6 +47,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from parley.llm.store import Staged
 
@@ -50,6 +61,10 @@ ROUNDS = 8
 PRIOR = 60.0
 #: Distinct words a task gathers before it hands its counts on.
 FLUSH = 250_000
+#: Uses of pairs in a group, about; bounds a task's memory, as groups grow in number.
+GROUP = 500_000
+#: Uses of pairs that a task gathers before it hands them on.
+USES = 500_000
 #: The end of a text: no word holds a blank.
 END = b" "
 START = SYMBOLS  # contexts before the first token; has its own feature rows
@@ -76,6 +91,76 @@ class Symbols(dict):
         return s
 
 
+def rare_id(word: bytes) -> int:
+    """The number of a word that is not among the most frequent ones, beyond all of theirs."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 2 | 1 << 61
+
+
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two whole numbers."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (b.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return x ^ x >> np.uint64(31)
+
+
+def squeezed(columns: np.ndarray) -> bytes:
+    """Four columns of 64-bit values (4, n) as compressed planes of bytes."""
+    n = columns.shape[1]
+    planes = np.ascontiguousarray(np.ascontiguousarray(columns).view(np.uint8).reshape(4, n, 8).transpose(0, 2, 1))
+    return n.to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def packed(uses: np.ndarray, symbol: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """Uses (before, word, row and training, count and symbol; a row each) by group, as compressed planes of bytes."""
+    yield from split(uses, (mix(uses[0], symbol) >> np.uint64(20)).astype(np.int64) % parts, parts)
+
+
+def split(columns: np.ndarray, group: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    group = group.astype(np.uint16 if parts <= 1 << 16 else np.int64)  # short numbers sort faster
+    order = np.argsort(group, kind="stable")
+    columns, group = columns[:, order], group[order]
+    edges = np.flatnonzero(np.diff(group)) + 1
+    for a, b in zip([0, *edges], [*edges, len(group)]) if len(group) else ():
+        yield int(group[a]), squeezed(columns[:, a:b])
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=32 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, 8, n).transpose(0, 2, 1)).view(np.int64).reshape(4, n)
+
+
+def fit_pairs(context: np.ndarray, share: np.ndarray, seen: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Per distinct pair its weight, and per context (0, 1, ...) the log of the sum over its symbol's words.
+
+    ``share``: of the pair's word in its symbol; ``seen``: the pair's count in the training texts.
+    """
+    weight, n = np.zeros(len(context)), np.bincount(context, weights=seen)
+    for r in range(rounds + 1):
+        now = share * np.exp(weight)
+        total = 1 + np.bincount(context, weights=now - share)
+        if r < rounds:
+            due = n[context] * now / total[context]
+            move = np.clip((seen - due) / (np.maximum(seen, due) + PRIOR), -1.0, 1.0) * (1.0 if r < rounds - 2 else 0.5)
+            weight = np.where(seen > 0, weight + move, 0.0)
+    return weight, np.log(total)
+
+
+def pair_scores(uses: np.ndarray, symbol: np.ndarray, count: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of a group's uses: log10 of what their pairs' weights make of their words' shares."""
+    training = (uses[2] & 1) * (symbol >= SINGLE)
+    context = mix(uses[0], symbol)
+    pairs, at = np.unique(mix(context, uses[1]), return_inverse=True)
+    first = np.empty(len(pairs), np.int64)
+    first[at] = np.arange(len(at))  # one use of each pair
+    _, within = np.unique(context[first], return_inverse=True)
+    share = (count[first] + 1.0) / 10.0 ** mass[symbol[first]]
+    weight, total = fit_pairs(within, share, np.bincount(at, weights=training))
+    rows, of = np.unique(uses[2] >> 1, return_inverse=True)
+    return rows, np.bincount(of, weights=(weight - total[within])[at] / math.log(10))
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """Rows (word binary, n) over a column of texts."""
 
@@ -114,19 +199,31 @@ def count_trigrams(texts: DataFrame, single: list[bytes]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol = Symbols(own).__getitem__
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        held, size = [], 0  # sorted runs of (keys, counts)
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, counts = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            return keys[starts], np.add.reduceat(counts[order], starts)
+
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 lists = [tokens(t) for t in batch.column(0).slice(at, 512).to_pylist()]
                 sizes = np.array([len(x) for x in lists])
                 flat = np.fromiter((symbol(w) for x in lists for w in x), np.int64, int(sizes.sum()))
                 new, n = np.unique(_pack(flat, np.cumsum(sizes) - sizes), return_counts=True)
-                both, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                keys, counts = both, np.bincount(back, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
-                if len(keys) > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
-                    keys, counts = keys[:0], counts[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+                held.append((new, n))
+                size += len(new)
+                if size > 2_000_000:
+                    keys, counts = merged()
+                    held, size = [(keys, counts)], len(keys)
+                    if size > 1_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["key", "n"])
 
     return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -271,8 +368,11 @@ def scores(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: s
     for r in vocab.mapInArrow(shares, "symbol int, n long, v long").groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         mass[r.symbol] = math.log10(r.n + r.v + 1)
     mass[: len(single)] = 0.0
-    trigrams = Staged(spark, count_trigrams(seen, single), "trigrams").df
-    model = train(trigrams)
+    trigrams = Staged(spark, count_trigrams(seen, single), "trigrams")
+    model = train(trigrams.df)
+    trigrams.drop()
+    n_rows, n_trained = own.agg(F.count("*"), F.count_if("training")).first()
+    parts = max(1, -(-n_all * n_rows // (max(n_trained, 1) * GROUP)))
     floor = math.log10(n_all + v_all + 1)
     share = spark.sparkContext.broadcast((head, named, mass, model.classes, model.members))
 
@@ -284,6 +384,14 @@ def scores(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: s
         count = np.log10(np.array([n for _, n in head] + [0], np.float64) + 1)
         inner = np.where(symbol < len(named), 0.0, count - mass[symbol])
         index = {w: i for i, (w, _) in enumerate(head)}
+        uses, n_uses = [], 0
+
+        def hand_on() -> pa.RecordBatch:
+            got = np.concatenate(uses, axis=1)
+            uses.clear()
+            groups = list(packed(got, symbol[got[1]], parts))
+            return pa.RecordBatch.from_arrays([*[pa.nulls(len(groups), f.type) for f in fields[:-2]], pa.array([g for g, _ in groups], pa.int32()), pa.array([b for _, b in groups], pa.binary())], schema=pa.schema(fields))
+
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -302,23 +410,85 @@ def scores(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: s
                 logs = own.log10(keys)[back] + part
                 text_of = np.repeat(np.arange(len(lists)), sizes)
                 n_rare = np.bincount(text_of[rare], minlength=len(lists))
+                ids = code.copy()
+                ids[rare] = [rare_id(flat[i]) for i in rare]
+                before = np.empty_like(ids)
+                before[1:] = ids[:-1]
+                before[starts] = -1
+                shared = np.flatnonzero((code >= 0) & (sym >= SINGLE))
+                mark = batch.column(0).to_numpy() * 2 + batch.column(2).to_numpy(zero_copy_only=False)
+                uses.append(np.stack([before[shared], code[shared], mark[text_of[shared]], np.zeros(len(shared), np.int64)]))
+                n_uses += len(shared)
+                if n_uses > USES:
+                    yield hand_on()
+                    n_uses = 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), batch.column(1), batch.column(2), pa.array(sizes),
                         pa.array(sizes - n_rare), pa.array(np.add.reduceat(base, starts) - floor * sizes), pa.array(np.add.reduceat(logs, starts)),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), pa.array([flat[i] for i in rare], pa.binary())),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), pa.StructArray.from_arrays([pa.array([flat[i] for i in rare], pa.binary()), pa.array(before[rare])], ["word", "before"])),
+                        pa.nulls(len(lists), pa.int32()), pa.nulls(len(lists), pa.binary()),
                     ],
-                    names=["row", "doc_id", "training", "n_tokens", "n_known", "base", "model", "rare"],
+                    schema=pa.schema(fields),
                 )
+        if n_uses:
+            yield hand_on()
+
+    struct = pa.struct([("word", pa.binary()), ("before", pa.int64())])
+    kinds = f"row long, doc_id {docs.schema[doc_id].dataType.simpleString()}, training boolean, n_tokens long, n_known long, base double, model double, rare array<struct<word: binary, before: long>>, part int, uses binary"
+    fields = [pa.field("row", pa.int64()), pa.field("doc_id", to_arrow_type(docs.schema[doc_id].dataType)), pa.field("training", pa.bool_()), pa.field("n_tokens", pa.int64()), pa.field("n_known", pa.int64()), pa.field("base", pa.float64()), pa.field("model", pa.float64()), pa.field("rare", pa.list_(struct)), pa.field("part", pa.int32()), pa.field("uses", pa.binary())]
+    staged = Staged(spark, own.mapInArrow(run, kinds), "scored").df
+    held = staged.where("part is null")
+    tail = held.select("row", "training", F.inline("rare"))
+    tail = tail.join(vocab.select("word", "n"), "word", "left") if v_all > len(head) else tail.withColumn("n", F.lit(0).cast("long"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses: list = []
+
+        def hand_on() -> pa.RecordBatch:
+            got = np.concatenate(uses, axis=1)
+            uses.clear()
+            groups = list(packed(got, got[3] & 255, parts))
+            return pa.RecordBatch.from_arrays([pa.array([g for g, _ in groups], pa.int32()), pa.array([b for _, b in groups], pa.binary())], names=["part", "uses"])
 
-    kinds = f"row long, doc_id {docs.schema[doc_id].dataType.simpleString()}, training boolean, n_tokens long, n_known long, base double, model double, rare array<binary>"
-    held = Staged(spark, own.mapInArrow(run, kinds), "scored").df
-    if v_all > len(head):
-        words = held.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("tf"))
-        tail = words.join(vocab.select("word", "n"), "word")  # words that training lacks add log10(1) = 0
-        more = tail.groupBy("row").agg(F.sum("tf").alias("known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("log"))
-        held = held.drop("rare").join(more, "row", "left")
-    else:
-        held = held.withColumn("known", F.lit(0)).withColumn("log", F.lit(0.0))
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            sym = np.array([named[w] if w in named else other(w) for w in words], np.int64)
+            mark = batch.column(1).to_numpy() * 2 + batch.column(2).to_numpy(zero_copy_only=False)
+            uses.append(np.stack([batch.column(3).to_numpy(), np.array([rare_id(w) for w in words], np.int64), mark, batch.column(4).to_numpy() << 8 | sym]))
+            if sum(u.shape[1] for u in uses) > USES:
+                yield hand_on()
+        if uses:
+            yield hand_on()
+
+    dealt = staged.where("part is not null").select("part", "uses").unionByName(tail.select("word", "row", "training", "before", F.coalesce("n", F.lit(0)).alias("n")).mapInArrow(deal, "part int, uses binary"))
+    known_words = spark.sparkContext.broadcast((np.array([named[w] if w in named else other(w) for w, _ in head] + [0], np.int64), np.array([n for _, n in head] + [0], np.int64)))
+
+    def add_up(group: pa.Table) -> pa.Table:
+        of_head, n_head = known_words.value
+        uses = np.concatenate([unpacked(b.as_py()) for b in group["uses"]], axis=1)
+        rare = uses[1] >= 1 << 61
+        at = np.where(rare, len(of_head) - 1, uses[1])
+        symbol, count = np.where(rare, uses[3] & 255, of_head[at]), np.where(rare, uses[3] >> 8, n_head[at])
+        rows, gain = pair_scores(uses, symbol, count, mass)
+        here = np.searchsorted(rows, uses[2][rare] >> 1)
+        # words that training lacks add log10(1) = 0
+        log, known = np.bincount(here, weights=np.log10(count[rare] + 1.0), minlength=len(rows)), np.bincount(here, weights=count[rare] > 0, minlength=len(rows))
+        sums = np.stack([rows, known.astype(np.int64), log.astype(np.float64).view(np.int64), gain.view(np.int64)])
+        found = list(split(sums, (mix(rows, rows) >> np.uint64(20)).astype(np.int64) % targets, targets))
+        return pa.table({"target": pa.array([t for t, _ in found], pa.int32()), "sums": pa.array([b for _, b in found], pa.binary())})
+
+    def by_row(target: pa.Table) -> pa.Table:
+        rows, sums, blobs = np.empty(0, np.int64), np.empty((3, 0)), target["sums"]
+        for a in range(0, len(blobs), 64):
+            got = np.concatenate([unpacked(b.as_py()) for b in blobs[a : a + 64]], axis=1)
+            values = np.concatenate([sums, np.stack([got[1].astype(np.float64), got[2].view(np.float64), got[3].view(np.float64)])], axis=1)
+            rows, at = np.unique(np.concatenate([rows, got[0]]), return_inverse=True)
+            sums = np.stack([np.bincount(at, weights=v, minlength=len(rows)) for v in values])
+        return pa.table({"row": rows, "known": sums[0].astype(np.int64), "log": sums[1], "gain": sums[2]})
+
+    targets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    more = dealt.groupBy("part").applyInArrow(add_up, "target int, sums binary").groupBy("target").applyInArrow(by_row, "row long, known long, log double, gain double")
+    held = held.drop("rare", "part", "uses").join(more, "row", "left")
     log, known = F.coalesce("log", F.lit(0.0)), F.coalesce("known", F.lit(0))
-    return held.select("doc_id", "training", "n_tokens", (F.col("n_known") + known).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("model") + log).alias("score"))
+    return held.select("doc_id", "training", "n_tokens", (F.col("n_known") + known).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("model") + log + F.coalesce("gain", F.lit(0.0))).alias("score"))

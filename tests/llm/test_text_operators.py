@@ -445,6 +445,44 @@ def test_small_head_leaves_the_tail_to_the_join(spark, monkeypatch):
     assert {r.doc_id: (r.n_known, round(r.base_score, 9)) for r in maxent.scores(spark, df).collect()} == whole
 
 
+def test_words_of_one_symbol_are_told_apart_by_the_word_before(spark):
+    """Of words that share a symbol, some hundred pairs each keep to themselves; so do the words before them."""
+    names = [f"{i:03d}same" for i in range(600)]
+    pairs = list(zip(names[:300], names[300:]))
+    docs = [(i, " ".join(f"{a} {b}" for a, b in (pairs[(i * 7 + j) % 300] for j in range(300)))) for i in range(120)]
+    mates = [(f"{pairs[j][0]} {pairs[j][1]}", f"{pairs[j][0]} {pairs[j + 1][1]}") for j in range(180, 200)]
+    docs += [(1000 + 2 * j + k, t) for j, both in enumerate(mates) for k, t in enumerate(both)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in maxent.scores(spark, df, training=F.col("doc_id") < 1000).collect()}
+    # 191 words, of equal counts the first by name, have symbols of their own: words on both sides of that stand before others
+    assert len({maxent.other(n.encode()) for n in names}) == 1
+    assert all(got[1000 + 2 * j] > got[1001 + 2 * j] + 1 for j in range(20))
+
+
+def test_shares_and_weights_of_pairs_add_up_to_one():
+    rng = np.random.default_rng(1)
+    count, used = rng.integers(1, 50, 40), rng.random((6, 40)) < 0.3  # 40 words of one symbol, behind six words
+    share = (count + 1) / (count.sum() + 40 + 1)
+    context, word = np.nonzero(used)
+    weight, total = maxent.fit_pairs(context, share[word], rng.integers(0, 200, len(word)))
+    for c in range(6):
+        own = np.zeros(40)
+        own[word[context == c]] = weight[context == c]
+        assert abs((share * np.exp(own)).sum() + 1 / (count.sum() + 41) - np.exp(total[c])) < 1e-12
+    uses = rng.integers(0, 1 << 60, (4, 1000))
+    parts = dict(maxent.packed(uses, uses[3] & 255, 7))
+    back = np.concatenate([maxent.unpacked(b) for b in parts.values()], axis=1)
+    assert len(parts) == 7 and sorted(map(tuple, back.T)) == sorted(map(tuple, uses.T))
+
+
+def test_pairs_in_many_groups_score_as_in_one(spark, monkeypatch):
+    df = spark.createDataFrame([(i, " ".join(f"a{(i * j) % 331} b{(i + j) % 247}" for j in range(60))) for i in range(200)], "doc_id long, text string")
+    whole = {r.doc_id: tuple(round(x, 6) for x in (r.base_score, r.score, r.n_known)) for r in maxent.scores(spark, df).collect()}
+    monkeypatch.setattr(maxent, "GROUP", 500)
+    monkeypatch.setattr(maxent, "USES", 100)
+    assert {r.doc_id: tuple(round(x, 6) for x in (r.base_score, r.score, r.n_known)) for r in maxent.scores(spark, df).collect()} == whole
+
+
 def test_model_is_a_distribution():
     model = maxent.Model()
     rng = np.random.default_rng(0)
