@@ -20,10 +20,15 @@ Training. The trigram table holds the whole corpus in at most 256^3 rows. Each r
 one job: every partition computes its gradient (observed less expected feature counts),
 gradients are summed on the cluster in groups of about the square root of their number,
 and the driver adds up the groups' sums and takes a step scaled by the expected counts;
-those two tables and their gradients have a fixed size. The weights of pairs grow with the
+those two tables and their gradients have a fixed size. Observed counts never change, so
+only the first round hands them on. The weights of pairs grow with the
 corpus: those of one word before and one symbol depend on no other, so the uses of a pair,
 in training texts and in texts to be scored, are dealt by (word before, symbol) into groups
 of about ``GROUP`` uses, and each group takes its own gradient steps and scores its uses.
+A task adds up the scores of its groups by row before it hands them on.
+
+What is shuffled in bulk (trigram counts, uses of pairs, sums by row) is sorted by its first
+column within its group, and goes as differences of that column, in compressed planes of bytes.
 
 Scoring. Texts are turned into arrays per batch and each distinct trigram of a batch
 is scored once. The most frequent ``HEAD`` words have their counts at hand; the other
@@ -63,8 +68,10 @@ PRIOR = 60.0
 FLUSH = 250_000
 #: Uses of pairs in a group, about; bounds a task's memory, as groups grow in number.
 GROUP = 500_000
-#: Uses of pairs that a task gathers before it hands them on.
+#: Uses of pairs, or sums of rows, that a task gathers before it hands them on.
 USES = 500_000
+#: Groups of contexts in which trigram counts are added up: of some 65,000 trigrams each at most.
+MERGES = 256
 #: The end of a text: no word holds a blank.
 END = b" "
 START = SYMBOLS  # contexts before the first token; has its own feature rows
@@ -105,9 +112,10 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def squeezed(columns: np.ndarray) -> bytes:
-    """Four columns of 64-bit values (4, n) as compressed planes of bytes."""
-    n = columns.shape[1]
-    planes = np.ascontiguousarray(np.ascontiguousarray(columns).view(np.uint8).reshape(4, n, 8).transpose(0, 2, 1))
+    """Columns of 64-bit values (k, n), ascending in the first, as compressed planes of bytes; of the first its differences."""
+    k, n = columns.shape
+    columns = np.ascontiguousarray(np.concatenate([np.diff(columns[:1], prepend=0), columns[1:]]))
+    planes = np.ascontiguousarray(columns.view(np.uint8).reshape(k, n, 8).transpose(0, 2, 1))
     return n.to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
@@ -118,17 +126,33 @@ def packed(uses: np.ndarray, symbol: np.ndarray, parts: int) -> Iterator[tuple[i
 
 def split(columns: np.ndarray, group: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
     group = group.astype(np.uint16 if parts <= 1 << 16 else np.int64)  # short numbers sort faster
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(columns[0], kind="stable")
+    order = order[np.argsort(group[order], kind="stable")]
     columns, group = columns[:, order], group[order]
     edges = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *edges], [*edges, len(group)]) if len(group) else ():
         yield int(group[a]), squeezed(columns[:, a:b])
 
 
-def unpacked(blob: bytes) -> np.ndarray:
+def unpacked(blob: bytes, k: int = 4) -> np.ndarray:
     n = int.from_bytes(blob[:8], "little")
-    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=32 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, 8, n).transpose(0, 2, 1)).view(np.int64).reshape(4, n)
+    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=8 * k * n, codec="zstd", asbytes=True), np.uint8)
+    columns = planes.reshape(k, 8, n).transpose(0, 2, 1).copy().view(np.int64).reshape(k, n)
+    columns[0] = np.cumsum(columns[0])
+    return columns
+
+
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and each one's sums of the values (k, n)."""
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.stack([np.bincount(at, weights=v, minlength=len(keys)) for v in values])
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins, and the number of each value's run."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
 
 
 def fit_pairs(context: np.ndarray, share: np.ndarray, seen: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +218,7 @@ def _pack(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def count_trigrams(texts: DataFrame, single: list[bytes]) -> DataFrame:
-    """Rows (key, n): trigrams of symbols over a column of texts."""
+    """Rows (key, n): trigrams of symbols over a column of texts; those of one context lie together, by symbol."""
     own = {w: i for i, w in enumerate(single)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,12 +244,23 @@ def count_trigrams(texts: DataFrame, single: list[bytes]) -> DataFrame:
                     keys, counts = merged()
                     held, size = [(keys, counts)], len(keys)
                     if size > 1_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+                        yield blobs(keys, counts)
                         held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["key", "n"])
+            yield blobs(*merged())
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    def blobs(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        groups = list(split(np.stack([keys, counts]), (mix(keys >> 8, keys >> 8) >> np.uint64(20)).astype(np.int64) % MERGES, MERGES))
+        return pa.RecordBatch.from_arrays([pa.array([g for g, _ in groups], pa.int32()), pa.array([b for _, b in groups], pa.binary())], names=["part", "counts"])
+
+    def add_up(part: pa.Table) -> pa.Table:
+        keys, n, given = np.empty(0, np.int64), np.empty((1, 0)), part["counts"]
+        for a in range(0, len(given), 64):
+            got = np.concatenate([unpacked(b.as_py(), 2) for b in given[a : a + 64]], axis=1)
+            keys, n = summed(np.concatenate([keys, got[0]]), np.concatenate([n, got[1:]], axis=1))
+        return pa.table({"key": keys, "n": n[0].astype(np.int64)})
+
+    return texts.mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add_up, "key long, n long")
 
 
 class Model:
@@ -261,34 +296,33 @@ class Model:
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 P(symbol | context) of trigram keys."""
         context, symbol = keys >> 8, keys & 255
-        ctx, at = np.unique(context, return_inverse=True)
-        of_class = self.softmax(self.classes, self.features(ctx))
-        pair, pat = np.unique(context * SIDE + symbol // SIDE, return_inverse=True)
-        of_member = self.softmax(self.members, self.inner([], pair // SIDE, pair % SIDE))
+        first, at = runs(context)
+        of_class = self.softmax(self.classes, self.features(context[first]))
+        pair, pat = runs(context * SIDE + symbol // SIDE)
+        of_member = self.softmax(self.members, self.inner([], context[pair], symbol[pair] // SIDE))
         return (of_class[at, symbol // SIDE].astype(np.float64) + of_member[pat, symbol % SIDE]) / math.log(10)
 
-    def gradient(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Observed and expected feature counts of both tables, (2, 2, ROWS, SIDE)."""
-        out = np.zeros((2, 2, ROWS, SIDE), np.float64)
+    def gradient(self, keys: np.ndarray, n: np.ndarray, observed: bool = True) -> np.ndarray:
+        """Expected feature counts of both tables, (1, 2, ROWS, SIDE); with ``observed``, observed ones after them."""
+        out = np.zeros((1 + observed, 2, ROWS, SIDE), np.float64)
         context, symbol = keys >> 8, keys & 255
 
         def add(level: int, group: np.ndarray, target: np.ndarray, rows, table: np.ndarray) -> None:
-            ids, at = np.unique(group, return_inverse=True)
-            rows = rows(ids)
-            seen = np.bincount(at * SIDE + target, weights=n, minlength=len(ids) * SIDE).reshape(-1, SIDE)
+            first, at = runs(group)
+            rows = rows(group[first])
+            seen = np.bincount(at * SIDE + target, weights=n, minlength=len(first) * SIDE).reshape(-1, SIDE)
             due = np.exp(self.softmax(table, rows)) * seen.sum(1, keepdims=True)
-            for row in rows:
-                for side in range(SIDE):
-                    out[0, level, :, side] += np.bincount(row, weights=seen[:, side], minlength=ROWS)
-                    out[1, level, :, side] += np.bincount(row, weights=due[:, side], minlength=ROWS)
+            for kind, counts in enumerate([due, seen][: len(out)]):
+                for side, of_side in enumerate(np.ascontiguousarray(counts.T)):
+                    for row in rows:
+                        out[kind, level, :, side] += np.bincount(row, weights=of_side, minlength=ROWS)
 
         add(0, context, symbol // SIDE, self.features, self.classes)
         add(1, context * SIDE + symbol // SIDE, symbol % SIDE, lambda p: self.inner([], p // SIDE, p % SIDE), self.members)
         return out
 
-    def step(self, counts: np.ndarray, rate: float) -> None:
+    def step(self, seen: np.ndarray, due: np.ndarray, rate: float) -> None:
         """A gradient step, each weight's scaled by its expected count and shared by the four active features."""
-        seen, due = counts
         move = np.clip((seen - due) / (np.maximum(seen, due) + PRIOR), -1.0, 1.0) * rate
         self.classes += move[0].astype(np.float32)
         self.members += move[1].astype(np.float32)
@@ -300,15 +334,16 @@ def train(trigrams: DataFrame, rounds: int = ROUNDS) -> Model:
     groups = max(1, math.isqrt(int(trigrams.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def add_up(part: pa.Table) -> pa.Table:
-        total = np.zeros((2, 2, ROWS, SIDE), np.float32)
+        total: np.ndarray | float = 0.0
         for one in part["g"]:
-            total += np.frombuffer(one.as_buffer(), np.float32).reshape(total.shape)
+            total = total + np.frombuffer(one.as_buffer(), np.float32)
         return pa.table({"g": pa.array([total.tobytes()], pa.binary())})
 
+    seen = np.zeros((2, ROWS, SIDE))
     for r in range(rounds):
-        weights = model.classes, model.members
+        weights, observed = (model.classes, model.members), r == 0
 
-        def run(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], weights=weights, observed=observed) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             own = Model()
@@ -316,15 +351,17 @@ def train(trigrams: DataFrame, rounds: int = ROUNDS) -> Model:
             got = [b for b in batches if b.num_rows]
             if got:
                 table = pa.Table.from_batches(got)
-                total = own.gradient(table["key"].to_numpy(), table["n"].to_numpy().astype(np.float64))
+                total = own.gradient(table["key"].to_numpy(), table["n"].to_numpy().astype(np.float64), observed)
                 group = TaskContext.get().partitionId() % groups
                 yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["k", "g"])
 
-        total = np.zeros((2, 2, ROWS, SIDE))
-        summed = trigrams.select("key", "n").mapInArrow(run, "k int, g binary").groupBy("k").applyInArrow(add_up, "g binary")
-        for one in summed.toArrow()["g"]:  # 4 MB a group
+        total = np.zeros((1 + observed, 2, ROWS, SIDE))
+        gradients = trigrams.select("key", "n").mapInArrow(run, "k int, g binary").groupBy("k").applyInArrow(add_up, "g binary")
+        for one in gradients.toArrow()["g"]:  # 2 MB a group, 4 MB in the first round
             total += np.frombuffer(one.as_buffer(), np.float32).reshape(total.shape)
-        model.step(total, 1.0 if r < rounds - 2 else 0.5)
+        if observed:
+            seen = total[1]
+        model.step(seen, total[0], 1.0 if r < rounds - 2 else 0.5)
     return model
 
 
@@ -464,9 +501,10 @@ def scores(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: s
     dealt = staged.where("part is not null").select("part", "uses").unionByName(tail.select("word", "row", "training", "before", F.coalesce("n", F.lit(0)).alias("n")).mapInArrow(deal, "part int, uses binary"))
     known_words = spark.sparkContext.broadcast((np.array([named[w] if w in named else other(w) for w, _ in head] + [0], np.int64), np.array([n for _, n in head] + [0], np.int64)))
 
-    def add_up(group: pa.Table) -> pa.Table:
+    def scored(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of a group's uses, and of each: known words, sum of their logs, gain of the pairs."""
         of_head, n_head = known_words.value
-        uses = np.concatenate([unpacked(b.as_py()) for b in group["uses"]], axis=1)
+        uses = np.concatenate([unpacked(b) for b in blobs], axis=1)
         rare = uses[1] >= 1 << 61
         at = np.where(rare, len(of_head) - 1, uses[1])
         symbol, count = np.where(rare, uses[3] & 255, of_head[at]), np.where(rare, uses[3] >> 8, n_head[at])
@@ -474,21 +512,53 @@ def scores(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: s
         here = np.searchsorted(rows, uses[2][rare] >> 1)
         # words that training lacks add log10(1) = 0
         log, known = np.bincount(here, weights=np.log10(count[rare] + 1.0), minlength=len(rows)), np.bincount(here, weights=count[rare] > 0, minlength=len(rows))
-        sums = np.stack([rows, known.astype(np.int64), log.astype(np.float64).view(np.int64), gain.view(np.int64)])
-        found = list(split(sums, (mix(rows, rows) >> np.uint64(20)).astype(np.int64) % targets, targets))
-        return pa.table({"target": pa.array([t for t, _ in found], pa.int32()), "sums": pa.array([b for _, b in found], pa.binary())})
+        return rows, np.stack([known, log, gain])
+
+    def of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The uses of one group follow each other; sums by row are of all groups of the task, as far as they fit."""
+        rows, sums, part, blobs = np.empty(0, np.int64), np.empty((3, 0)), None, []
+        done, size = [], 0  # of groups not merged yet
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            got = summed(np.concatenate([rows, *[r for r, _ in done]]), np.concatenate([sums, *[v for _, v in done]], axis=1))
+            done.clear()
+            return got
+
+        def hand_on() -> pa.RecordBatch:
+            columns = np.stack([rows, sums[0].astype(np.int64), *sums[1:].view(np.int64)])
+            found = list(split(columns, (mix(rows, rows) >> np.uint64(20)).astype(np.int64) % targets, targets))
+            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], names=["target", "sums"])
+
+        for batch in batches:
+            for of, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if of != part and blobs:
+                    done.append(scored(blobs))
+                    size, blobs = size + len(done[-1][0]), []
+                    if size > USES:
+                        rows, sums = merged()
+                        size = 0
+                        if len(rows) > USES:
+                            yield hand_on()
+                            rows, sums = rows[:0], sums[:, :0]
+                part = of
+                blobs.append(blob.as_py())
+        if blobs:
+            done.append(scored(blobs))
+            rows, sums = merged()
+        if len(rows):
+            yield hand_on()
 
     def by_row(target: pa.Table) -> pa.Table:
         rows, sums, blobs = np.empty(0, np.int64), np.empty((3, 0)), target["sums"]
         for a in range(0, len(blobs), 64):
             got = np.concatenate([unpacked(b.as_py()) for b in blobs[a : a + 64]], axis=1)
-            values = np.concatenate([sums, np.stack([got[1].astype(np.float64), got[2].view(np.float64), got[3].view(np.float64)])], axis=1)
-            rows, at = np.unique(np.concatenate([rows, got[0]]), return_inverse=True)
-            sums = np.stack([np.bincount(at, weights=v, minlength=len(rows)) for v in values])
+            values = np.concatenate([got[1:2].astype(np.float64), got[2:].view(np.float64)])
+            rows, sums = summed(np.concatenate([rows, got[0]]), np.concatenate([sums, values], axis=1))
         return pa.table({"row": rows, "known": sums[0].astype(np.int64), "log": sums[1], "gain": sums[2]})
 
     targets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    more = dealt.groupBy("part").applyInArrow(add_up, "target int, sums binary").groupBy("target").applyInArrow(by_row, "row long, known long, log double, gain double")
+    by_group = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(of_groups, "target int, sums binary")
+    more = by_group.groupBy("target").applyInArrow(by_row, "row long, known long, log double, gain double")
     held = held.drop("rare", "part", "uses").join(more, "row", "left")
     log, known = F.coalesce("log", F.lit(0.0)), F.coalesce("known", F.lit(0))
     return held.select("doc_id", "training", "n_tokens", (F.col("n_known") + known).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("model") + log + F.coalesce("gain", F.lit(0.0))).alias("score"))

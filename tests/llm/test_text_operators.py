@@ -475,6 +475,54 @@ def test_shares_and_weights_of_pairs_add_up_to_one():
     assert len(parts) == 7 and sorted(map(tuple, back.T)) == sorted(map(tuple, uses.T))
 
 
+def test_what_is_shuffled_in_bulk_is_packed_small():
+    """Sorted numbers go as differences: of uses the words before, of trigram counts the keys, of sums the rows."""
+    rng = np.random.default_rng(3)
+    n = 200_000
+    before, word = (np.minimum(rng.zipf(1.2, n), 200_000) * 7919 % 200_003 for _ in range(2))
+    before[::10] = rng.integers(1 << 61, 1 << 62, 20_000)[rng.integers(0, 20_000, n // 10)]
+    uses = np.stack([before, word, np.repeat(np.arange(n // 250), 250) * 2 + 1, np.zeros(n, np.int64)])
+    parts = dict(maxent.packed(uses, word % 64, 70))
+    back = np.concatenate([maxent.unpacked(b) for b in parts.values()], axis=1)
+    assert sorted(map(tuple, back.T)) == sorted(map(tuple, uses.T))
+    assert sum(map(len, parts.values())) < 5 * n  # unsorted 5.9 bytes each
+    keys, counts = np.unique(rng.integers(0, 1 << 25, 1_200_000), return_counts=True)
+    blobs = [b for _, b in maxent.split(np.stack([keys, counts]), keys >> 8 & 255, 256)]
+    assert sum(map(len, blobs)) < 2 * len(keys)  # rows of (key, n) took 7.6 bytes each
+    one = np.array([[5], [1 << 62], [-1], [0]])
+    assert (maxent.unpacked(maxent.squeezed(one)) == one).all()
+
+
+def test_trigram_counts_equal_brute_force(spark):
+    from collections import Counter
+
+    texts = [" ".join(f"w{(i * j) % 23}" for j in range(40)) for i in range(60)] + [None, "", "w1"]
+    single = [maxent.END, *[f"w{i}".encode() for i in range(12)]]
+    own, seen = {w: i for i, w in enumerate(single)}, Counter()
+    for t in texts:
+        s = [maxent.START, maxent.START, *[own[w] if w in own else maxent.other(w) for w in maxent.tokens(t)]]
+        seen.update(a << 17 | b << 8 | c for a, b, c in zip(s, s[1:], s[2:]))
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    got = maxent.count_trigrams(df, single).collect()
+    assert {r.key: r.n for r in got} == seen and len(got) == len(seen)
+    # observed counts go along once, expected ones each round
+    keys, n = np.array(sorted(seen)), np.array([seen[k] for k in sorted(seen)], float)
+    both, later = maxent.Model().gradient(keys, n), maxent.Model().gradient(keys, n, observed=False)
+    assert both.nbytes == 2 * later.nbytes and (both[0] == later[0]).all()
+    assert np.allclose(both.sum((2, 3)), 4 * n.sum())  # four features of each trigram, at both levels
+
+
+def test_rows_of_many_groups_are_added_up_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame([(i, " ".join(f"a{(i * j) % 331} b{(i + j) % 247}" for j in range(60))) for i in range(200)], "doc_id long, text string")
+    whole = {r.doc_id: (r.base_score, r.score, r.n_known) for r in maxent.scores(spark, df).collect()}
+    monkeypatch.setattr(maxent, "GROUP", 300)
+    monkeypatch.setattr(maxent, "USES", 50)  # fewer than the rows: a task hands its sums on several times
+    monkeypatch.setattr(maxent, "HEAD", 200)
+    got = {r.doc_id: (r.base_score, r.score, r.n_known) for r in maxent.scores(spark, df).collect()}
+    assert got.keys() == whole.keys()
+    assert all(got[d] == pytest.approx(whole[d], rel=1e-9) for d in whole)
+
+
 def test_pairs_in_many_groups_score_as_in_one(spark, monkeypatch):
     df = spark.createDataFrame([(i, " ".join(f"a{(i * j) % 331} b{(i + j) % 247}" for j in range(60))) for i in range(200)], "doc_id long, text string")
     whole = {r.doc_id: tuple(round(x, 6) for x in (r.base_score, r.score, r.n_known)) for r in maxent.scores(spark, df).collect()}
