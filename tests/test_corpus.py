@@ -22,12 +22,12 @@ def docs(spark):
     return spark.createDataFrame(rows, "id long, text string").repartition(3)
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_sheets_give_the_plain_weights(spark, monkeypatch, docs, small):
+@pytest.mark.parametrize(("small", "many"), [(False, False), (True, False), (True, True)])
+def test_sheets_give_the_plain_weights(spark, monkeypatch, docs, small, many):
     if small:  # many sheets, many ranges, and answers too large to be sent
         for name, value in (("SHEET", 100), ("TEXTS", 9), ("RANGE", 40), ("BYTES", 0)):
             monkeypatch.setattr(corpus, name, value)
-    got = corpus.Corpus(docs)
+    got = corpus.Corpus(docs, numbers=True, many=many)
     counts = tx.term_counts(docs, "id", "text")
     vocab = tx.vocabulary(tx.counted_frequencies(counts), F.lit(docs.count()))
     plain = tx.tfidf(tx.term_rows(counts), vocab)
